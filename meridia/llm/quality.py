@@ -160,8 +160,10 @@ def score(docs: DataFrame, model: Ordinal | None, least: int | None = None, keep
     texts are scored by their missing features; repeated rows each; an empty
     table gives no rows. Without a model everything is selected, with nulls.
     """
-    src = docs.select(*keep, F.col(text).alias("graded_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    own = () if text in keep else (F.col(text).alias("graded_text"),)
+    src = docs.select(*keep, *own)
+    column, n = (len(keep) if own else keep.index(text)), len(keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n])
     if model is None:
         return src.select(*keep, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("selected"))
     at = next((i for i, g in enumerate(model.grades[1:]) if least is not None and g >= least), 0)
@@ -171,8 +173,8 @@ def score(docs: DataFrame, model: Ordinal | None, least: int | None = None, keep
         for b in batches:
             if not b.num_rows:
                 continue
-            tails, expected = held.value.predict(b.column(len(keep)).to_pylist())
+            tails, expected = held.value.predict(b.column(column).to_pylist())
             p = tails[:, at]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(expected), pa.array(p), pa.array(p >= 0.5)], names=[*keep, "expected_grade", "tail_probability", "selected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(expected), pa.array(p), pa.array(p >= 0.5)], names=[*keep, "expected_grade", "tail_probability", "selected"])
 
     return src.mapInArrow(run, f"{fields}, expected_grade double, tail_probability double, selected boolean")

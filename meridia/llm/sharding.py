@@ -6,13 +6,15 @@ be where most of them are; wishes are summed per (from, to, hash slice), and
 as many slices move as the receiving shard's quota allows. Groups larger than
 a share of a shard are split beforehand into salted subgroups. What the moves
 unbalanced is then evened out with documents that have no links, which cut no
-edge: their bytes per (shard, hash slice) are summed and whole slices flow from
-full shards to empty ones. Every table that comes to the driver has a fixed
+edge (and, where those do not suffice, with whole groups): bytes per (shard,
+hash slice) are summed and whole slices flow from full shards to empty ones. Every table that comes to the driver has a fixed
 size: shards x shards x slices at most.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def _accept(wishes: list, load: list[float], limit: float) -> list[tuple[int, in
 
 def _even(slices: list, load: list[float]) -> list[tuple[int, int, int]]:
     """Moves of unlinked slices (shard, slice, bytes) that bring all shards towards the mean."""
-    mean, moves = sum(load) / len(load), []
+    mean, moves, slices_end = sum(load) / len(load), [], float("inf")
     by_shard: dict[int, list] = {}
     for shard, s, b in slices:
         by_shard.setdefault(shard, []).append((b, s))
@@ -40,14 +42,15 @@ def _even(slices: list, load: list[float]) -> list[tuple[int, int, int]]:
         by_shard[shard].sort()
     while True:
         full = max((x for x in by_shard if by_shard[x]), key=lambda x: load[x], default=None)
-        if full is None:
+        if full is None or load[full] <= mean:
             return moves
         low = min(range(len(load)), key=lambda x: load[x])
-        gap = min(load[full] - mean, mean - load[low])
-        fits = [i for i, (b, _) in enumerate(by_shard[full]) if 0 < b <= max(gap, 0) or 0 < 2 * b <= load[full] - load[low]]
-        if not fits:
-            return moves
-        b, s = by_shard[full].pop(fits[-1])
+        most = max(min(load[full] - mean, mean - load[low]), (load[full] - load[low]) / 2)
+        at = bisect_right(by_shard[full], (most, slices_end)) - 1
+        if at < 0:
+            by_shard[full] = []
+            continue
+        b, s = by_shard[full].pop(at)
         load[full] -= b
         load[low] += b
         moves.append((full, low, s))
@@ -60,7 +63,8 @@ def shard(
     doc_id: str = "doc_id",
     text: str = "text",
     rounds: int = 4,
-    slack: float = 0.02,
+    slack: float = 0.25,
+    even_to: float = 0.01,
     slices: int = 1024,
     rows_per_bucket: int = 250_000,
 ) -> DataFrame:
@@ -84,7 +88,7 @@ def shard(
     rows = ws.stage(src.withColumn("h", F.xxhash64("doc_id", "text_crc32", F.lit(7))), "rows")
     n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     limit = total / shards * (1 + slack)
-    piece = max(1.0, total / shards / 8)
+    piece = max(1.0, total / shards / 3)
     groups = rows.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.sum("size").alias("b")).where("n > 1")
     groups = ws.stage(groups.select("g1", "g2", F.ceil(F.col("b") / piece).cast("int").alias("salts")), "groups")
     tied = rows.join(groups, ["g1", "g2"], "left")
@@ -123,11 +127,16 @@ def shard(
         new = ws.stage(moved(accepted, wish, F.col("linked")).select(*cols), "moved")
         ws.drop(now, goal)
         now = new
-    free = now.withColumn("slice", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(slices)).cast("int"))
-    sums = free.where("not linked").groupBy("shard", "slice").agg(F.sum("size").cast("double").alias("b"))
-    even = _even([tuple(r) for r in sums.collect()], loads())
-    if even:
-        now = ws.stage(moved(even, free, ~F.col("linked")).select(*cols), "even")
+    # first what has no links; if that does not do, whole groups, by their key
+    for movable, by in ((~F.col("linked"), F.xxhash64("h", F.lit(3))), (F.col("linked"), F.xxhash64(*key))):
+        load = loads()
+        if max(load) <= total / shards * (1 + even_to):
+            break
+        free = now.withColumn("slice", F.pmod(by, F.lit(slices)).cast("int"))
+        sums = free.where(movable).groupBy("shard", "slice").agg(F.sum("size").cast("double").alias("b"))
+        even = _even([tuple(r) for r in sums.collect()], load)
+        if even:
+            now = ws.stage(moved(even, free, movable).select(*cols), "even")
     buckets = max(16, n_rows // rows_per_bucket)
     placed = now.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
