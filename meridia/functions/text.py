@@ -11,8 +11,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: white space, characters replaced after NFKC, tracking parameters, exchanges
 WHITE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
@@ -58,7 +59,7 @@ def dedupe_lines(c: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -70,9 +71,15 @@ def normalize_unicode(c: Column) -> Column:
     return F.regexp_replace(folded, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
-def normalize_news_text(c: Column) -> Column:
-    shown = F.regexp_replace(normalize_unicode(c), r"\[(\[email.protected\])\]\(/cdn-cgi/l/email-protection#[^)]+\)", "[email protected]")
-    return collapse_whitespace(dedupe_lines(shown))
+def with_news_text(df: DataFrame, column: str) -> DataFrame:
+    """The column cleaned for news: normalised, protected addresses shown, repeated lines dropped, white space collapsed.
+
+    Works on a table because the Arrow function must be done before its result
+    enters an expression with a lambda.
+    """
+    df = df.withColumn(column, normalize_unicode(F.col(column)))
+    shown = F.regexp_replace(column, r"\[(\[email.protected\])\]\(/cdn-cgi/l/email-protection#[^)]+\)", "[email protected]")
+    return df.withColumn(column, collapse_whitespace(dedupe_lines(shown)))
 
 
 def content_hash(c: Column) -> Column:

@@ -115,9 +115,9 @@ def prepare(raw: DataFrame) -> DataFrame:
     payload_id, metadata. Empty metadata values are dropped; times as text are
     parsed; the title takes part in the search for tickers.
     """
-    body = text.normalize_news_text(F.coalesce("body_text", F.lit("")))
+    raw = text.with_news_text(raw.withColumn("body_text", F.coalesce("body_text", F.lit(""))), "body_text")
     title = F.nullif(text.normalize_space(text.normalize_unicode(F.col("title"))), F.lit(""))
-    out = raw.withColumn("body_text", body).withColumn("title", title)
+    out = raw.withColumn("title", title)
     out = out.withColumn("identity", identity.news_identity(F.col("source_type"), F.col("payload_id"), F.col("source_url")))
     out = out.withColumn("error", F.when(F.col("body_text") == "", "empty body").when(F.col("identity").isNull(), "no identity"))
     if dict(raw.dtypes)["published_at"] == "string":

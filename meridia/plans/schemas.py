@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
+_ATOMS = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "date": T.DateType(), "binary": T.BinaryType(),
+}
 
-def ddl(text: str) -> StructType:
-    return StructType.fromDDL(text)
+
+def _split(text: str) -> list[str]:
+    """Parts between commas that are not inside angle brackets."""
+    parts, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append(text[start:i].strip())
+            start = i + 1
+    return [*parts, text[start:].strip()]
+
+
+def _type(text: str) -> T.DataType:
+    kind, _, inner = text.partition("<")
+    inner = inner[:-1]
+    if kind == "array":
+        return T.ArrayType(_type(inner))
+    if kind == "map":
+        return T.MapType(*map(_type, _split(inner)))
+    if kind == "struct":
+        return ddl(", ".join(" ".join(f.partition(":")[::2]) for f in _split(inner)))
+    return _ATOMS[text]
+
+
+def ddl(text: str) -> T.StructType:
+    """A schema from ``name type`` pairs; needs no session, so modules can hold schemas as constants."""
+    return T.StructType([T.StructField(*(lambda n, t: (n, _type(t.strip())))(*f.split(" ", 1))) for f in _split(text)])
 
 
 STORE = {

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 SKIPPED = frozenset("script style noscript template head svg".split())
@@ -55,12 +56,12 @@ def to_text(html: str | None, strip_boilerplate: bool = True) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _whole(s: pd.Series) -> pd.Series:
     return s.map(lambda x: to_text(x, False), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _main(s: pd.Series) -> pd.Series:
     return s.map(to_text, na_action="ignore")
 
