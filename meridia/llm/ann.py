@@ -43,7 +43,7 @@ def nearest(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     cells: int = 64,
-    probes: int = 24,
+    probes: int = 48,
     parts: int = 16,
     codes: int = 64,
     shortlist: int = 100,
