@@ -3,7 +3,7 @@
 A turn is rendered as ``<s>[INST]role[/INST]text</s>`` and a conversation as
 its turns one after another. The parser is deterministic: it cuts at ``</s>``,
 takes what stands between ``<s>[INST]`` and ``[/INST]`` as the role and the
-rest as the text. Every turn is first rendered as it is and parsed; where the
+rest as the text, and refuses a turn in which a control string is left. Every turn is first rendered as it is and parsed; where the
 parser does not give the turn back, its content is escaped and parsed again.
 The finished conversation is parsed once more and must equal the source.
 
@@ -25,6 +25,9 @@ _CONTROL = rf"([<\[])(?=\\*{_ANY})"
 _ESCAPED = rf"([<\[])\\(?=\\*{_ANY})"
 
 
+_BARE = r"</?s>|\[/?INST\]"
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, _CONTROL, r"$1\\")
 
@@ -41,7 +44,7 @@ def _turn(piece: Column) -> Column:
     """(role, text) of one rendered turn without its end marker; null if the opening is missing."""
     parts = F.split(F.substring(piece, len(OPEN) + 1, 2**31 - 1), r"\[/INST\]", 2)
     return F.when(
-        piece.startswith(OPEN) & (F.size(parts) == 2),
+        piece.startswith(OPEN) & (F.size(parts) == 2) & ~F.exists(parts, lambda p: p.rlike(_BARE)),
         F.struct(unescape(F.get(parts, F.lit(0))).alias("role"), unescape(F.get(parts, F.lit(1))).alias("text")),
     )
 

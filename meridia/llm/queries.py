@@ -74,5 +74,37 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+_TURNS = """(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')"""
+_CONTROLS = r"len(regexp_extract_all({0}, '[<\[]\\*(/?s>|/?INST\])'))"
+
+CHAT = f"""
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ sum(20 + length(role) + length(text) + {_CONTROLS.format("role")} + {_CONTROLS.format("text")})::BIGINT AS formatted_chars
+FROM {_TURNS} GROUP BY conv_id"""
+
+_REACH = """reach AS (SELECT {id} AS node, {id} AS r FROM {t} UNION SELECT l.y, reach.r FROM reach JOIN l ON l.x = reach.node)"""
+
+NEAR = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+{_REACH.format(id="vec_id", t="embeddings")}
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT node AS vec_id, min(r) AS component_id FROM reach GROUP BY node)"""
+
+NGRAMS = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, a.n AS ni, b.n AS nj, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+k AS (SELECT i, j FROM p WHERE 100 * c >= 85 * (ni + nj - c)), l AS (SELECT i AS x, j AS y FROM k UNION ALL SELECT j, i FROM k),
+{_REACH.format(id="doc_id", t="documents")}
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT node AS doc_id, min(r) AS component_id FROM reach GROUP BY node) USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL by brute force, for the operators whose rows SQL can give."""
+    return {"op1_chat_format": CHAT, "op4_near_duplicates": NEAR, "op5_ngram_join": NGRAMS}
