@@ -177,9 +177,12 @@ def sanitise(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...] = ("
     """The documents with personal data and disclosing terms replaced; n_chars follows the new text. Null texts stay null."""
     rest = tuple(c for c in columns if c not in ("doc_id", "text", "n_chars"))
     src = docs.select(*columns).withColumn("whole", F.col("text"))
-    found = find(spark, src, keep=(*rest, "n_chars", "whole"), **options)
+    sized = tuple(c for c in ("n_chars",) if c in columns)
+    found = find(spark, src, keep=(*rest, *sized, "whole"), **options)
     out = found.withColumn("new", F.when(F.col("text").isNull(), F.col("whole")).otherwise(sanitised(F.col("text"), F.concat("base", "terms"))))
-    cols = {"text": F.col("new"), "n_chars": F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("new").cast("long"))}
+    cols = {"text": F.col("new")}
+    if sized:
+        cols["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("new").cast("long"))
     return out.select(*[cols.get(c, F.col(c)).alias(c) for c in columns])
 
 
