@@ -99,9 +99,8 @@ def canonical_url(c: Column) -> Column:
     coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     pairs = F.transform(
         F.filter(F.split(query, "&", -1), lambda x: x != ""),
-        lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("k"), plain(F.when(F.instr(x, "=") > 0, F.expr("''")).otherwise("")).alias("v"), x.alias("raw")),
+        lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("k"), plain(F.regexp_extract(x, r"(?s)^[^=]*=(.*)", 1)).alias("v")),
     )
-    pairs = F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), plain(F.regexp_extract(p["raw"], r"(?s)^[^=]*=(.*)", 1)).alias("v")))
     kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin(*TRACKING))
     text = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(coded(p["k"]), F.lit("="), coded(p["v"]))), "&")
     head = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when((host != "") | url.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), F.concat(F.lit("//"), host)).otherwise(""))
@@ -174,6 +173,5 @@ def printed_page(c: Column) -> Column:
         ),
         lambda a: a["sum"],
     )
-    number = F.when(value.rlike(r"^\d+\z"), F.expr("null").cast("int"))
-    number = F.when(value.rlike(r"^\d{1,9}\z"), value.cast("int")).when(value.rlike(r"^[ivxlcdm]+\z"), F.when(value.rlike(r"^[ivxlcdm]+\z"), fold)).otherwise(number)
+    number = F.when(value.rlike(r"^\d{1,9}\z"), value.cast("int")).when(value.rlike(r"^[ivxlcdm]+\z"), fold)
     return F.nullif(number, F.lit(0))

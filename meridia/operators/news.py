@@ -31,12 +31,10 @@ def listing_times(rows: DataFrame, feed: str | None = None, page: str = "page_nu
     order = Window.partitionBy(*([feed] if feed else [F.lit(0)])).orderBy(page, row)
     value = text.normalize_space(F.col(stamp))
     short, full = value.rlike(SHORT), value.rlike(FULL)
-    day = F.try_to_timestamp(F.initcap(F.regexp_extract(value, r"^([A-Za-z]{3})", 1)), F.lit("MMM"))
     month_day = F.concat_ws(" ", F.initcap(F.regexp_extract(value, FULL, 1).substr(1, 3)), F.regexp_extract(value, FULL, 2), F.regexp_extract(value, FULL, 3))
     full_day = F.to_date(F.try_to_timestamp(month_day, F.lit("MMM d yyyy")))
     minute = F.when(short, F.regexp_extract(value, SHORT, 1).cast("int") * 60 + F.regexp_extract(value, SHORT, 2).cast("int")).when(full, F.regexp_extract(value, FULL, 4).cast("int") * 60 + F.regexp_extract(value, FULL, 5).cast("int"))
     readable = (short | (full & full_day.isNotNull())) & (minute < 1440)
-    del day
     out = rows.withColumn("_ok", F.coalesce(readable, F.lit(False))).withColumn("_m", F.when(F.col("_ok"), minute)).withColumn("_full", F.when(F.col("_ok") & full, full_day))
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
