@@ -80,16 +80,21 @@ def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 50)
 
     now = ws.stage(clean(edges), "edges")
     seen = mark(now)
+    files = seen[0] // 250_000 + 4  # no more than that many rows each; the number of edges never grows
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        return ws.stage(df.coalesce(files), name)
+
     for _ in range(max_rounds):
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = ws.stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "min")
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "min")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        star = ws.stage(clean(large), "large")
-        least = ws.stage(star.groupBy("a").agg(F.min("b").alias("m")), "min")
+        star = stage(clean(large), "large")
+        least = stage(star.groupBy("a").agg(F.min("b").alias("m")), "min")
         small = star.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = ws.stage(clean(small.unionByName(least.select("a", F.col("m").alias("b")))), "small")
+        new = stage(clean(small.unionByName(least.select("a", F.col("m").alias("b")))), "small")
         state = mark(new)
         ws.drop(now, low, star, least)
         now, same = new, state == seen

@@ -12,72 +12,95 @@ partner could be in it), and documents that share one are candidates. A segment
 of several n-grams is far rarer than an n-gram, so passages that many documents
 share do not make long lists.
 
-Verification. Partial overlaps of candidate pairs are counted fragment by
+Verification. A sketch of the parities of a set's n-grams in 1024 fragments
+bounds from below in how many n-grams two sets differ, and rules out most
+chance candidates. For the others partial overlaps are counted fragment by
 fragment and summed per pair.
 
-Lists of up to ``direct`` documents give all their pairs. Longer ones first
-give a chain and stars, which connect groups of copies with a number of pairs
-linear in their size; a list whose documents are then in one component is done,
-and any other gives all its pairs across components. Components are exact, and
-no group's pairs are all written out.
+Lists of up to ``direct`` documents give all their pairs. A longer one first
+gives a chain and a star, which connect groups of copies with a number of pairs
+linear in their size; if its documents are then in one component, it is done.
+The others are common passages: their signatures are put behind all others in
+the order, and the documents in them emit anew. A link that is still to be
+found has its first common signature in such a list, so both its documents are
+among those. Lists that are open after the last round give all their pairs
+across components. Components are exact, and no group's pairs are all written
+out.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, connected_components
+from .tokens import distinct
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """Hashes of words; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of ASCII-lower-cased words; the whole sequence where it is shorter."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
-    n = min(n, len(w))
+def _rolled(w: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n following word hashes."""
     h = np.zeros(len(w) - n + 1, np.uint64)
     for i in range(n):
         h = mixed(h * _MUL + w[i : len(w) - n + 1 + i] + np.uint64(i + 1))
-    return np.unique(h)
+    return h
 
 
-def segments(s: np.ndarray, level: int, most: int) -> np.ndarray:
-    """Hashes of the first ``most`` segments that are not empty, of 2**level fragments."""
-    frag = s >> np.uint64(64 - level) if level else np.zeros(len(s), np.uint64)
+def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Per text the sorted hashes of its distinct n-grams of ASCII-lower-cased words; of the whole sequence where it is shorter."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    codes, bounds, words = distinct(split)
+    if not words:
+        return [np.zeros(0, np.uint64)] * len(texts)
+    full = np.array([bool(w) for w in words])[codes]  # a blank at an end leaves an empty word
+    bounds = np.concatenate([[0], np.cumsum(full)])[bounds]
+    hashes = pd.util.hash_array(np.array(words, object), categorize=False).astype(np.uint64)
+    w = hashes[codes[full]]
+    rolled = _rolled(w, n) if len(w) >= n else w[:0]
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= n:
+            out.append(np.unique(rolled[a : b - n + 1]))
+        else:
+            out.append(_rolled(w[a:b], b - a) if b > a else w[:0])
+    return out
+
+
+def segments(s: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of the segments that are not empty, in order, of 2**level fragments."""
+    frag = s >> np.uint64(64 - level)
     starts = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]]))
-    sums = np.add.reduceat(mixed(s + _MUL), starts)[:most]
-    return mixed(sums ^ mixed(frag[starts[:most]] * np.uint64(64) + np.uint64(level)))
+    sums = np.add.reduceat(mixed(s + _MUL), starts)
+    return mixed(sums ^ mixed(frag[starts] * np.uint64(64) + np.uint64(level))).view(np.int64)
+
+
+def signatures(s: np.ndarray, num: int, den: int, late: np.ndarray) -> np.ndarray:
+    """What a set emits, of both size classes; signatures in ``late`` (sorted) come after all others, by value."""
+    k = len(s)
+    if not k:
+        return np.zeros(0, np.int64)
+    most = (den - num) * k // num + 1
+    out = []
+    for level in {level_of(k, num, den), level_of(-(-k * num // den), num, den)}:  # own, and that of the smallest partner
+        g = segments(s, level)
+        if len(late):
+            at = np.searchsorted(late, g)
+            is_late = late[np.minimum(at, len(late) - 1)] == g
+            g = np.concatenate([g[~is_late], np.sort(g[is_late])])
+        out.append(g[:most])
+    return np.concatenate(out)
 
 
 FINEST = 60
@@ -94,6 +117,12 @@ def level_of(size: int, num: int, den: int) -> int:
     return level if level >= 5 else FINEST
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """1024 bits, as longs: whether a fragment holds an odd number of n-grams. Each differing n-gram flips one."""
+    odd = (np.bincount((s >> np.uint64(20) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: int, direct: int):
     """(pairs a, b; long lists sig, doc, size) among rows that share a signature."""
     order = np.lexsort((doc, size, sig))
@@ -112,7 +141,7 @@ def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: in
         b.append(i + step)
     large = np.repeat(count > direct, count)
     i = rows[large]
-    for other in (i - 1, at[i], at[i] + n[i] - 1):  # chain, stars from the smallest and the largest
+    for other in (i - 1, at[i]):  # chain by size, star from the smallest
         a.append(i)
         b.append(np.maximum(other, at[i]))
     a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (a, b))
@@ -123,110 +152,159 @@ def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: in
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", direct: int = 8
+    spark: SparkSession,
+    docs: DataFrame,
+    n: int = 5,
+    percent: int = 80,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    direct: int = 8,
+    rounds: int = 4,
+    send_ids: int = 1_000_000,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links).
 
     Rows link when ``100 * intersection >= percent * union``. Null and empty
     texts, and texts of white space, have no n-grams and link with nothing; so
     do rows with a null id. Repeated rows and copies are merged first and are
-    in one component. An empty table gives no rows; other columns are ignored.
+    in one component; of an id with different texts one is compared. An empty
+    table gives no rows; other columns are ignored.
+
+    Where up to ``send_ids`` ids choose the texts that are read again, they are
+    broadcast (8 MB); more are joined by a shuffle.
     """
     ws = Workspace(spark, "ngram")
     num, den = percent, 100
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-    def describe(batches):
-        for batch in batches:
-            ids, sizes, keys, sigs, sets = [], [], [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(t, n)
-                k = len(s)
-                ids.append(d)
-                sizes.append(k)
-                keys.append(int(mixed(s).sum().view(np.int64)) if k and d is not None else None)
-                if not k:
-                    sigs.append(s.view(np.int64))
-                    continue
-                most = (den - num) * k // num + 1
-                levels = {level_of(k, num, den), level_of(-(-k * num // den), num, den)}  # own, and that of the smallest partner
-                sigs.append(np.concatenate([segments(s, v, most) for v in sorted(levels)]).view(np.int64))
-            cols = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_key", "sigs"])
-
-    rows = ws.stage(src.mapInArrow(describe, "doc_id long, n_shingles long, set_key long, sigs array<long>"), "rows")
-    classes = rows.where("set_key is not null").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = ws.stage(classes, "classes")
-    reps = rows.select("doc_id", "n_shingles", "set_key", "sigs").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    posted = reps.dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", F.explode("sigs").alias("sig"))
-
-    def candidates(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        sig, doc, size = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("sig", "doc_id", "n_shingles"))
-        both, (ls, ld, lz) = _pairs(sig, doc, size, num, den, direct)
-        none = np.zeros(len(both), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(none), pa.array(none)], names=["a", "b", "sig", "size"])
-        yield pa.RecordBatch.from_arrays([pa.array(ld), pa.nulls(len(ld), pa.int64()), pa.array(ls), pa.array(lz)], names=["a", "b", "sig", "size"])
-
-    spread = posted.repartition("sig")
-    met = ws.stage(spread.mapInArrow(candidates, "a long, b long, sig long, size long"), "met")
-    pairs = ws.stage(met.where("b is not null").groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b"), "pairs")
+    none = np.zeros(0, np.int64)
+
+    def described(rows: DataFrame, late: np.ndarray) -> DataFrame:
+        held = spark.sparkContext.broadcast(late)
+
+        def run(batches):
+            for batch in batches:
+                ids, sets = batch.column(0), shingles(batch.column(1), n)
+                keys = [int(mixed(s).sum().view(np.int64)) if len(s) else None for s in sets]
+                sigs = [signatures(s, num, den, held.value) for s in sets]
+                longs = pa.list_(pa.int64())
+                cols = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, longs), pa.array([parities(s) for s in sets], longs)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_key", "sigs", "odd"])
+
+        return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key long, sigs array<long>, odd array<long>")
+
+    def chosen(ids: DataFrame) -> DataFrame:
+        """The texts of these ids."""
+        small = ids.count() <= send_ids
+        out = src.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+        return out.dropDuplicates(["doc_id"]) if repeats else out
+
+    def matched(reps: DataFrame) -> DataFrame:
+        """Rows (a, b) of candidate pairs, and (a, null, sig, size) of long lists."""
+
+        def run(batches):
+            got = [b for b in batches if b.num_rows]
+            if not got:
+                return
+            sig, doc, size = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("sig", "doc_id", "n_shingles"))
+            both, (ls, ld, lz) = _pairs(sig, doc, size, num, den, direct)
+            zero = np.zeros(len(both), np.int64)
+            names = ["a", "b", "sig", "size"]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[:, 0], both[:, 1], zero, zero)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ld), pa.nulls(len(ld), pa.int64()), pa.array(ls), pa.array(lz)], names=names)
+
+        posted = reps.select("doc_id", "n_shingles", F.explode("sigs").alias("sig")).repartition("sig")
+        return ws.stage(posted.mapInArrow(run, "a long, b long, sig long, size long"), "met")
+
+    def distinct_pairs(df: DataFrame) -> DataFrame:
+        return df.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b")
 
     def cut(batches):
         for batch in batches:
-            out = [[], [], []]
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(t, n)
-                frag = s >> np.uint64(62)
-                for f in range(4):
-                    out[0].append(d)
-                    out[1].append(f)
-                    out[2].append((s[frag == f] << np.uint64(2)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["doc", "frag", "seg"])
+            docs, frags, segs = [], [], []
+            for d, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1), n)):
+                ends = np.searchsorted(s, np.array([1 << 62, 2 << 62, 3 << 62], np.uint64))
+                for f, part in enumerate(np.split(s, ends)):
+                    docs.append(d)
+                    frags.append(f)
+                    segs.append(part.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(frags, pa.int32()), pa.array(segs, pa.binary())], names=["doc", "frag", "seg"])
 
     def overlaps(batches):
         for b in batches:
             got = []
             for x, y in zip(b.column("seg_a").to_pylist(), b.column("seg_b").to_pylist()):
-                both = np.concatenate([np.frombuffer(x, "V6"), np.frombuffer(y, "V6")])
-                wide = np.zeros((len(both), 8), np.uint8)
-                wide[:, 2:] = both.view(np.uint8).reshape(-1, 6)
-                wide = np.sort(wide.view(">u8").ravel().astype(np.uint64))
-                got.append(int((wide[1:] == wide[:-1]).sum()))
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                got.append(int((both[1:] == both[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(got, pa.int64())], names=["a", "b", "common"])
 
+    rows = ws.stage(described(src, none), "rows")
+    classes = rows.where("set_key is not null and doc_id is not null").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = ws.stage(classes, "classes")
+    named = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeats = named.where("n > 1").limit(1).count() > 0
+    sketches = rows.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "odd")
+    sketches = ws.stage(sketches.dropDuplicates(["doc_id"]) if repeats else sketches, "sketches")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs with their sizes that their sketches do not rule out."""
+        both = pairs.join(sketches.toDF("a", "size_a", "odd_a"), "a").join(sketches.toDF("b", "size_b", "odd_b"), "b")
+        differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+        return both.where(differ * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b", "size_a", "size_b")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link: fragment by fragment, then summed."""
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        held = src.where("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        seg = ws.stage(held.mapInArrow(cut, "doc long, frag int, seg binary"), "segments")
-        each = pairs.withColumn("frag", F.explode(F.array(*map(F.lit, range(4)))))
+        """The pairs that link: overlaps of four fragments, counted separately and summed."""
+        pairs = ws.stage(plausible(pairs), "plausible")
+        involved = ws.stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
+        seg = ws.stage(chosen(involved).mapInArrow(cut, "doc long, frag int, seg binary"), "segments")
+        each = pairs.select("a", "b").withColumn("frag", F.explode(F.array(*map(F.lit, range(4)))))
         side = lambda c: seg.select(F.col("doc").alias(c), "frag", F.col("seg").alias(f"seg_{c}"))
         parts = each.join(side("b"), ["b", "frag"]).join(side("a"), ["a", "frag"]).select("a", "b", "seg_a", "seg_b")
         sums = parts.mapInArrow(overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-        size = classes.select(F.col("rep"), "n_shingles")
-        sums = sums.join(size.toDF("a", "size_a"), "a").join(size.toDF("b", "size_b"), "b")
+        sums = sums.join(pairs, ["a", "b"])
         links = ws.stage(sums.where(F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num).select("a", "b"), "links")
-        ws.drop(seg)
+        ws.drop(seg, involved, pairs)
         return links
 
-    links = verified(pairs)
-    comp = ws.stage(connected_components(ws, links), "components")
-    lists = met.where("b is null").select("sig", "size", F.col("a").alias("node"))
-    named = lists.join(comp, "node", "left").select("sig", "size", "node", F.coalesce("component", "node").alias("component"))
-    open_lists = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    left = ws.stage(named.join(ws.stage(open_lists, "open"), "sig", "left_semi"), "left")
-    if left.limit(1).count():
-        x, y = left.toDF("sig", "sx", "a", "cx"), left.toDF("sig", "sy", "b", "cy")
-        more = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")))
-        more = more.where(F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num).groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b")
-        more = ws.stage(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        comp = connected_components(ws, links.unionByName(verified(more)))
+    def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components with more links: those so far are stars, and what is new is linked to them."""
+        if comp is not None and not links.limit(1).count():
+            return comp
+        edges = links if comp is None else links.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return ws.stage(connected_components(ws, edges), "components")
+
+    names = classes.select(F.col("rep").alias("doc_id"))
+    reps = rows.join(names, "doc_id", "left_semi").select("doc_id", "n_shingles", "sigs")
+    reps = reps.dropDuplicates(["doc_id"]) if repeats else reps
+    tested, late, comp = [], none, None
+    for turn in range(rounds + 1):
+        met = matched(reps)
+        pairs = distinct_pairs(met.where("b is not null"))
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        tested.append(ws.stage(pairs, "pairs"))
+        comp = joined(comp, verified(tested[-1]))
+        lists = met.where("b is null").select("sig", "size", F.col("a").alias("node"))
+        named = lists.join(comp, "node", "left").select("sig", "size", "node", F.coalesce("component", "node").alias("component"))
+        open_sigs = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+        left = ws.stage(named.join(ws.stage(open_sigs, "open"), "sig", "left_semi"), "left")
+        fresh = left.select("sig").distinct()
+        n_open = fresh.count()
+        if not n_open:
+            break
+        if turn == rounds or len(late) + n_open > send_ids:
+            x, y = left.toDF("sig", "sx", "a", "cx"), left.toDF("sig", "sy", "b", "cy")
+            more = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")))
+            more = distinct_pairs(more.where(F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num))
+            for old in tested:
+                more = more.join(old, ["a", "b"], "left_anti")
+            comp = joined(comp, verified(ws.stage(more, "more")))
+            break
+        late = np.unique(np.concatenate([late, [r["sig"] for r in fresh.collect()]]).astype(np.int64))  # at most send_ids
+        touched = ws.stage(left.select(F.col("node").alias("doc_id")).distinct(), "touched")
+        reps = ws.stage(described(chosen(touched), late), "again")
     known = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(ws.stage(known, "known"), ["set_key", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    out = rows.join(ws.stage(known, "known"), ["set_key", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
