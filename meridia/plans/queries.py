@@ -179,7 +179,10 @@ def parse_dates(spark, sf_dir):
     return o.select("o_orderkey", F.date_format(time.parse_news_datetime(written), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
-@registered("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS published_at FROM events")
+@registered("""
+WITH e AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS n, (max(ts) OVER (PARTITION BY event_type))::DATE AS d, strftime(ts, '%H:%M') AS h FROM events),
+b AS (SELECT *, CASE WHEN h > lag(h) OVER (PARTITION BY event_type ORDER BY n) THEN 1 ELSE 0 END AS back FROM e)
+SELECT event_id, strftime(d - (sum(back) OVER (PARTITION BY event_type ORDER BY n))::INT, '%Y-%m-%d') || ' ' || h AS published_at FROM b""")
 def listing_rollback(spark, sf_dir):
     e = t(spark, sf_dir, "events").withColumn("ts", time.to_utc(F.col("ts")))
     feed = Window.partitionBy("event_type")
