@@ -3,9 +3,12 @@ product-quantised residuals, asymmetric distance tables and exact reranking.
 
 Centroids and codebooks are fitted on a bounded sample; every row is encoded.
 A query looks into its nearest cells, ranks their codes by distance tables and
-reranks the best of each block exactly, on original vectors. Cells are cut into
-blocks of bounded size; queries go to the cells by a join, in blocks, and are
-never all in one place.
+reranks the best of each block exactly, on original vectors. Every row keeps the
+error of its code, so distance to the code less error is a lower bound: all rows
+whose bound does not exceed the k-th exact distance are reranked too, and then
+all cells whose nearest possible member is within that distance are looked into.
+No true neighbour is cut. Cells are cut into blocks of bounded size; queries go
+to the cells by a join, in blocks, and are never all in one place.
 """
 
 from __future__ import annotations
@@ -54,8 +57,9 @@ def nearest(
 
     Nearest first, ties to the smaller id. Null, zero or non-finite vectors,
     null ids and vectors of another dimension than most take no part; repeated
-    rows of one id are candidates each, but not for that id itself. A query
-    whose cells hold fewer than k candidates looks into all cells.
+    rows of one id are candidates each, but not for that id itself. The result
+    is exact: probes, shortlist, codes and sample only change what it costs. A
+    query whose cells hold fewer than k candidates looks into all cells.
     """
     ws = Workspace(spark, "ann")
     v = F.transform(vector, lambda x: x.cast("double"))
@@ -78,17 +82,25 @@ def nearest(
             r = x - coarse[cell]
             code = np.stack([_squares(r[:, c], book).argmin(1) for c, book in zip(cuts, books)], 1).astype(np.uint8)
             look = np.argsort(d, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            lost = np.sqrt(sum(((r[:, c] - book[code[:, p]]) ** 2).sum(1) for p, (c, book) in enumerate(zip(cuts, books))))
+            far = np.sqrt((r * r).sum(1))
             cols = [b.column("vec_id"), b.column("is_query"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(look), pa.list_(pa.int32()))], names=["vec_id", "is_query", "v", "cell", "code", "look"])
+            yield pa.RecordBatch.from_arrays(
+                [*cols, pa.array(lost), pa.array(far), pa.array(list(look), pa.list_(pa.int32()))], names=["vec_id", "is_query", "v", "cell", "code", "lost", "far", "look"]
+            )
 
-    indexed = data.where(F.size("v") == dim).mapInArrow(index, "vec_id long, is_query boolean, v array<double>, cell int, code binary, look array<int>")
+    indexed = data.where(F.size("v") == dim).mapInArrow(index, "vec_id long, is_query boolean, v array<double>, cell int, code binary, lost double, far double, look array<int>")
     table = ws.stage(indexed, "index")
-    sizes = table.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row per cell
-    blocks = F.broadcast(ws.stage(sizes, "sizes"))
+    sizes = table.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.max("far").alias("radius"))  # a row per cell
+    sizes = ws.stage(sizes, "sizes")
+    radius = np.full(len(coarse), -np.inf)
+    for row in sizes.collect():
+        radius[row["cell"]] = row["radius"]
+    blocks = F.broadcast(sizes.select("cell", "blocks"))
     turns = table.where("is_query").count() // 50_000 + 1  # queries go in blocks of about that many
     turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
-    stored = table.join(blocks, "cell").select(turn, "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v", "code")
-    asked = table.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "look")
+    stored = table.join(blocks, "cell").select(turn, "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v", "code", "lost")
+    asked = table.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("inf")).alias("bound"), "look")
     result = "query_id long, vec_id long, score double"
     out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -100,31 +112,59 @@ def nearest(
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], matrix(found.column("v"))[order]
         code = np.frombuffer(b"".join(found.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        lost = found.column("lost").to_numpy()[order]
         out = []
-        for q, y in zip(queries.column("query_id").to_numpy(), matrix(queries.column("q"))):
+        for q, y, bound in zip(queries.column("query_id").to_numpy(), matrix(queries.column("q")), queries.column("bound").to_numpy()):
             r = y - centre
             approx = np.zeros(len(ids))
             for p, (c, book) in enumerate(zip(cuts, books)):
                 approx += ((book - r[c]) ** 2).sum(1)[code[:, p]]
-            approx[ids == q] = np.inf
-            best = np.argsort(approx, kind="stable")[:shortlist]
-            best = best[np.isfinite(approx[best])]
+            approx = np.sqrt(approx)
+            own = ids == q
+            approx[own] = np.inf
+            best = np.argpartition(approx, shortlist)[:shortlist] if len(ids) > shortlist else np.arange(len(ids))
             exact = np.sqrt(((x[best] - y) ** 2).sum(1))
+            exact[own[best]] = np.inf
+            if k <= len(exact):
+                bound = min(bound, np.partition(exact, k - 1)[k - 1])
+            if len(ids) > shortlist:  # all others that their code's error lets be as near
+                slack = 1e-9 * (approx + lost + np.sqrt(y @ y))
+                near = (approx - lost - slack <= bound) & ~own
+                near[best] = False
+                more = np.flatnonzero(near)
+                best, exact = np.append(best, more), np.append(exact, np.sqrt(((x[more] - y) ** 2).sum(1)))
+            kept = ~own[best] & (exact <= bound)
+            best, exact = best[kept], exact[kept]
             top = np.lexsort((ids[best], exact))[:k]
             out.append((np.full(len(top), q), ids[best][top], exact[top]))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=out_schema)
 
     def run(q: DataFrame) -> DataFrame:
-        sent = q.select("query_id", "q", F.explode("look").alias("cell")).join(blocks, "cell").select("query_id", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        sent = q.select("query_id", "q", "bound", F.explode("look").alias("cell")).join(blocks, "cell").select("query_id", "q", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         sent = sent.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
-        sent = sent.toDF("query_id", "q", "q_cell", "q_block", "q_turn")
+        sent = sent.toDF("query_id", "q", "bound", "q_cell", "q_block", "q_turn")
         hits = sent.groupBy("q_cell", "q_block", "q_turn").cogroup(stored.groupBy("cell", "block", "turn")).applyInArrow(search, result)
+        return hits
+
+    def ranked(hits: DataFrame) -> DataFrame:
         first = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return hits.withColumn("rank", F.row_number().over(first).cast("int")).where(F.col("rank") <= k)
 
+    def rest_of(batches):
+        """Cells not looked into whose nearest possible member is within the bound."""
+        for b in batches:
+            y, bound = matrix(b.column("q")), b.column("bound").to_numpy()
+            d = np.stack([np.sqrt(((y - c) ** 2).sum(1)) for c in coarse], 1)
+            slack = 1e-9 * (d + np.sqrt((y * y).sum(1))[:, None])
+            open_ = d - radius - slack <= bound[:, None]
+            for i, seen in enumerate(b.column("look").to_pylist()):
+                open_[i, seen] = False
+            look = [np.flatnonzero(o).astype(np.int32) for o in open_]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(look, pa.list_(pa.int32()))], names=["query_id", "q", "bound", "look"])
+
     asked = asked.dropDuplicates(["query_id"])
-    near = ws.stage(run(asked), "near")
-    short = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    everywhere = F.array(*[F.lit(i) for i in range(len(coarse))])
-    again = asked.join(short, "query_id", "left_anti").withColumn("look", everywhere)
-    return near.join(short, "query_id", "left_semi").unionByName(run(again)).select("query_id", "rank", "vec_id", "score")
+    near = ws.stage(ranked(run(asked)), "near").drop("rank")
+    kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).alias("kth"))
+    again = asked.join(kth, "query_id", "left").select("query_id", "q", F.coalesce("kth", "bound").alias("bound"), "look")
+    again = again.mapInArrow(rest_of, "query_id long, q array<double>, bound double, look array<int>").where(F.size("look") > 0)
+    return ranked(near.unionByName(run(again))).select("query_id", "rank", "vec_id", "score")

@@ -71,6 +71,24 @@ def test_nearest(spark):
     assert ann.nearest(spark, df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_in_a_cluster_of_near_copies(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 16))
+    x[1000:3000] = x[0] + rng.normal(size=(2000, 16)) * 0.02  # near copies, that product codes cannot order
+    x = np.float32(x)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(float)
+    for options in ({"cells": 8, "codes": 16}, {"cells": 32, "codes": 16, "probes": 3, "shortlist": 20}):
+        got = collections.defaultdict(list)
+        for r in ann.nearest(spark, df, F.col("vec_id") % 40 == 0, parts=4, block=1500, **options).collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"]))
+        assert sorted(got) == list(range(0, 4000, 40))
+        for q, found in got.items():
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            assert [i for _, i in sorted(found)] == np.lexsort((np.arange(4000), d))[:10].tolist()
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(500, 560)] + [(rng.randint(100, 300), rng.randint(100, 300)) for _ in range(90)] + [(7, 7), (None, 3)]
