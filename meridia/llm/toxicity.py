@@ -9,10 +9,13 @@ are discounted, and what is taken off goes to the backoff:
     P_c(w) = (max(N_c(w) - D, 0) + D * S(w)) / N_c
 
 with N_c(w) the contexts of w in class c, N_c those of all words, and S(w) the
-shared backoff count, w's share of all documents, which is the same for both
-classes. An expression that neither class has in more than D contexts is left
+shared backoff count, w's share of all documents plus 0.05 (at most 1), which
+is the same for both classes; it is not normalised. An expression that neither class has in more than D contexts is left
 to its backoff whole: to the longest of its stems that has evidence, and else
-to the shared counts alone, where both classes agree and no score moves.
+to the shared counts alone, where both classes agree and no score moves. So is
+one whose share of toxic contexts is within 5 standard deviations of the
+corpus's, or whose log ratio is below 1.5: rare expressions are thrown out, not
+smoothed. README has figures, also of the estimate without these cuts.
 
 A text is scored by its most toxic window of ``window`` words and by the mean
 over all its words; a logistic scale fitted on the training rows turns both
