@@ -6,13 +6,13 @@ and then checked (address parts, Luhn, digit counts). The patterns are written
 possessively and anchored to the start of a run (or to the end of the match
 before, ``\G``), so that texts of any length are read in linear time.
 
-Disclosure: every distinct context of an entity c (the words next to it)
-is an observation. For a term t in such contexts,
-``PMI(c;t) = ln( P(t | contexts of c) / P(t in a document) )`` is compared with
-the information content ``IC(c) = ln( documents / documents with c )``. Their
+Disclosure: every distinct text that mentions an entity c is an observation.
+For a term t (four or more letters and digits in a row, anywhere in the text),
+``PMI(c;t) = ln( P(t | texts with c) / P(t in a text) )`` is compared with
+the information content ``IC(c) = ln( texts / texts with c )``. Their
 quotient is the share of what c says that t already says. Pairs at or above
 ``generalise_at`` have t generalised, at or above ``remove_at`` removed, in the
-documents that mention c. Counts cover all documents.
+documents that mention c. Counts cover all documents, equal texts once.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ BASE = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][0-9 -]{14,}[0-9]"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]"),
 )
-WORD = r"\p{L}{4,}"
+WORD = r"[\p{L}\p{M}\p{N}]{4,}"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -86,26 +86,27 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, n_docs: int, generalise_at: float, remove_at: float, support: int, window: int) -> DataFrame:
-    """(entity, term, removed) at or above the thresholds; found: doc_id, text, base, the documents with entities."""
-    each = found.select("doc_id", "text", F.explode("base").alias("s")).select("doc_id", _entity(F.col("s")).alias("entity"), "s", "text")
-    reach = 24 * window
-    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
-    s = F.col("s")
-    left = words(F.substring("text", F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach))))
-    right = words(F.substring("text", s["end"] + 1, F.lit(reach)))
-    each = each.select("doc_id", "entity", F.slice(F.reverse(left), 1, window).alias("l"), F.slice(right, 1, window).alias("r"))
-    contexts = each.select("doc_id", "entity", F.array_sort(F.array_distinct(F.concat("l", "r"))).alias("terms"))
-    per_entity = contexts.groupBy("entity", "doc_id").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    seen = contexts.groupBy("entity", "terms").agg(F.lit(1).alias("x")).select("entity", "terms")
-    n_contexts = seen.groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = pairs.join(n_contexts, "entity").join(per_entity, "entity")
-    df = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    pmi = F.log((F.col("both") / F.col("contexts")) / (F.col("term_docs") / F.lit(float(n_docs))))
-    ic = F.log(F.lit(float(n_docs)) / F.col("entity_docs"))
+def disclosing_terms(ws: Workspace, docs: DataFrame, found: DataFrame, generalise_at: float, remove_at: float, support: int) -> DataFrame:
+    """(entity, term, removed) at or above the thresholds; docs: text; found: text, base, the documents with entities.
+
+    A term that fewer than ``support`` texts share with an entity is no evidence.
+    """
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0)))
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.reverse("text")).alias("b"))  # of a text
+    texts = docs.select(key.alias("key"), words(F.col("text")).alias("terms")).dropDuplicates(["key"])
+    df = ws.stage(texts.select(F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs")), "df")
+    n_docs = F.broadcast(df.where("term = ''").select(F.col("term_docs").cast("double").alias("n")))  # one row
+    mention = found.select(key.alias("key"), F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("key", "entity").agg(F.lit(1).alias("x"))
+    mention = ws.stage(mention.drop("x"), "mentions")
+    contexts = ws.stage(mention.groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support), "contexts")
+    kept = mention.join(contexts.select("entity"), "entity").groupBy("key").agg(F.collect_list("entity").alias("entities"))
+    held = found.select(key.alias("key"), "text").join(kept, "key").select("key", "entities", words(F.col("text")).alias("terms")).dropDuplicates(["key"])
+    pairs = held.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    pairs = pairs.where(F.col("both") >= support).join(contexts, "entity").join(df, "term").crossJoin(n_docs)
+    pmi = F.log((F.col("both") / F.col("contexts")) / (F.col("term_docs") / F.col("n")))
+    ic = F.log(F.col("n") / F.col("contexts"))
     share = F.when(ic > 0, pmi / ic)
-    return pairs.join(df, "term").withColumn("share", share).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("removed"))
+    return pairs.withColumn("share", share).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("removed"))
 
 
 def find(
@@ -117,7 +118,6 @@ def find(
     generalise_at: float = 0.9,
     remove_at: float = 0.98,
     support: int = 3,
-    window: int = 3,
 ) -> DataFrame:
     """Per document: doc_id, text (null where no span was found), base, terms, and the columns in ``keep``.
 
@@ -131,10 +131,9 @@ def find(
     src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     src = src.withColumn("base", base_spans(F.col("text")))
     all_rows = ws.stage(src.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base")
-    n_docs = all_rows.count()
     found = all_rows.where("text is not null and doc_id is not null")
-    plain = docs.select(F.col(text).alias("text"))
-    telling = ws.stage(disclosing_terms(plain, found, n_docs, generalise_at, remove_at, support, window), "terms")
+    plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    telling = ws.stage(disclosing_terms(ws, plain, found, generalise_at, remove_at, support), "terms")
     entities = found.select("doc_id", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     told = entities.join(telling, "entity").groupBy("doc_id", "term").agg(F.max("removed").alias("removed"))
     told = told.groupBy("doc_id").agg(
@@ -143,7 +142,7 @@ def find(
     out = all_rows.join(told, "doc_id", "left")
 
     def occurrences(terms: str, kind: int) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
         apart = F.filter(spans_of(F.col("text"), pattern, kind), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
         return F.when(F.size(terms) > 0, apart).otherwise(F.array().cast(SPAN))
 

@@ -180,6 +180,21 @@ def test_disclosing_terms(spark):
     assert "Zorblatt" not in out and "[EMAIL]" in out and out.startswith("ask about")
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    """A heading and a number far from the address; equal texts are one observation."""
+    rng = random.Random(21)
+    fill = lambda n: " ".join(rng.choice(["some", "text", "of", "no", "weight", "that", "goes", "on"]) for _ in range(n))
+    texts = [fill(60) for _ in range(200)]
+    texts += [f"Quenby {fill(50)} write to boss@corp.example {fill(50)} Ixby 4711" for _ in range(5)]
+    texts += ["Onlycopy same for everyone " + fill(9) + " other@corp2.example"] * 7
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, docs(spark, texts), ("doc_id", "text")).collect()}
+    for i in range(200, 205):
+        assert "[EMAIL]" in out[i] and not any(w in out[i] for w in ("Quenby", "Ixby", "4711"))
+        assert "write" not in out[i] and out[i].count("some") == texts[i].count("some")
+    assert all(out[i] == texts[i] for i in range(200))
+    assert all(out[i].startswith("Onlycopy same for everyone") for i in range(205, 212))
+
+
 def test_sanitised_text(spark):
     df = docs(spark, ["call +1 (499) 555-6503 or a@b.co é 1.2.3.4", None, "", "clean"])
     got = [r["text"] for r in pii.sanitise(spark, df, ("doc_id", "text")).orderBy("doc_id").collect()]
