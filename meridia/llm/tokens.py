@@ -4,12 +4,14 @@ The tokenizer's words never cross white space and each is encoded by itself, so
 a column is lower-cased, cut into words and reduced to its distinct words in
 Arrow; only words that the bounded cache lacks go to the tokenizer, and the
 ids of all texts are then gathered in numpy. Texts with characters outside the
-ones below, for which case and word classes are plain, go to it whole.
+ones below, for which case and word classes are plain, go to it whole, and so do
+texts that hold an added token (``<|endoftext|>``), which it takes for one id.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -46,7 +48,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = "|".join([_OTHER, *(f"(?i:{t})" for t in added)])
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # pieces that end a word
         self.last[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
@@ -69,7 +72,7 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text; null is the empty text."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _OTHER)
+        odd = pc.match_substring_regex(texts, self.whole)
         plain = texts.filter(pc.invert(odd))
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), _WORD, r"\1 "))
         codes, bounds, words = distinct(split)

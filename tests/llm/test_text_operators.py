@@ -112,6 +112,20 @@ def test_word_tokenizer_is_exact():
         assert ids.tolist() == tok.tok.encode(t or "", add_special_tokens=False).ids
 
 
+def test_word_tokenizer_takes_added_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    fresh = Tokenizer.from_file(path)
+    rng = random.Random(20)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", " ", "\n", "hi", "There", "é", "Σ", "\u212a", "\u017f", "'s", "7"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(2000)] + ["hi <|endoftext|> there", None]
+    got = WordTokenizer(path).encode(pa.array(texts))
+    assert got[2000].tolist() == [1883, 49407, 997]
+    for t, ids in zip(texts, got):
+        assert ids.tolist() == fresh.encode(t or "", add_special_tokens=False).ids
+
+
 # --- pieces ---
 
 
