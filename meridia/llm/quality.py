@@ -2,7 +2,7 @@
 
     P(grade > k | x) = sigmoid(w . x - t_k),   t_0 < t_1 < ...
 
-One weight vector over hashed text features is shared by all grades; only the
+One weight vector over hashed token shapes and a few shares (no words) is shared by all grades; only the
 thresholds differ, and they stay ordered because their gaps are fitted as
 logarithms. The expected grade is the sum of the tail probabilities; documents
 are selected by the tail probability of the grade that is asked for.
@@ -52,7 +52,7 @@ def _kind(token: str) -> tuple[int, int, int]:
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of a text: hashed shapes, words and dense shares, each of unit length or a share."""
+    """(buckets, values) of a text: hashed shapes and dense shares, of unit length or a share; words count only in the share of different ones."""
     tokens = _SHAPE.findall(text or "")
     dense = np.zeros(_DENSE)
     dense[0] = 1.0
