@@ -8,34 +8,80 @@ a lost executor costs a re-read and never the table.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH, SLICE = 8 << 20, 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Batches for Python workers hold at most BATCH bytes (or one row), unless the session sets less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", spark.conf.get(key)).group()) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts have at most ``limit`` bytes together, or are one text; what a part took is given back."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield batch.slice(at, stop - at)
+            at, done = stop, ends[stop - 1]
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named (tests)."""
+    """The cluster's shared folder. Where none is named, a local one, which only a local master's tasks can share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.gettempdir()}/meridia-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_OPEN: list["Workspace"] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that operators have staged in this process; call it when their results are written."""
+    while _OPEN:
+        _OPEN.pop().delete(spark)
+
+
 class Workspace:
-    """Writes intermediate tables of one operator run and rereads them."""
+    """Writes intermediate tables of one operator run and rereads them.
+
+    Results read them, so they stay until ``clean`` is called.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        bounded(spark)
+        _OPEN.append(self)
+
+    def delete(self, spark: SparkSession) -> None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{self.n:03d}-{name}"
