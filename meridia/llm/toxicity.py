@@ -1,81 +1,93 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, one of toxic and one of ordinary labelled documents, are compared
-by length-normalised log-likelihood. Their counts are continuation counts: in
-how many different contexts (words before it) a class has an expression, so a
-passage or a copied document counts once however often it stands there. Counts
-are discounted, and what is taken off goes to the backoff:
-
-    P_c(w) = (max(N_c(w) - D, 0) + D * S(w)) / N_c
-
-with N_c(w) the contexts of w in class c, N_c those of all words, and S(w) the
-shared backoff count, w's share of all documents plus 0.05 (at most 1), which
-is the same for both classes; it is not normalised. An expression that neither class has in more than D contexts is left
-to its backoff whole: to the longest of its stems that has evidence, and else
-to the shared counts alone, where both classes agree and no score moves. So is
-one whose share of toxic contexts is within 5 standard deviations of the
-corpus's, or whose log ratio is below 1.5: rare expressions are thrown out, not
-smoothed. README has figures, also of the estimate without these cuts.
-
-A text is scored by its most toxic window of ``window`` words and by the mean
-over all its words; a logistic scale fitted on the training rows turns both
-into a probability.
+by log-likelihood, normalised by length. An expression is two words, a word, or
+a stem of a word. Its count ``N_c`` in a class is a continuation count: in how
+many different texts of the class it stands, so that neither a copied document
+nor repetition within one adds to it. Counts are discounted, and what is taken
+off goes to the shared backoff:
+
+    P_c(g) = (N_c(g) - D_c(g) + n_c * S(g)) / n_c
+    D_c(g) = min(N_c(g), E + z * sqrt(E + 1)),   E = n_c * S(g)
+
+``n_c`` are the texts of the class and ``S(g)`` is the shared backoff count, the
+share of all documents that hold the expression. The discount follows the
+count: it is what the shared counts explain, with ``z`` standard errors. A rare
+expression is discounted whole and left to the shared counts; where that holds
+in both classes, the next shorter expression stands for it: two words back off
+to the second, a word to its stems of 6, 5 and 4 letters, and those to the shared
+counts alone, where both classes agree.
+
+A text's score is the mean of ``ln P_toxic - ln P_ordinary`` over its words, by
+a logistic scale that is fitted on the training rows.
 """
 
 from __future__ import annotations
 
 import re
-from math import log
+from collections import Counter
+from math import exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bounded, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
+STEMS = (6, 5, 4)
+CACHE = 50_000
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-STEMS = (6, 5, 4)
+def stems(word: str) -> list[str]:
+    """Stems of a word, longest first; ``*`` keeps them apart from words."""
+    return [word[:n] + "*" for n in STEMS if len(word) > n]
+
+
+def log_ratio(toxic: int, ordinary: int, n_toxic: int, n_ordinary: int, share: float, z: float) -> float | None:
+    """ln P_toxic - ln P_ordinary of an expression; None where both counts are discounted whole."""
+    kept, p = 0.0, []
+    for count, n in ((toxic, n_toxic), (ordinary, n_ordinary)):
+        e = n * share
+        left = max(0.0, count - e - z * sqrt(e + 1))
+        kept += left
+        p.append((left + e) / n)
+    return log(p[0] / p[1]) if kept else None
 
 
 class Model:
-    """Log ratios, toxic to ordinary, of words and of stems (with ``*``); all others have the common ratio."""
+    """Log ratios of the expressions that have evidence; all others have none."""
 
-    def __init__(self, ratios: dict[str, float], common: float, window: int):
-        self.ratios, self.common, self.window = ratios, common, window
-        self.weights = np.zeros(3)
+    def __init__(self, ratios: dict[str, float]):
+        self.ratios = ratios
+        self.heads = {g.split(" ")[0] for g in ratios if " " in g}
+        self.weight, self.constant = 1.0, -3.0
         self.cache: dict[str, float] = {}
 
     def word(self, w: str) -> float:
         r = self.cache.get(w)
         if r is None:
-            if len(self.cache) > 300_000:
+            if len(self.cache) > CACHE:
                 self.cache.clear()
-            options = [w, *(w[:n] + "*" for n in STEMS if len(w) > n)]
-            r = self.cache[w] = next((self.ratios[o] for o in options if o in self.ratios), self.common)
+            r = self.cache[w] = next((self.ratios[g] for g in (w, *stems(w)) if g in self.ratios), 0.0)
         return r
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """(most toxic window, whole text), in log-likelihood ratio per word."""
+    def ratio(self, text: str | None) -> float:
+        """Log-likelihood ratio per word; 0 without words."""
         w = words(text)
-        if not w:
-            return self.common, self.common
-        r = np.fromiter(map(self.word, w), float, len(w))
-        n = self.window
-        sums = np.cumsum(np.concatenate([[0.0], r]))
-        top = (sums[n:] - sums[:-n]).max() if len(r) > n else sums[-1] + self.common * (n - len(r))
-        return float(top / n), float(sums[-1] / len(r))
+        r = list(map(self.word, w))
+        if self.heads:
+            for i in [i for i, x in enumerate(w[:-1], 1) if x in self.heads]:
+                r[i] = self.ratios.get(f"{w[i - 1]} {w[i]}", r[i])
+        return sum(r) / len(r) if r else 0.0
 
     def score(self, text: str | None) -> float:
-        a, b = self.features(text)
-        z = float(self.weights @ (a, b, 1.0))
-        return 1 / (1 + np.exp(-min(max(z, -700), 700)))
+        return 1 / (1 + exp(-min(max(self.weight * self.ratio(text) + self.constant, -700), 700)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: int = 50) -> np.ndarray:
@@ -94,111 +106,109 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: int =
     return w
 
 
-def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, sample_rows: int = 12_000, discount: float = 4.0, max_terms: int = 50_000, window: int = 40) -> Model:
+def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, sample_rows: int = 12_000, z: float = 3.0) -> Model:
     """docs: doc_id, text (all documents); labelled: doc_id, toxic (0 or 1).
 
     At most ``sample_rows`` labelled rows, those of smallest hash, are read for
-    the class counts; the shared counts are those of all documents. At most
-    ``max_terms`` expressions, those with most evidence, make the model.
+    the class counts, equal texts of a class once; the shared counts are those
+    of all documents. Other columns, null ids, and labels that are null or
+    neither 0 nor 1 are ignored; a repeated id is toxic if one of its labels
+    is. Null and empty texts count as documents without words. Without labelled
+    documents of both classes no text is toxic.
     """
     ws = Workspace(spark, "toxicity")
-    chosen = labelled.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    docs = docs.select("doc_id", "text")
+    chosen = labelled.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = ws.stage(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "chosen")  # 12 bytes a row
-    read = ws.stage(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
-
-    def contexts(batches):
-        for b in batches:
-            seen = set()
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words(t)
-                seen.update(zip(["", *w], w, [y] * len(w)))
-            v, w, y = zip(*seen) if seen else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(w, pa.string()), pa.array(y, pa.int32())], names=["before", "word", "toxic"])
-
-    pairs = read.mapInArrow(contexts, "before string, word string, toxic int").groupBy("before", "word", "toxic").agg(F.lit(1).alias("x"))
-    stems = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS]
-    each = pairs.select("toxic", F.explode(F.array_compact(F.array("word", *stems))).alias("term"), F.col("word"))
-    counts = each.groupBy("term").agg(
-        F.sum((F.col("toxic") == 1).cast("long")).alias("a"),
-        F.sum((F.col("toxic") == 0).cast("long")).alias("b"),
-    )
-    counts = ws.stage(counts, "counts")
-    n_tox, n_ord = counts.where(~F.col("term").endswith("*")).agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    rate = n_tox / max(1, n_tox + n_ord)
-    mean = (F.col("a") + F.col("b")) * rate
-    z = F.abs(F.col("a") - mean) / F.sqrt(mean * (1 - rate) + 1)
-    terms = counts.where(F.greatest("a", "b") > discount).withColumn("z", z).where("z > 5").orderBy(F.desc("z"), "term").limit(max_terms)
-    terms = {r["term"]: (r["a"], r["b"]) for r in terms.collect()}
-    held = spark.sparkContext.broadcast(set(terms))
+    read = ws.stage(docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").distinct(), "labelled")
+    n = {r["toxic"]: r["n"] for r in read.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return Model({})
+    n_docs = docs.count()
+
+    def counted(units) -> DataFrame:
+        """(term, a, b): the toxic and the ordinary texts with an expression, where either count can outlast its discount."""
+
+        def run(batches):
+            for b in slices(batches, 0, 1 << 20):
+                seen = Counter()
+                for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    seen.update([(g, y) for g in units(words(t))])
+                term, toxic = zip(*seen) if seen else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(toxic, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "n"])
+
+        side = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
+        got = read.mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(side(1).alias("a"), side(0).alias("b"))
+        least = lambda y: F.lit(n[y] / max(1, n_docs)) * (F.col("a") + F.col("b"))
+        return got.where((F.col("a") > least(1) + z * F.sqrt(least(1) + 1)) | (F.col("b") > least(0) + z * F.sqrt(least(0) + 1)))
+
+    def single(w: list[str]) -> set[str]:
+        own = set(w)
+        return own.union(*map(stems, own))
+
+    counts = {r["term"]: (r["a"], r["b"]) for r in counted(single).collect()}
+    often = spark.sparkContext.broadcast({g for g in counts if not g.endswith("*")})
+
+    def double(w: list[str]) -> set[str]:
+        """Two words, each of which has enough texts itself."""
+        known = often.value
+        return {f"{v} {x}" for v, x in zip(w, w[1:]) if v in known and x in known}
+
+    counts |= {r["term"]: (r["a"], r["b"]) for r in counted(double).collect()}
+    held = spark.sparkContext.broadcast((set(counts), {g.split(" ")[0] for g in counts if " " in g}))
 
     def shared(batches):
-        n, total, known, stems = {}, 0, held.value, {}
-        for b in batches:
+        found, (known, heads), cache = Counter(), held.value, {}
+        for b in slices(batches, 0):
             for t in b.column(0).to_pylist():
-                total += 1
-                for w in set(words(t)):
-                    got = stems.get(w)
-                    if got is None:
-                        if len(stems) > 300_000:
-                            stems.clear()
-                        got = stems[w] = [o for o in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)) if o in known]
-                    for o in got:
-                        n[o] = n.get(o, 0) + 1
-        n[""] = total
-        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-    got = docs.select("text").mapInArrow(shared, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    got = {r["term"]: r["n"] for r in got.collect()}  # at most max_terms + 1 rows
-    total = max(1, got.get("", 0))
-
-    def ratio(term: str) -> float:
-        a, b = terms[term]
-        back = discount * min(1.0, max(1, got.get(term, 1)) / total + 0.05)
-        p_tox = (max(a - discount, 0) + back) / max(1, n_tox)
-        p_ord = (max(b - discount, 0) + back) / max(1, n_ord)
-        return log(p_tox / p_ord)
-
-    ratios = {t: r for t in terms if abs(r := ratio(t)) >= 1.5}
-    model = Model(ratios, 0.0, window)
-    rows = read.mapInArrow(_featured(model), "a double, b double, toxic int").collect()  # sample_rows at most
-    if len({r["toxic"] for r in rows}) == 2:
-        x = np.array([(r["a"], r["b"], 1.0) for r in rows])
-        scale = np.array([*np.maximum(x[:, :2].std(axis=0), 1e-9), 1.0])
-        model.weights = logistic(x / scale, np.array([r["toxic"] for r in rows], float)) / scale
-    else:
-        model.weights = np.array([1.0, 0.0, -3.0])
-    model.cache = {}
+                w, got = words(t), set()
+                for x in set(w):
+                    if x not in cache:
+                        if len(cache) > CACHE:
+                            cache.clear()
+                        cache[x] = [g for g in (x, *stems(x)) if g in known]
+                    got.update(cache[x])
+                got.update(g for v, x in zip(w, w[1:]) if v in heads and (g := f"{v} {x}") in known)
+                found.update(got)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+
+    total = docs.select("text").mapInArrow(shared, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    total = {r["term"]: r["n"] for r in total.collect()}  # at most as many rows as ``counts``
+    ratios = {g: log_ratio(a, b, n[1], n[0], max(1, total.get(g, 0)) / n_docs, z) for g, (a, b) in counts.items()}
+    model = Model({g: r for g, r in ratios.items() if r is not None})
+    sent = spark.sparkContext.broadcast(model)
+
+    def compared(batches):
+        for b in slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([sent.value.ratio(t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["ratio", "toxic"])
+
+    rows = read.mapInArrow(compared, "ratio double, toxic int").toArrow()  # sample_rows at most
+    x, y = rows.column("ratio").to_numpy(), rows.column("toxic").to_numpy()
+    scale = max(x.std(), 1e-9)
+    weight, constant = logistic(np.stack([x / scale, np.ones(len(x))], 1), y.astype(float))
+    model.weight, model.constant = float(weight / scale), float(constant)
     return model
 
 
-def _featured(model: Model):
-    def run(batches):
-        for b in batches:
-            f = np.array([model.features(t) for t in b.column(0).to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), b.column(1)], names=["a", "b", "toxic"])
-
-    return run
-
-
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns in ``keep``, then score (0 to 1) and predicted (1 from one half).
 
     Null, empty and wordless texts get the score of a text without evidence;
-    repeated rows are scored each; an empty table gives no rows.
+    repeated rows are scored each; texts of any length are scored whole; an
+    empty table gives no rows. Columns of ``keep`` that are named score or
+    predicted give way to the operator's.
     """
+    keep = tuple(c for c in keep if c not in ("score", "predicted"))
     own = () if text in keep else (F.col(text).alias("scored_text"),)
     src = docs.select(*keep, *own)
     at, n = (len(keep) if own else keep.index(text)), len(keep)
-    held = spark_broadcast(docs, model)
+    bounded(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, at):
             s = [held.value.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*keep, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:n])
     return src.mapInArrow(run, f"{fields}, score double, predicted int")
-
-
-def spark_broadcast(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
