@@ -2,33 +2,34 @@
 
     P(grade > k | x) = sigmoid(w . x - t_k),   t_0 < t_1 < ...
 
-One weight vector over hashed token shapes and a few shares (no words) is shared by all grades; only the
-thresholds differ, and they stay ordered because their gaps are fitted as
-logarithms. The expected grade is the sum of the tail probabilities; documents
-are selected by the tail probability of the grade that is asked for.
+One weight vector over hashed words, hashed shapes of tokens and a few shares
+is shared by all grades; only the thresholds differ, and they stay ordered
+because their gaps are fitted as logarithms. The expected grade is the sum of
+the tail probabilities; documents are selected by the tail probability of the
+grade that is asked for. Words are many and rare, so their weights have a
+penalty of their own.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, bounded, slices
 
-BUCKETS = 1 << 14
-_SHAPE = re.compile(r"[^\W\d_]+|\d+|\s+|[^\w\s]+|_+")
-_DENSE = 8
+SHAPES, WORDS, DENSE = 1 << 14, 1 << 15, 8
+SIZE = SHAPES + WORDS + DENSE
+CACHE = 50_000
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|\s+|[^\w\s]+|_+")
 
 
-@lru_cache(maxsize=400_000)
 def _hashed(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+    return zlib.crc32(token.encode("utf-8", "surrogatepass"))
 
 
 def _shape(token: str) -> str:
@@ -43,36 +44,45 @@ def _shape(token: str) -> str:
     return f"m{token[:3]}"
 
 
-@lru_cache(maxsize=400_000)
-def _kind(token: str) -> tuple[int, int, int]:
-    """(bucket of the token's shape, bucket of a word, class of the token)."""
-    kind = 0 if token[0].isalpha() else 1 if token[0].isdigit() else 2 if token.isspace() else 3
-    up = 1 if kind == 0 and len(token) > 1 and token.isupper() else 0
-    return _hashed("s" + _shape(token)), _hashed("w" + token.lower()) if kind == 0 else -1, kind * 2 + up
+class _Codes(dict):
+    """Of a token, in one number: the bucket of its shape, the bucket of a word (0 for other tokens, else from 1), and its class."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        kind = 0 if token[0].isalpha() else 1 if token[0].isdigit() else 2 if token.isspace() else 3
+        up = kind == 0 and len(token) > 1 and token.isupper()
+        word = 1 + _hashed("w" + token.lower()) % WORDS if kind == 0 else 0
+        code = self[token] = (_hashed("s" + _shape(token)) % SHAPES) << 20 | word << 3 | kind * 2 + up
+        return code
+
+
+_codes = _Codes()
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of a text: hashed shapes and dense shares, of unit length or a share; words count only in the share of different ones."""
-    tokens = _SHAPE.findall(text or "")
-    dense = np.zeros(_DENSE)
+    """(columns, values) of a text: roots of the shares of its hashed shapes and words, and shares of kinds."""
+    tokens = _TOKEN.findall(text or "")
+    dense = np.zeros(DENSE)
     dense[0] = 1.0
+    last = SHAPES + WORDS + np.arange(DENSE)
     if not tokens:
         dense[7] = 1.0
-        return BUCKETS + np.arange(_DENSE), dense
-    info = np.array([_kind(t) for t in tokens])
-    kinds = np.bincount(info[:, 2], minlength=8)
-    words = max(1, kinds[0] + kinds[1])
-    spoken = info[info[:, 1] >= 0, 1]
-    dense[1] = kinds[1] / words
+        return last, dense
+    code = np.fromiter(map(_codes.__getitem__, tokens), np.int64, len(tokens))
+    kinds = np.bincount(code & 7, minlength=8)
+    spoken = code >> 3 & (1 << 17) - 1
+    word, times = np.unique(spoken[spoken > 0] - 1, return_counts=True)
+    shape, n = np.unique(code >> 20, return_counts=True)
+    plain = max(1, kinds[0] + kinds[1])
+    dense[1] = kinds[1] / plain
     dense[2] = kinds[6] / len(tokens) * 2
     dense[3] = kinds[2] / len(tokens)
-    dense[4] = len(np.unique(spoken)) / words if len(spoken) else 0
+    dense[4] = len(word) / plain
     lines = (text or "").split("\n")
     dense[5] = 1 - len(set(lines)) / len(lines)
     dense[6] = min(1.0, np.log1p(len(tokens)) / 12)
-    shape, n = np.unique(info[:, 0], return_counts=True)
-    value = np.sqrt(n / n.sum())
-    return np.concatenate([shape, BUCKETS + np.arange(_DENSE)]), np.concatenate([value, dense])
+    return np.concatenate([shape, SHAPES + word, last]), np.concatenate([np.sqrt(n / len(tokens)), np.sqrt(times / len(tokens)), dense])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -84,7 +94,7 @@ class Ordinal:
 
     def __init__(self, grades: list[int]):
         self.grades = grades
-        self.w = np.zeros(BUCKETS + _DENSE)
+        self.w = np.zeros(SIZE)
         self.first, self.gaps = 0.0, np.zeros(max(0, len(grades) - 2))
 
     @property
@@ -95,9 +105,10 @@ class Ordinal:
         """P(grade > k) for each k but the last."""
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 300, rate: float = 0.1, penalty: float = 1e-5) -> "Ordinal":
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 300, rate: float = 0.1, penalty: float = 1e-5, word_penalty: float = 1e-3) -> "Ordinal":
         """Full-batch Adam on the likelihood of the observed grades; y holds indices into ``grades``."""
-        k = len(self.grades)
+        ridge = np.full(SIZE, penalty)
+        ridge[SHAPES : SHAPES + WORDS] = word_penalty
         at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         col, val = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
         n = len(rows)
@@ -105,15 +116,7 @@ class Ordinal:
         m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
         for step in range(1, rounds + 1):
             self.w, self.first, self.gaps = theta[0], float(theta[1][0]), theta[2]
-            score = np.bincount(at, self.w[col] * val, n)
-            cut = np.concatenate([[-np.inf], self.thresholds, [np.inf]])
-            up = np.where(y + 1 < k, _sigmoid(cut[np.minimum(y + 1, k - 1)] - score), 1.0)
-            down = np.where(y > 0, _sigmoid(cut[np.maximum(y, 1)] - score), 0.0)
-            p = np.maximum(up - down, 1e-9)
-            du, dd = up * (1 - up), np.where(y > 0, down * (1 - down), 0.0)
-            d_score = (du - dd) / p / n
-            d_cut = np.bincount(y, -du / p, k)[: k - 1] + np.bincount(y, dd / p, k)[1:]
-            grad = [np.bincount(col, d_score[at] * val, len(self.w)) + penalty * self.w, np.array([d_cut.sum() / n]), np.array([d_cut[i + 1 :].sum() / n * np.exp(g) for i, g in enumerate(self.gaps)])]
+            grad = self.gradient(at, col, val, y, n, ridge)[1]
             for i, g in enumerate(grad):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -121,6 +124,20 @@ class Ordinal:
         self.w, self.first, self.gaps = theta[0], float(theta[1][0]), theta[2]
         return self
 
+    def gradient(self, at: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, n: int, ridge: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """(mean negative log-likelihood with its penalty, gradients of the weights, the first threshold and the gaps)."""
+        k = len(self.grades)
+        score = np.bincount(at, self.w[col] * val, n)
+        cut = np.concatenate([[-np.inf], self.thresholds, [np.inf]])
+        up = np.where(y + 1 < k, _sigmoid(cut[np.minimum(y + 1, k - 1)] - score), 1.0)
+        down = np.where(y > 0, _sigmoid(cut[np.maximum(y, 1)] - score), 0.0)
+        p = np.maximum(up - down, 1e-9)
+        du, dd = up * (1 - up), np.where(y > 0, down * (1 - down), 0.0)
+        d_score = (du - dd) / p / n
+        d_cut = np.bincount(y, -du / p, k)[: k - 1] + np.bincount(y, dd / p, k)[1:]
+        loss = float(-np.log(p).mean() + (ridge * self.w**2).sum() / 2)
+        return loss, [np.bincount(col, d_score[at] * val, SIZE) + ridge * self.w, np.array([d_cut.sum() / n]), np.array([d_cut[i + 1 :].sum() / n * np.exp(g) for i, g in enumerate(self.gaps)])]
+
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(tail probabilities, expected grade) of each text."""
         score = np.array([float(self.w[c] @ v) for c, v in map(features, texts)])
@@ -132,24 +149,27 @@ class Ordinal:
 def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, sample_rows: int = 6_000) -> Ordinal | None:
     """docs: doc_id, text; labelled: doc_id, grade (whole numbers, any number of grades).
 
-    At most ``sample_rows`` labelled rows, those of smallest hash, are read.
-    None without labelled documents of two grades.
+    At most ``sample_rows`` labelled rows, those of smallest hash, are read,
+    equal texts of a grade once. Other columns, null ids and null grades are
+    ignored; a repeated id has its lowest grade; null and empty texts have no
+    tokens. None without labelled documents of two grades.
     """
     ws = Workspace(spark, "quality")
-    chosen = labelled.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+    chosen = labelled.select("doc_id", "grade").where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = ws.stage(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "chosen")  # 12 bytes a row
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             got = [features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([c.tolist() for c, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float64()))], names=["grade", "col", "val"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([c for c, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64()))], names=["grade", "col", "val"])
 
-    read = docs.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(run, "grade int, col array<int>, val array<double>").limit(2 * sample_rows).collect()
-    grades = sorted({r["grade"] for r in read})
+    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade").distinct()
+    read = ws.stage(read, "labelled").mapInArrow(run, "grade int, col array<int>, val array<double>").toArrow()
+    grades, y = np.unique(read.column("grade").to_numpy(), return_inverse=True)
     if len(grades) < 2:
         return None
-    y = np.searchsorted(grades, [r["grade"] for r in read])
-    return Ordinal(grades).fit([(np.array(r["col"]), np.array(r["val"])) for r in read], y)
+    rows = [(np.array(c), np.array(v)) for c, v in zip(read.column("col").to_numpy(), read.column("val").to_numpy())]
+    return Ordinal(grades.tolist()).fit(rows, y)
 
 
 def score(docs: DataFrame, model: Ordinal | None, least: int | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -157,9 +177,12 @@ def score(docs: DataFrame, model: Ordinal | None, least: int | None = None, keep
 
     tail_probability is that of a grade of ``least`` or more (the second-lowest
     grade by default); from one half a document is selected. Null and empty
-    texts are scored by their missing features; repeated rows each; an empty
-    table gives no rows. Without a model everything is selected, with nulls.
+    texts are scored by their missing features; repeated rows each; texts of
+    any length whole; an empty table gives no rows. Columns of ``keep`` that
+    have the name of a result give way to it. Without a model everything is
+    selected, with nulls.
     """
+    keep = tuple(c for c in keep if c not in ("expected_grade", "tail_probability", "selected"))
     own = () if text in keep else (F.col(text).alias("graded_text"),)
     src = docs.select(*keep, *own)
     column, n = (len(keep) if own else keep.index(text)), len(keep)
@@ -167,12 +190,11 @@ def score(docs: DataFrame, model: Ordinal | None, least: int | None = None, keep
     if model is None:
         return src.select(*keep, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("selected"))
     at = next((i for i, g in enumerate(model.grades[1:]) if least is not None and g >= least), 0)
+    bounded(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, column):
             tails, expected = held.value.predict(b.column(column).to_pylist())
             p = tails[:, at]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(expected), pa.array(p), pa.array(p >= 0.5)], names=[*keep, "expected_grade", "tail_probability", "selected"])
