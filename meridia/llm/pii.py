@@ -13,6 +13,14 @@ the information content ``IC(c) = ln( texts / texts with c )``. Their
 quotient is the share of what c says that t already says. Pairs at or above
 ``generalise_at`` have t generalised, at or above ``remove_at`` removed, in the
 documents that mention c. Counts cover all documents, equal texts once.
+
+Credentials are protected as well, and have no form of their own: a key is any
+long run of letters and digits. What gives one away is the company it keeps. For
+a run t, the contexts are the texts in which it follows a word such as
+``token`` or ``api key``, and the same quotient says how much more often that
+is so than its share of all texts would have it; at or above ``remove_at`` the run
+is taken for a secret wherever it stands. A run that stands elsewhere too, such
+as a checksum or an id, stays.
 """
 
 from __future__ import annotations
@@ -33,25 +41,32 @@ BASE = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][0-9 -]{14,}[0-9]"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]"),
 )
+RUN = "A-Za-z0-9_+/=-"
+SECRET = rf"(?<![{RUN}])(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[{RUN}]{{16,}}+"
+#: words that announce a credential, with what may stand between
+CUE = r"(?:tokens?|secrets?|passw(?:or)?ds?|credentials?|bearer|(?:api|access|private|secret|auth)[_ -]?keys?)[\"']?\s{0,3}[:=]?\s{0,3}[\"']?"
 WORD = r"[\p{L}\p{M}\p{N}]{4,}"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
 def spans_of(text: Column, pattern: Column, kind: int) -> Column:
-    """Matches of a pattern as structs (kind, start, end, value); code points, end exclusive."""
-    both = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    """Matches of a pattern as structs (kind, start, end, value); code points, end exclusive.
+
+    The running position is kept in a string, which grows in place, so the time
+    is linear in the number of matches.
+    """
+    values = F.regexp_extract_all(text, pattern, F.lit(0))
+    both = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gap"), F.transform(values, lambda v: F.length(v)).alias("size"))
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["at"] + m["gap"]
-        end = begin + F.coalesce(F.length(m["value"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(m["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+        end = begin + F.coalesce(m["size"], F.lit(0))
+        return F.struct(end.alias("at"), F.concat(acc["out"], begin.cast("string"), F.lit(","), end.cast("string"), F.lit(";")).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["spans"])
+    places = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.split(acc["out"], ";"))
+    found = F.filter(F.arrays_zip(places.alias("place"), values.alias("value")), lambda m: m["value"].isNotNull())
+    at = lambda m, k: F.substring_index(m["place"], ",", k).cast("int")
+    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), at(m, 1).alias("start"), at(m, -1).alias("end"), m["value"].alias("value")))
 
 
 def _holds(kind: str, value: Column) -> Column:
@@ -96,7 +111,8 @@ def disclosing_terms(ws: Workspace, docs: DataFrame, found: DataFrame, generalis
     texts = docs.select(key.alias("key"), words(F.col("text")).alias("terms")).dropDuplicates(["key"])
     df = ws.stage(texts.select(F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs")), "df")
     n_docs = F.broadcast(df.where("term = ''").select(F.col("term_docs").cast("double").alias("n")))  # one row
-    mention = found.select(key.alias("key"), F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("key", "entity").agg(F.lit(1).alias("x"))
+    mention = found.select(key.alias("key"), F.array_distinct(F.transform("base", _entity)).alias("named"))  # the key before texts multiply
+    mention = mention.select("key", F.explode("named").alias("entity")).groupBy("key", "entity").agg(F.lit(1).alias("x"))
     mention = ws.stage(mention.drop("x"), "mentions")
     contexts = ws.stage(mention.groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support), "contexts")
     kept = mention.join(contexts.select("entity"), "entity").groupBy("key").agg(F.collect_list("entity").alias("entities"))
@@ -109,6 +125,29 @@ def disclosing_terms(ws: Workspace, docs: DataFrame, found: DataFrame, generalis
     return pairs.withColumn("share", share).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("removed"))
 
 
+def secret_runs(text: Column) -> Column:
+    """array<struct<term,cued>> of the long runs of a text, in lower case, and whether one of them follows a cue."""
+    low = F.lower(text)
+    cued = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"{CUE}({SECRET})"), F.lit(1)))
+    runs = F.array_distinct(F.regexp_extract_all(low, F.lit(SECRET), F.lit(0)))
+    found = F.transform(runs, lambda t: F.struct(t.alias("term"), F.array_contains(cued, t).alias("cued")))
+    mixed = text.rlike("[0-9][A-Za-z_+/=-]|[A-Za-z_+/=-][0-9]")
+    return F.when(mixed & text.rlike(SECRET), found).otherwise(F.array().cast("array<struct<term:string,cued:boolean>>"))
+
+
+def secret_terms(ws: Workspace, docs: DataFrame, found: DataFrame, remove_at: float) -> DataFrame:
+    """(term) of the runs that are credentials; docs: text; found: text, runs."""
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.reverse("text")).alias("b"))  # of a text
+    texts = found.where(F.size("runs") > 0).select(key.alias("key"), "runs").dropDuplicates(["key"])
+    texts = ws.stage(texts.select("key", F.exists("runs", lambda r: r["cued"]).alias("any"), "runs"), "runs")
+    contexts = texts.where("any").agg(F.count("*").cast("double").alias("contexts"))
+    n_docs = docs.select(key.alias("key")).groupBy("key").agg(F.lit(1).alias("x")).agg(F.count("*").cast("double").alias("n"))
+    one = F.broadcast(contexts.crossJoin(n_docs))  # one row
+    runs = texts.select(F.explode("runs").alias("r")).groupBy("r.term").agg(F.count("*").alias("texts"), F.count_if("r.cued").alias("near")).where("near > 0")
+    share = F.when(F.col("near") == F.col("texts"), 1.0).when(F.col("n") > F.col("contexts"), 1 + F.log(F.col("near") / F.col("texts")) / F.log(F.col("n") / F.col("contexts")))
+    return runs.crossJoin(one).where(share >= remove_at).select("term")
+
+
 def find(
     spark: SparkSession,
     docs: DataFrame,
@@ -122,54 +161,57 @@ def find(
     """Per document: doc_id, text (null where no span was found), base, terms, and the columns in ``keep``.
 
     base and terms are arrays of (kind, start, end, value), by kind and start;
-    kinds 0 to 3 as in BASE, 4 for terms to generalise, 5 for terms to remove.
-    Terms that overlap a base span are left to it. A null text counts as
-    empty and has no spans; repeated rows are handled each; rows with a null
-    id get base spans only; an empty table gives no rows.
+    kinds 0 to 3 as in BASE, 4 for secrets, 5 for terms to generalise, 6 for
+    terms to remove. Terms that overlap a base span are left to it. A null text
+    counts as empty and has no spans; rows with a null id get base spans only;
+    repeated rows are handled each, and rows of one id share their terms;
+    texts of any length are read whole, in linear time; an empty table gives no
+    rows.
     """
     ws = Workspace(spark, "pii")
     src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    src = src.withColumn("base", base_spans(F.col("text")))
-    all_rows = ws.stage(src.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base")
+    src = src.withColumn("base", base_spans(F.col("text"))).withColumn("runs", secret_runs(F.col("text")))
+    all_rows = ws.stage(src.withColumn("text", F.when((F.size("base") > 0) | (F.size("runs") > 0), F.col("text"))), "base")
     found = all_rows.where("text is not null and doc_id is not null")
     plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    telling = ws.stage(disclosing_terms(ws, plain, found, generalise_at, remove_at, support), "terms")
+    telling = ws.stage(disclosing_terms(ws, plain, found.where(F.size("base") > 0), generalise_at, remove_at, support), "terms")
     entities = found.select("doc_id", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     told = entities.join(telling, "entity").groupBy("doc_id", "term").agg(F.max("removed").alias("removed"))
-    told = told.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("removed"), F.col("term")))).alias("general"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("term")))).alias("gone")
+    secrets = ws.stage(secret_terms(ws, plain, found, remove_at), "secrets")
+    held = found.select("doc_id", F.explode(F.transform("runs", lambda r: r["term"])).alias("term")).join(secrets, "term").select("doc_id", "term").distinct()
+    told = told.unionByName(held.withColumn("removed", F.lit(None).cast("boolean"))).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("removed").isNull(), F.col("term")))).alias("secret"),
+        F.array_sort(F.collect_list(F.when(~F.col("removed"), F.col("term")))).alias("general"),
+        F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("term")))).alias("gone"),
     )
     out = all_rows.join(told, "doc_id", "left")
 
-    def occurrences(terms: str, kind: int) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    def occurrences(terms: str, kind: int, letters: str = r"\p{L}\p{M}\p{N}") -> Column:
+        quoted = F.transform(terms, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E")))
+        pattern = F.concat(F.lit(rf"(?iu)(?<![{letters}])(?:"), F.array_join(quoted, "|"), F.lit(rf")(?![{letters}])"))
         apart = F.filter(spans_of(F.col("text"), pattern, kind), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
         return F.when(F.size(terms) > 0, apart).otherwise(F.array().cast(SPAN))
 
-    out = out.withColumn("terms", F.coalesce(F.concat(occurrences("general", 4), occurrences("gone", 5)), F.array().cast(SPAN)))
+    terms = F.concat(occurrences("secret", 4, RUN), occurrences("general", 5), occurrences("gone", 6))
+    out = out.withColumn("terms", F.coalesce(terms, F.array().cast(SPAN)))
     return out.select("doc_id", "text", "base", "terms", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
-LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
+LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[SECRET]", "[TERM]", "")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind's label (removed terms by nothing); of overlapping spans the first, longest one stands for all."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
-    cut = "array<struct<start:int,end:int,kind:int>>"
+    labels = F.array(*map(F.lit, LABELS))
 
-    def merge(acc: Column, s: Column) -> Column:
-        last, end = F.get(acc, F.size(acc) - 1), -s["neg"]
-        one = lambda a, b, k: F.array(F.struct(a.alias("start"), b.alias("end"), k.alias("kind")))
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), one(last["start"], F.greatest(last["end"], end), last["kind"]))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), joined).otherwise(F.concat(acc, one(s["start"], end, s["kind"])))
+    def step(acc: Column, s: Column) -> Column:
+        inside = s["start"] < acc["at"]
+        shown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(labels, s["kind"]))
+        return F.struct(F.greatest(acc["at"], -s["neg"]).alias("at"), F.when(inside, acc["out"]).otherwise(shown).alias("out"))
 
-    merged = F.aggregate(ordered, F.array().cast(cut), merge)
-    labels = F.array(*map(F.lit, LABELS))
-    before = lambda m, i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
-    pieces = F.transform(merged, lambda s, i: F.concat(F.substring(text, before(merged, i) + 1, s["start"] - before(merged, i)), F.get(labels, s["kind"])))
-    tail = F.substring(text, F.get(merged, F.size(merged) - 1)["end"] + 1, F.lit(2**31 - 1))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    whole = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), **options) -> DataFrame:
@@ -185,9 +227,16 @@ def sanitise(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...] = ("
     return out.select(*[cols.get(c, F.col(c)).alias(c) for c in columns])
 
 
+NAMES = (*(kind for kind, _, _ in BASE), "secret", "term", "term")
+
+
 def digests(found: DataFrame) -> DataFrame:
-    names = F.array(*[F.lit(k) for k, _, _ in BASE], F.lit("term"), F.lit("term"))
+    """Counts and places: n_email to n_phone, base_sha256, spans, and n_secret, n_term and n_spans (all of them)."""
+    names = F.array(*map(F.lit, NAMES))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     counts = [F.size(F.filter("base", partial(_is_kind, k))).cast("long").alias(f"n_{kind}") for k, (kind, _, _) in enumerate(BASE)]
-    ordered = F.array_sort(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), F.concat_ws(",", F.when(F.size("base") > 0, text(F.col("base"))), F.when(F.size("terms") > 0, text(ordered))).alias("spans"))
+    ordered = F.array_sort(F.transform("terms", lambda s: F.struct((s["kind"] > 4).alias("term"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    n_secret = F.size(F.filter("terms", partial(_is_kind, 4))).cast("long")
+    spans = F.concat_ws(",", F.when(F.size("base") > 0, text(F.col("base"))), F.when(F.size("terms") > 0, text(ordered)))
+    n_terms, n_base = F.size("terms").cast("long"), F.size("base").cast("long")
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), n_secret.alias("n_secret"), (n_terms - n_secret).alias("n_term"), (n_base + n_terms).alias("n_spans"))
