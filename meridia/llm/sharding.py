@@ -138,7 +138,7 @@ def shard(
         if even:
             now = ws.stage(moved(even, free, movable).select(*cols), "even")
     buckets = max(16, n_rows // rows_per_bucket)
-    placed = now.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    placed = now.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(11)), F.lit(buckets)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
