@@ -1,9 +1,10 @@
 r"""Text functions as Column expressions.
 
-White space is the Unicode set that a text editor would strip, written out as
-a class because Spark's ``trim`` only knows the blank and Java's ``\s`` only
-ASCII. The one thing Spark cannot do, NFKC normalisation, is an Arrow function
-that sees nothing of rows that are ASCII.
+White space is the Unicode set that a text editor would strip, because Spark's
+``trim`` only knows the blank and Java's ``\s`` only ASCII. The one thing Spark
+cannot do, NFKC normalisation, is an Arrow function that sees nothing of rows
+that are ASCII. No lambda refers to an expression outside itself: Spark would
+evaluate it again for every element.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# fixed values: white space, characters replaced after NFKC, tracking parameters, exchanges
-WHITE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+WHITE = "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS)  # the same, for a class of a pattern
+
+# fixed values: characters replaced after NFKC, tracking parameters, exchanges, patterns of hints, links, marks and protected addresses
 PLAIN_FROM, PLAIN_TO = "‘’“”–— ", "''\"\"-- "
 TRACKING = ("fbclid", "feedref", "gclid", "mc_cid", "mc_eid", "spm")
 EXCHANGES = {
@@ -24,6 +27,12 @@ EXCHANGES = {
     "AMEX": "NYSE American", "OTCQX": "OTCQX", "OTCQB": "OTCQB", "OTC": "OTC", "CBOE": "CBOE",
 }
 TICKER = r"(?iuU)(?:\(|\b)(NASDAQ|NYSE(?:\s+American|\s+MKT|\s+Arca)?|AMEX|OTCQX|OTCQB|OTC|CBOE)\s*:\s*([A-Z][A-Z0-9.-]{0,9})(?:\)|\b)"
+LISTED = "(?i)NASDAQ|NYSE|AMEX|OTC|CBOE"
+LINK = r"\[([^\]\n]+)\]\([^)\n]*\)"
+EMPHASIS = r"(?iu)(?<!\*)\*{1,2}([A-Z][A-Z0-9.-]{0,9})\*{1,2}(?!\*)"
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+PROTECTED = r"\[(\[email.protected\])\]\(/cdn-cgi/l/email-protection#[^)]+\)"
+DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "doi:", "DOI:")
 SUFFIX_TYPES = {
     ".pdf": "application/pdf", ".html": "text/html", ".htm": "text/html", ".xhtml": "application/xhtml+xml", ".md": "text/markdown",
     ".markdown": "text/markdown", ".txt": "text/plain", ".json": "application/json", ".xml": "application/xml",
@@ -31,11 +40,7 @@ SUFFIX_TYPES = {
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WHITE}]+|[{WHITE}]+\z", "")
-
-
-def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WHITE}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize_space(c: Column) -> Column:
@@ -45,17 +50,17 @@ def normalize_space(c: Column) -> Column:
 
 def collapse_whitespace(c: Column) -> Column:
     """Runs of horizontal white space to a blank, blank gaps to one empty line, then line ends and both ends stripped. Apply once: it is not idempotent."""
-    c = F.regexp_replace(c, r"[ \t\f\x0b]+", " ")
+    c = F.regexp_replace(c, r"[ \t\f\x0b]{2,}|[\t\f\x0b]", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return strip(F.array_join(F.transform(F.split(c, "\n", -1), rstrip), "\n"))
+    return strip(F.regexp_replace(c, rf"[{WHITE}&&[^\n]]++(?=\n)", ""))
 
 
 def dedupe_lines(c: Column) -> Column:
     """Drops a line that is not blank and equals, but for white space around it, the line before."""
     lines = F.split(c, "\n", -1)
-    keyed = F.arrays_zip(lines.alias("line"), F.transform(lines, strip).alias("key"))
-    keys = F.transform(keyed, lambda x: x["key"])
-    kept = F.filter(keyed, lambda x, i: (x["key"] == "") | (i == 0) | (x["key"] != F.get(keys, i - 1)))
+    keys = F.transform(lines, strip)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(keys, F.lit(1), F.size(keys) - 1))
+    kept = F.filter(F.arrays_zip(lines.alias("line"), keys.alias("key"), before.alias("before")), lambda x: (x["key"] == "") | ~x["key"].eqNullSafe(x["before"]))
     return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
 
 
@@ -68,7 +73,7 @@ def normalize_unicode(c: Column) -> Column:
     """NFKC, plain quotes and dashes, no control characters but tab, line feed and carriage return."""
     ascii_only = c.rlike(r"^[\x00-\x7f]*\z")
     folded = F.when(ascii_only, c).otherwise(F.translate(_nfkc(F.when(~ascii_only, c)), PLAIN_FROM, PLAIN_TO))
-    return F.regexp_replace(folded, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    return F.regexp_replace(folded, CONTROLS, "")
 
 
 def with_news_text(df: DataFrame, column: str) -> DataFrame:
@@ -78,7 +83,7 @@ def with_news_text(df: DataFrame, column: str) -> DataFrame:
     enters an expression with a lambda.
     """
     df = df.withColumn(column, normalize_unicode(F.col(column)))
-    shown = F.regexp_replace(column, r"\[(\[email.protected\])\]\(/cdn-cgi/l/email-protection#[^)]+\)", "[email protected]")
+    shown = F.regexp_replace(column, PROTECTED, "[email protected]")
     return df.withColumn(column, collapse_whitespace(dedupe_lines(shown)))
 
 
@@ -109,21 +114,21 @@ def canonical_url(c: Column) -> Column:
 
 def ticker_hints(c: Column) -> Column:
     """array<struct<symbol,exchange,raw>> of exchange-qualified symbols, the first of each kept; links and emphasis are read through."""
-    scan = F.regexp_replace(c, r"\[([^\]\n]+)\]\([^)\n]*\)", "$1")
-    scan = F.regexp_replace(scan, r"(?iu)(?<!\*)\*{1,2}([A-Z][A-Z0-9.-]{0,9})\*{1,2}(?!\*)", "$1")
+    scan = F.regexp_replace(F.regexp_replace(c, LINK, "$1"), EMPHASIS, "$1")
     group = lambda k: F.regexp_extract_all(scan, F.lit(TICKER), F.lit(k))
     names = F.create_map(*[F.lit(x) for kv in EXCHANGES.items() for x in kv])
-    found = F.arrays_zip(group(1).alias("exchange"), group(2).alias("symbol"), group(0).alias("raw"))
     found = F.transform(
-        found,
+        F.arrays_zip(group(1).alias("exchange"), group(2).alias("symbol"), group(0).alias("raw")),
         lambda m: F.struct(
             F.upper(m["symbol"]).alias("symbol"),
             F.coalesce(F.try_element_at(names, normalize_space(F.upper(m["exchange"]))), F.upper(m["exchange"])).alias("exchange"),
             F.trim(m["raw"]).alias("raw"),
         ),
     )
-    keys = F.transform(found, lambda m: F.concat_ws(":", m["symbol"], m["exchange"]))
-    return F.filter(found, lambda m, i: F.array_position(keys, F.concat_ws(":", m["symbol"], m["exchange"])) == i + 1)
+    none = F.array().cast("array<struct<symbol:string,exchange:string,raw:string>>")
+    same = lambda m: lambda k: (k["symbol"] == m["symbol"]) & (k["exchange"] == m["exchange"])
+    first = F.aggregate(found, none, lambda kept, m: F.when(F.exists(kept, same(m)), kept).otherwise(F.concat(kept, F.array(m))))
+    return F.when(c.rlike(LISTED), first).when(c.isNotNull(), none)
 
 
 def append_tags(tags: Column, new: Column) -> Column:
@@ -150,7 +155,7 @@ def arxiv_id(c: Column) -> Column:
 
 def doi(c: Column) -> Column:
     """The identifier without its prefix; null where it has not the form of one."""
-    bare = F.regexp_replace(strip(c), r"^(?:https://doi\.org/|http://doi\.org/|https://dx\.doi\.org/|http://dx\.doi\.org/|doi:)", "")
+    bare = F.regexp_replace(strip(c), "^(?:" + "|".join(DOI_PREFIXES).replace(".", r"\.") + ")", "")
     return F.when(bare.rlike(r"(?i)^10\.\d{4,9}/\S+\z"), bare)
 
 
