@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.identity import parsed_chunk_id
 from ..functions.text import normalize_space, printed_page, strip
 
+# fixed values: numbered headings, lines of a table of contents, page numbers that stand alone
 NUMBERED = r"^(\d+(?:\.\d+)*)[.)]?\s+\S"
-ENTRY = r"(?:\.{2,}|\s\.\s|…)\s*(?:\d+|[ivxlcdm]+)\s*$"
-PAGE_NUMBER = r"(?i)^\s*(?:[-–—]\s*)?(?:page\s+)?(\d+|[ivxlcdm]+)(?:\s*[-–—])?\s*$"
+ENTRY = r"^.{2,}?\.{2,}\s*\d+\s*$"
+PAGE_NUMBER = r"(?i)^\s*(\d{1,4}|[ivxlcdm]{1,8})\s*$"
 
 
 def pages_of(docs: DataFrame, size: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -20,6 +21,52 @@ def pages_of(docs: DataFrame, size: int = 2000, key: str = "doc_id", text: str =
     return docs.select(key, F.posexplode(cut).alias("n", "text")).select(key, (F.col("n") + 1).alias("page_number"), "text")
 
 
+def parsed_pages(pages: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Pages of parsed documents (key, page_number, width, height, text) with their blocks as boxes; empty pages stay.
+
+    blocks: key, page_number, position, text, font_size, and x, y, w, h of the
+    box, which becomes x0, y0, x1, y1. Pages that are not 1, 2, ... are an error.
+    """
+    boxed = blocks.groupBy(key, "page_number").agg(
+        F.array_sort(F.collect_list(F.struct("position", "text", "font_size", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1")))).alias("blocks")
+    )
+    bad = pages.groupBy(key).agg(F.count("*").alias("n"), F.min("page_number").alias("lo"), F.max("page_number").alias("hi"), F.countDistinct("page_number").alias("k"))
+    fine = bad.select(key, F.when((F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("k") == F.col("n")), True).otherwise(F.raise_error(F.concat(F.lit("pages are not contiguous: "), F.col(key).cast("string")))).alias("_ok"))
+    empty = F.array().cast(boxed.schema["blocks"].dataType)
+    return pages.join(fine, key).where("_ok").drop("_ok").join(boxed, [key, "page_number"], "left").withColumn("blocks", F.coalesce("blocks", empty))
+
+
+def chunk_boxes(chunks: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Chunks with the box around the blocks of their page that they overlap; blocks have start_char and end_char in the page's text."""
+    held = blocks.select(key, "page_number", F.col("start_char").alias("_s"), F.col("end_char").alias("_e"), "x0", "y0", "x1", "y1")
+    met = chunks.select(key, "page_number", "chunk_id", "start_char", "end_char").join(held, [key, "page_number"]).where("_s < end_char and start_char < _e")
+    around = met.groupBy("chunk_id").agg(F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).alias("box"))
+    return chunks.join(around, "chunk_id", "left")
+
+
+def page_assets(pages: DataFrame, assets: DataFrame, key: str = "source_revision_id") -> DataFrame:
+    """Pages with the ids of their assets, in order; none is an empty list."""
+    named = assets.where("page_number is not null").groupBy(key, "page_number").agg(F.array_sort(F.collect_set("asset_id")).alias("asset_ids"))
+    return pages.join(named, [key, "page_number"], "left").withColumn("asset_ids", F.coalesce("asset_ids", F.array().cast("array<string>")))
+
+
+def finding_violations(groups: DataFrame, findings: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, group, chunk_index, rule) of findings that break a rule: in their group, on a page of their chunk, quote in its text.
+
+    groups: key, group, start, count; findings: key, group, chunk_index, page,
+    quote; chunks: key, chunk_index, pages, text. Groups are ranges, but each
+    finding has one, so the range is a test after an equi-join.
+    """
+    both = findings.join(groups, [key, "group"], "left").join(chunks, [key, "chunk_index"], "left")
+    inside = F.coalesce((F.col("chunk_index") >= F.col("start")) & (F.col("chunk_index") < F.col("start") + F.col("count")), F.lit(False))
+    rule = (
+        F.when(~inside, "chunk outside its group")
+        .when(~F.coalesce(F.array_contains("pages", F.col("page")), F.lit(False)), "page outside its chunk")
+        .when(F.col("quote").isNotNull() & ~F.coalesce(F.col("text").contains(F.col("quote")), F.lit(False)), "quote not in its chunk")
+    )
+    return both.withColumn("rule", rule).where("rule is not null").select(key, "group", "chunk_index", "rule")
+
+
 def page_text(pages: Column) -> Column:
     """The pages' texts with a blank line between."""
     return F.array_join(F.transform(pages, lambda p: p["text"]), "\n\n")
@@ -53,10 +100,10 @@ def body_font(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def repeated_headers(blocks: DataFrame, n_pages: DataFrame, key: str = "doc_id", share: float = 0.5) -> DataFrame:
-    """(key, header): texts in the top 12 % of at least two pages and of half of all; blocks have y0 and page_height."""
+    """(key, header, k): texts in the top 12 % of at least two pages and of half of all, with their pages; blocks have y0 and page_height."""
     top = blocks.where(F.col("y0") <= F.col("page_height") * 0.12).select(key, F.lower(normalize_space(F.col("text"))).alias("header"), "page_number").where("header <> ''")
     seen = top.groupBy(key, "header").agg(F.countDistinct("page_number").alias("k")).where("k >= 2")
-    return seen.join(n_pages, key).where(F.col("k") >= F.col("n_pages") * share).select(key, "header")
+    return seen.join(n_pages, key).where(F.col("k") >= F.col("n_pages") * share).select(key, "header", "k")
 
 
 def headings(blocks: DataFrame, sizes: DataFrame, headers: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -86,13 +133,24 @@ def page_offset(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return best.where("best.n >= 2").select(key, F.col("best.offset").alias("printed_page_offset"))
 
 
-def quotes_in(chunks: DataFrame, quotes: DataFrame, chunk_text: str = "text", quote: str = "quote") -> DataFrame:
-    """Pairs where the chunk contains the quote, with ``offset``; quotes are a checked, small side (they are broadcast up to the session's limit).
+def quotes_in(chunks: DataFrame, quotes: DataFrame, key: str, chunk_text: str = "text", quote: str = "quote") -> DataFrame:
+    """Pairs where the chunk contains the quote, with ``offset``; ``key`` identifies a chunk.
 
-    Without a key a containment join compares every pair; give both sides the
-    key that citations carry (``quotes_at``) wherever there is one.
+    A quote of five words or more is looked up by its second to fourth words,
+    which stand in a chunk that contains it as they are, so both sides meet in
+    an equi-join on a hash and only pairs that share it are compared. Shorter
+    quotes have no such words and are compared with every chunk.
     """
-    return chunks.join(quotes, F.col(chunk_text).contains(F.col(quote))).withColumn("offset", F.instr(F.col(chunk_text), F.col(quote)) - 1)
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    named = quotes.withColumn("_w", words(F.col(quote)))
+    part = named.withColumn("_gram", F.xxhash64(F.concat_ws(" ", F.slice("_w", 2, 3)))).where(F.size("_w") >= 5).drop("_w")
+    w = words(F.col(chunk_text))
+    grams = F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b"), F.slice(w, F.lit(3), F.size(w)).alias("c")), lambda x: F.xxhash64(F.concat_ws(" ", x["a"], x["b"], x["c"])))
+    held = chunks.select(key, F.array_distinct(grams).alias("_grams")).select(key, F.explode("_grams").alias("_gram"))
+    met = held.join(part, "_gram").drop("_gram").join(chunks, key)
+    short = chunks.join(named.where(F.size("_w") < 5).drop("_w"), F.col(chunk_text).contains(F.col(quote)))
+    both = met.where(F.col(chunk_text).contains(F.col(quote)))
+    return both.unionByName(short.select(*both.columns)).withColumn("offset", F.instr(F.col(chunk_text), F.col(quote)) - 1)
 
 
 def quotes_at(citations: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -8,18 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..functions.time import parse_news_datetime
+from ..functions.time import ceil_to_hour, parse_news_datetime
+from ..sources.html import html_or_text
 
+# fixed values: the listing's zone, its short and full times, the number in an address, and its address
 ZONE = "America/New_York"
-SHORT = r"^(\d{1,2}):(\d{2}) ?(?:ET|EST|EDT)?$"
-FULL = r"^([A-Za-z]{3,9})\.? (\d{1,2}), (\d{4}), (\d{1,2}):(\d{2}) ?(?:ET|EST|EDT)?$"
+SHORT = r"(?i)^(\d{1,2}):(\d{2})\s+E(?:S|D)?T$"
+FULL = r"(?i)^([A-Za-z]{3})\s+(\d{1,2}),\s+(\d{4}),\s+(\d{1,2}):(\d{2})\s+E(?:S|D)?T$"
+PAYLOAD_ID = r"-(\d+)\.html$"
+PAGE_SIZE, MAX_PAGES, CACHE_BUSTS = 100, 20, 8
 
 
 def _utc(local: Column) -> Column:
     return F.to_utc_timestamp(local, ZONE)
 
 
-def listing_times(rows: DataFrame, feed: str | None = None, page: str = "page_number", row: str = "row_number", page_date: str = "page_date", stamp: str = "timestamp_text", zoned: bool = True) -> DataFrame:
+def listing_times(rows: DataFrame, feed: str | None = None, page: str = "page_number", row: str = "row_number", page_date: str = "page_date", stamp: str = "timestamp_text") -> DataFrame:
     """Adds published_at (UTC) and time_error to listing rows, newest first.
 
     A short time belongs to the day of the row before it, or the day before
@@ -33,8 +37,10 @@ def listing_times(rows: DataFrame, feed: str | None = None, page: str = "page_nu
     short, full = value.rlike(SHORT), value.rlike(FULL)
     month_day = F.concat_ws(" ", F.initcap(F.regexp_extract(value, FULL, 1).substr(1, 3)), F.regexp_extract(value, FULL, 2), F.regexp_extract(value, FULL, 3))
     full_day = F.to_date(F.try_to_timestamp(month_day, F.lit("MMM d yyyy")))
-    minute = F.when(short, F.regexp_extract(value, SHORT, 1).cast("int") * 60 + F.regexp_extract(value, SHORT, 2).cast("int")).when(full, F.regexp_extract(value, FULL, 4).cast("int") * 60 + F.regexp_extract(value, FULL, 5).cast("int"))
-    readable = (short | (full & full_day.isNotNull())) & (minute < 1440)
+    part = lambda pattern, k: F.regexp_extract(value, pattern, k).cast("int")
+    hour, rest = (F.when(short, part(SHORT, k)).when(full, part(FULL, k + 3)) for k in (1, 2))
+    minute = hour * 60 + rest
+    readable = (short | (full & full_day.isNotNull())) & (hour < 24) & (rest < 60)
     out = rows.withColumn("_ok", F.coalesce(readable, F.lit(False))).withColumn("_m", F.when(F.col("_ok"), minute)).withColumn("_full", F.when(F.col("_ok") & full, full_day))
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -46,8 +52,7 @@ def listing_times(rows: DataFrame, feed: str | None = None, page: str = "page_nu
     island = Window.partitionBy(*([feed] if feed else [F.lit(0)]), "_run").orderBy(page, row).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_anchor", anchor).withColumn("_days", F.sum("_back").over(island))
     local = F.date_sub("_anchor", F.col("_days").cast("int")).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_m"))
-    stamp_utc = _utc(local) if zoned else local
-    out = out.withColumn("published_at", F.when(F.col("_ok"), stamp_utc)).withColumn("time_error", ~F.col("_ok"))
+    out = out.withColumn("published_at", F.when(F.col("_ok"), _utc(local))).withColumn("time_error", ~F.col("_ok"))
     return out.drop("_ok", "_m", "_full", "_last", "_back", "_run", "_anchor", "_days")
 
 
@@ -68,7 +73,7 @@ def coverage(rows: DataFrame, start: Column, time: str = "published_at", error:
     return got.withColumn("complete", F.col("crossed_start") & (F.col("failed") == 0))
 
 
-def pages_to_read(pages: DataFrame, start: Column, cap: int = 20) -> DataFrame:
+def pages_to_read(pages: DataFrame, start: Column, cap: int = MAX_PAGES) -> DataFrame:
     """Pages up to the first that holds a row strictly before the start, or that repeats the page before it, or is empty; at most ``cap``.
 
     pages: page_number, oldest (its earliest time), fingerprint, n_rows. Adds ``outcome``.
@@ -93,7 +98,7 @@ def observations(rows: DataFrame, base_url: str) -> DataFrame:
     link = F.when(F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href")).otherwise(F.concat(F.lit(base_url.rstrip("/")), F.when(F.col("href").startswith("/"), F.col("href")).otherwise(F.concat(F.lit("/"), "href"))))
     url = text.canonical_url(link)
     error = F.when(F.coalesce("href", F.lit("")) == "", "no link").when(F.coalesce(text.normalize_space(F.col("title")), F.lit("")) == "", "no title")
-    payload = F.nullif(F.regexp_extract(url, r"-(\d+)\.html$", 1), F.lit(""))
+    payload = F.nullif(F.regexp_extract(url, PAYLOAD_ID, 1), F.lit(""))
     out = rows.withColumn("error", error).withColumn("canonical_url", F.when(error.isNull(), url)).withColumn("payload_id", F.when(error.isNull(), payload))
     return out.withColumn("identity", F.when(error.isNull(), identity.news_identity(F.lit("press_release"), F.col("payload_id"), F.col("canonical_url"))))
 
@@ -110,14 +115,16 @@ def prepare(raw: DataFrame) -> DataFrame:
     """Raw news documents as candidates, with ``error`` where there is no body or identity.
 
     In: body_text, source_type, source_url, title, publisher, published_at,
-    payload_id, metadata. Empty metadata values are dropped; times as text are
+    payload_id, metadata, and error where something failed before. Empty metadata values are dropped; times as text are
     parsed; the title takes part in the search for tickers.
     """
-    raw = text.with_news_text(raw.withColumn("body_text", F.coalesce("body_text", F.lit(""))), "body_text")
-    title = F.nullif(text.normalize_space(text.normalize_unicode(F.col("title"))), F.lit(""))
-    out = raw.withColumn("title", title)
+    had = F.col("error") if "error" in raw.columns else F.lit(None).cast("string")
+    raw = raw.withColumn("_error", had).withColumn("body_text", F.coalesce("body_text", F.lit(""))).withColumn("title", F.coalesce("title", F.lit("")))
+    raw = text.with_news_text(text.with_news_text(raw, "body_text"), "title")
+    out = raw.withColumn("title", F.nullif("title", F.lit("")))
     out = out.withColumn("identity", identity.news_identity(F.col("source_type"), F.col("payload_id"), F.col("source_url")))
-    out = out.withColumn("error", F.when(F.col("body_text") == "", "empty body").when(F.col("identity").isNull(), "no identity"))
+    empty = F.when(F.col("body_text") == "", "empty body").when(F.col("identity").isNull(), "no identity")
+    out = out.withColumn("error", F.coalesce("_error", empty)).drop("_error")
     if dict(raw.dtypes)["published_at"] == "string":
         out = out.withColumn("published_at", parse_news_datetime(F.col("published_at")))
     return (
@@ -133,16 +140,35 @@ def split_outcomes(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prepared.where("error is null").drop("error"), prepared.where("error is not null").select("identity", "source_url", F.lit("preprocess").alias("stage"), F.lit("invalid_content").alias("error_type"), F.col("error").alias("message"))
 
 
-def feed_documents(items: DataFrame, publisher: str | None = None, article: bool = False) -> DataFrame:
-    """Feed items as raw news documents: content before summary; articles need a link."""
-    out = items.select(
-        F.coalesce(F.nullif("content_html", F.lit("")), "summary_html").alias("body_text"),
-        F.lit("publisher_news").alias("source_type"),
+def feed_documents(items: DataFrame, publisher: str | None = None, source_type: str = "press_release", article: bool = False) -> DataFrame:
+    """Feed items as raw news documents: the text of the content, or else of the summary.
+
+    With ``article`` the body is left to be fetched from the item's address; an
+    item without one has an error.
+    """
+    html = F.coalesce(F.nullif("content_html", F.lit("")), "summary_html", F.lit(""))
+    own = {"body_source": F.lit("article" if article else "feed"), "source_feed_url": F.col("feed_url")}
+    extra = F.create_map(*[x for k, v in own.items() for x in (F.lit(k), v)])
+    raw = F.coalesce("raw", F.create_map().cast("map<string,string>"))
+    return items.select(
+        (F.lit(None).cast("string") if article else html_or_text(html)).alias("body_text"),
+        F.lit(source_type).alias("source_type"),
         F.col("url").alias("source_url"),
         "title",
         F.lit(publisher).cast("string").alias("publisher"),
         "published_at",
         F.col("id").alias("payload_id"),
-        F.col("raw").alias("metadata"),
+        F.map_concat(F.map_filter(extra, lambda k, _: ~F.map_contains_key(raw, k)), raw).alias("metadata"),
+        F.when(F.lit(article) & (F.coalesce("url", F.lit("")) == ""), "an article needs an address").alias("error"),
     )
-    return out.where("source_url is not null and source_url <> ''") if article else out
+
+
+def listing_url(base: str, anchor: Column, page: Column, bust: Column | None = None) -> Column:
+    """Address of a listing page: the hour that the window ends in, in the listing's zone, and a number that defeats caches."""
+    local = F.from_utc_timestamp(ceil_to_hour(anchor), ZONE)
+    part = lambda name, c: F.concat(F.lit(f"&{name}="), c.cast("string"))
+    url = F.concat(
+        F.lit(f"{base}?page="), page.cast("string"), F.lit(f"&pagesize={PAGE_SIZE}"),
+        part("month", F.month(local)), part("day", F.dayofmonth(local)), part("year", F.year(local)), F.lit("&hour="), F.date_format(local, "HH"),
+    )
+    return url if bust is None else F.concat(url, F.lit("&_="), bust.cast("string"))

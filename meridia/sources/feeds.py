@@ -38,32 +38,37 @@ def _time(value: str | None) -> datetime | None:
     return None
 
 
+#: per format: the element that holds the items, the item, and per column the elements to look in, in turn
+FORMATS = {
+    "rss": ("channel", "item", {"title": ("title",), "id": ("guid",), "published_at": ("pubdate", "date", "published"), "summary_html": ("description", "summary"), "content_html": ("encoded", "content")}),
+    "feed": (None, "entry", {"title": ("title",), "id": ("id",), "published_at": ("published", "updated"), "summary_html": ("summary",), "content_html": ("content",)}),
+}
+
+
+def _link(item) -> str | None:
+    """An address as an element's text, or as the attribute of the alternate link, or else of the first."""
+    if plain := _text(item, "link"):
+        return plain
+    links = [(c.get("rel", "alternate") != "alternate", n, c.get("href")) for n, c in enumerate(item) if _name(c.tag) == "link" and c.get("href")]
+    return min(links)[2] if links else None
+
+
 def parse_feed(xml: bytes | str, feed_url: str) -> list[dict]:
     """Items of an RSS or Atom document, namespaces ignored; ValueError for anything else."""
-    if not xml or not xml.strip():
-        raise ValueError("empty feed")
     try:
-        root = ElementTree.fromstring(xml)
+        root = ElementTree.fromstring(xml or "")
     except ElementTree.ParseError as exc:
-        raise ValueError(f"malformed feed: {exc}") from exc
-    kind = _name(root.tag)
+        raise ValueError(f"{feed_url} is no XML: {exc}") from exc
+    if _name(root.tag) not in FORMATS:
+        raise ValueError(f"{feed_url} is neither RSS nor Atom but {_name(root.tag)!r}")
+    holder, item, fields = FORMATS[_name(root.tag)]
+    top = next((c for c in root if _name(c.tag) == holder), root)
     out = []
-    if kind in ("rss", "rdf"):
-        channels = [c for c in root if _name(c.tag) == "channel"]
-        holder = channels[0] if channels and len(channels[0]) else root
-        for it in (x for x in holder if _name(x.tag) == "item"):
-            link = _text(it, "link")
-            out.append({"title": _text(it, "title"), "url": link, "id": _text(it, "guid") or link, "published_at": _time(_text(it, "pubdate", "date", "published")), "summary_html": _text(it, "description", "summary"), "content_html": _text(it, "encoded", "content")})
-            out[-1]["raw"] = {_name(c.tag): "".join(c.itertext()).strip() for c in it}
-    elif kind == "feed":
-        for it in (x for x in root if _name(x.tag) == "entry"):
-            links = [c for c in it if _name(c.tag) == "link" and c.get("href")]
-            link = next((c.get("href") for c in links if c.get("rel", "alternate") == "alternate"), links[0].get("href") if links else None)
-            out.append({"title": _text(it, "title"), "url": link, "id": _text(it, "id") or link, "published_at": _time(_text(it, "published", "updated")), "summary_html": _text(it, "summary"), "content_html": _text(it, "content")})
-            out[-1]["raw"] = {_name(c.tag): "".join(c.itertext()).strip() for c in it}
-    else:
-        raise ValueError(f"unsupported feed root {kind!r}")
-    return [{"feed_url": feed_url, **x} for x in out]
+    for node in (c for c in top if _name(c.tag) == item):
+        row = {"feed_url": feed_url, "feed_title": _text(top, "title"), "url": _link(node)} | {column: _text(node, *names) for column, names in fields.items()}
+        row |= {"id": row["id"] or row["url"], "published_at": _time(row["published_at"]), "raw": {_name(c.tag): "".join(c.itertext()).strip() for c in node}}
+        out.append(row)
+    return out
 
 
 def read_feeds(fetched: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
@@ -77,50 +82,66 @@ def read_feeds(fetched: DataFrame, url: str = "url", body: str = "body") -> Data
     return fetched.select(url, body).mapInPandas(run, FEED_ITEM)
 
 
+# fixed values: marks of a listing page's rows, links and date
+ROW_CLASSES, LINK_CLASS, DATE_INPUT = frozenset({"row", "newsCards"}), "newsreleaseconsolidatelink", "date"
+
+
 class _Listing(HTMLParser):
-    """Rows are ``div`` elements of the classes row and newsCards, with a link, an h3 title and a small time."""
+    """Rows are ``div`` elements of both row classes, with a link, a heading and, in the heading, a small time."""
 
-    def __init__(self, row_classes: frozenset[str], link_class: str):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.want, self.link_class = row_classes, link_class
-        self.rows, self.page_date, self.row, self.depth, self.inside = [], None, None, 0, []
+        self.html, self.page_date, self.rows = html, None, []
+        self.row, self.depth, self.heading, self.small = None, 0, False, False
+        self.lines = [0]
+        for line in html.split("\n"):
+            self.lines.append(self.lines[-1] + len(line) + 1)
+        self.feed(html)
+        self.close()
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         classes = set((a.get("class") or "").split())
-        if tag == "input" and a.get("id") == "date":
-            self.page_date = a.get("value")
-        if tag == "div":
-            if self.row is None and self.want <= classes:
-                self.row, self.depth, self.inside = {"href": None, "title": "", "timestamp_text": ""}, 0, []
-            if self.row is not None:
-                self.depth += 1
-        if self.row is not None:
-            if tag == "a" and self.link_class in classes and not self.row["href"]:
-                self.row["href"] = a.get("href")
-            if tag in ("h3", "small"):
-                self.inside.append(tag)
+        if self.row is None and tag == "div" and ROW_CLASSES <= classes:
+            self.row, self.depth, self.heading, self.small = {"href": None, "title": "", "timestamp_text": "", "raw_html": self._at()}, 0, False, False
+        if self.row is None:
+            if tag == "input" and a.get("id") == DATE_INPUT:
+                self.page_date = a.get("value")
+            return
+        self.depth += tag == "div"
+        if tag == "a" and LINK_CLASS in classes:
+            self.row["href"] = self.row["href"] or a.get("href")
+        self.heading |= tag == "h3"
+        self.small |= tag == "small" and self.heading
+
+    def handle_startendtag(self, tag, attrs):
+        if self.row is None:
+            self.handle_starttag(tag, attrs) if tag == "input" else None
 
     def handle_endtag(self, tag):
         if self.row is None:
             return
-        if tag in self.inside:
-            self.inside.remove(tag)
-        if tag == "div":
-            self.depth -= 1
-            if self.depth == 0:
-                self.rows.append({k: " ".join(v.split()) if v else v for k, v in self.row.items()})
-                self.row = None
+        self.heading &= tag != "h3"
+        self.small &= tag not in ("h3", "small")
+        self.depth -= tag == "div"
+        if self.depth == 0:
+            end = self.html.index(">", self._at()) + 1
+            self.rows.append({k: self.html[v:end] if k == "raw_html" else " ".join(v.split()) if v else v for k, v in self.row.items()})
+            self.row = None
 
     def handle_data(self, data):
-        if self.row is not None and self.inside:
-            self.row["timestamp_text" if self.inside[-1] == "small" else "title"] += data
+        if self.row is not None and self.heading:
+            self.row["timestamp_text" if self.small else "title"] += data
 
 
-def parse_listing(html: str, row_classes=("row", "newsCards"), link_class: str = "newsreleaseconsolidatelink") -> tuple[str | None, list[dict]]:
-    parser = _Listing(frozenset(row_classes), link_class)
-    parser.feed(html)
-    return parser.page_date, parser.rows
+def parse_listing(html: str) -> tuple[str | None, list[dict]]:
+    """(the page's date as written, its rows)."""
+    page = _Listing(html)
+    return page.page_date, page.rows
 
 
 def read_listings(pages: DataFrame) -> DataFrame:
@@ -132,7 +153,7 @@ def read_listings(pages: DataFrame) -> DataFrame:
             for number, html, fallback in zip(pdf["page_number"], pdf["html"], pdf["fallback_date"]):
                 date, rows = parse_listing(html or "")
                 day = datetime.strptime(date, "%m/%d/%Y").date() if date else fallback
-                out += [{"page_number": number, "row_number": i, "page_date": day, "raw_html": None, **r} for i, r in enumerate(rows)]
+                out += [{"page_number": number, "row_number": i, "page_date": day, **r} for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=LISTING_ROW.names)
 
     return pages.select("page_number", "html", "fallback_date").mapInPandas(run, LISTING_ROW)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import identity, text, time
 from ..functions.time import partial_date
 
 RECORD = (
@@ -39,3 +39,29 @@ def arxiv_requests(ids: DataFrame, column: str = "id", base: str = "https://expo
 def availability(df: DataFrame) -> DataFrame:
     """Adds available_at: when updated, else when published, else when fetched."""
     return df.withColumn("available_at", F.coalesce("updated_at", "published_at", "fetched_at"))
+
+
+def acquire(sources: DataFrame) -> DataFrame:
+    """Source revisions of fetched papers, or why one is refused, in ``error``.
+
+    In: kind (arxiv, http, local, text, doi), uri, resolved_uri, content_type,
+    body, fetched_at, published_at, updated_at, arxiv_id, title, authors. Only
+    documents with pages are taken; plain text has none, and a record number
+    names no open document. An arXiv paper was available when it was updated, or
+    else published; anything else when it was fetched.
+    """
+    kind, media = F.col("kind"), F.lower(F.coalesce("content_type", F.lit("")))
+    error = (
+        F.when(kind == "doi", "a record number needs a resolver of open documents")
+        .when(kind == "text", "text has no pages")
+        .when(~kind.isin("arxiv", "http", "local"), F.concat(F.lit("unknown kind "), kind))
+        .when(~media.startswith("application/pdf"), F.concat(F.lit("not a document with pages: "), media))
+        .when(F.coalesce("resolved_uri", "uri").isNull(), "no address")
+    )
+    fetched = time.aware_or_now(F.col("fetched_at"))
+    available = F.when(kind == "arxiv", F.coalesce(time.to_utc(F.col("updated_at")), time.to_utc(F.col("published_at")), fetched)).otherwise(fetched)
+    content = F.sha2("body", 256)
+    return sources.select(
+        F.when(error.isNull(), identity.source_id(content)).alias("source_revision_id"), content.alias("content_hash"), "kind", F.coalesce("resolved_uri", "uri").alias("uri"),
+        fetched.alias("as_of"), available.alias("available_at"), "published_at", "arxiv_id", "title", "authors", error.alias("error"),
+    )
