@@ -47,13 +47,15 @@ def item_violations(items: DataFrame, nodes: DataFrame, records: DataFrame) -> D
         _rule(counted.where("r <> target_count"), "target count", "item_id", F.col("r")),
         _rule(counted.where("dims > 1"), "one dimension", "item_id", F.col("dims")),
         _rule(items.where(F.sha2("payload_json", 256) != F.col("canonical_hash")), "payload hash", "item_id", F.col("canonical_hash")),
+        _rule(nodes.where(F.sha2("payload_json", 256) != F.col("content_hash")), "node hash", "item_id", F.col("node_id")),
+        _rule(records.where(F.sha2("matched_text", 256) != F.col("projection_hash")), "projected text", "item_id", F.col("target_id")),
         _rule(records.join(items.select("item_id", "canonical_hash"), "item_id").where("item_canonical_hash <> canonical_hash"), "record of an older item", "item_id", F.col("target_id")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def artifact_violations(sources: DataFrame, artifacts: DataFrame, members: DataFrame, projections: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Artifacts against their sources, members, projections and inputs."""
+def artifact_violations(sources: DataFrame, artifacts: DataFrame, members: DataFrame, projections: DataFrame, lineage: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Artifacts against their sources, members, projections, inputs and assets."""
     m = members.groupBy("artifact_id").agg(F.countDistinct("member_id").alias("m"))
     p = projections.groupBy("artifact_id").agg(F.countDistinct("target_id").alias("p"))
     counted = artifacts.join(m, "artifact_id", "left").join(p, "artifact_id", "left").fillna(0, ["m", "p"])
@@ -62,10 +64,17 @@ def artifact_violations(sources: DataFrame, artifacts: DataFrame, members: DataF
         _rule(orphans(projections, artifacts, ["artifact_id"]), "projection without artifact", "artifact_id", F.col("target_id")),
         _rule(orphans(projections, sources, ["source_revision_id"]), "projection without source", "artifact_id", F.col("target_id")),
         _rule(orphans(named, members, ["artifact_id", "member_id"]), "projection without member", "artifact_id", F.col("target_id")),
+        _rule(members.where(F.sha2("payload_json", 256) != F.col("content_hash")), "member hash", "artifact_id", F.col("member_id")),
+        _rule(projections.where(F.sha2("matched_text", 256) != F.col("projection_hash")), "projected text", "artifact_id", F.col("target_id")),
         _rule(counted.where("m <> member_count"), "member count", "artifact_id", F.col("m")),
         _rule(counted.where("p <> target_count"), "target count", "artifact_id", F.col("p")),
         _rule(orphans(lineage.withColumnRenamed("artifact_id", "of").withColumnRenamed("input_artifact_id", "artifact_id"), artifacts, ["artifact_id"]), "input without artifact", "of", F.col("artifact_id")),
     ]
+    if assets is not None:
+        parts += [
+            _rule(assets.where(F.sha2("blob", 256) != F.col("content_hash")), "asset hash", "source_revision_id", F.col("asset_id")),
+            _rule(orphans(assets, sources, ["source_revision_id"]), "asset without source", "source_revision_id", F.col("asset_id")),
+        ]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,66 +1,108 @@
-"""A versioned store of knowledge on Parquet: snapshots, upserts, deletes.
+"""A versioned store of knowledge on Parquet: snapshots, upserts, deletes, search.
 
-Every change writes the tables it touches under a new version and then puts
-one small manifest in place; tables that did not change keep their files. A
-reader sees one manifest and thus one consistent state. There is one writer.
+Every change writes the tables it touches under a new version and then creates
+one small numbered manifest; tables that did not change keep their files. A
+manifest is never replaced or deleted: readers take the highest number, so a
+crash at any point leaves the last complete version, and a second writer that
+creates the same number fails. A folder with tables but without a manifest is
+refused.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schemas import STORE
-from . import integrity
+from . import integrity, projection
+from .providers import embed, hashed_embedding
+from .search import SemanticQuery, matching, rank, stale
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 KEYS = {"items": "item_id", "nodes": "item_id", "records": "item_id", "sources": "source_revision_id", "assets": "asset_id", "artifacts": "artifact_id", "members": "artifact_id", "lineage": "artifact_id", "projections": "artifact_id"}
+TREE = "paper_structure_tree"
+#: what makes a stored vector stale when it differs
+COMPARED = ["embedding_model", "projection_hash", "source_content_hash", "knowledge_schema_version", "projection_schema_version", "dimension"]
 
 
 class KnowledgeLibrary:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, provider: Callable[[str], list[float]] = hashed_embedding, model: str = "hashed", dimension: int = 64):
         self.spark, self.root, self.closed = spark, root.rstrip("/"), False
+        self.provider, self.model, self.dimension = provider, model, dimension
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> "KnowledgeLibrary":
-        """Opens or creates; a store of another schema version is refused."""
-        lib = cls(spark, root)
-        if lib._manifest() is None:
-            lib._commit({})
+    def open(cls, spark: SparkSession, root: str, **options) -> "KnowledgeLibrary":
+        """Opens, migrates or creates. A store of an unknown schema version, and one that has lost its manifests, are refused."""
+        lib = cls(spark, root, **options)
+        names = lib._names()
+        if not lib._numbers(names):
+            if "CURRENT.json" in names:
+                lib._migrate()
+            elif any(re.match(r"v\d+-", n) for n in names):
+                raise integrity.StaleStoreError(f"{root} has tables but no manifest")
+            else:
+                lib._publish({"schema_version": SCHEMA_VERSION, "version": 1, "tables": {}})
         if lib._manifest()["schema_version"] != SCHEMA_VERSION:
             raise RuntimeError(f"schema version {lib._manifest()['schema_version']} is not supported")
         return lib
 
-    def _manifest(self) -> dict | None:
-        p = self._path(f"{self.root}/CURRENT.json")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
+    def _migrate(self) -> None:
+        """From version 1, which had one replaced manifest; its tables are read with the columns they lack as null."""
+        old = json.loads(self._read("CURRENT.json"))
+        if old["schema_version"] != 1:
+            raise RuntimeError(f"schema version {old['schema_version']} is not supported")
+        self._publish(old | {"schema_version": SCHEMA_VERSION, "version": old["version"] + 1})
+
+    def _names(self) -> list[str]:
+        root = self._path(self.root)
+        return [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+
+    def _numbers(self, names: list[str]) -> list[int]:
+        return sorted(int(m.group(1)) for n in names if (m := re.fullmatch(r"MANIFEST-(\d+)\.json", n)))
+
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def _create(self, name: str, text: str) -> None:
+        """A new file; an error if there is one of that name."""
+        out = self._fs.create(self._path(f"{self.root}/{name}"), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _publish(self, manifest: dict) -> None:
+        self._create(f"MANIFEST-{manifest['version']:012d}.json", json.dumps(manifest))
+
+    def _manifest(self) -> dict:
+        found = self._numbers(self._names())
+        for n in reversed(found):
+            if text := self._read(f"MANIFEST-{n:012d}.json"):  # one that was cut off is no version
+                try:
+                    return json.loads(text)
+                except json.JSONDecodeError:
+                    continue
+        raise integrity.StaleStoreError(f"{self.root} has no manifest")
+
     def _commit(self, changed: dict[str, DataFrame]) -> None:
         self._check_open()
-        old = self._manifest() or {"schema_version": SCHEMA_VERSION, "version": 0, "tables": {}}
+        old = self._manifest()
+        number = self._numbers(self._names())[-1] + 1
         tables = dict(old["tables"])
         for name, df in changed.items():
-            path = f"{self.root}/v{old['version'] + 1}-{uuid.uuid4().hex[:8]}/{name}"
+            path = f"{self.root}/v{number}-{uuid.uuid4().hex[:8]}/{name}"
             self._checked(name, df).write.parquet(path)
             tables[name] = path
-        new = {"schema_version": SCHEMA_VERSION, "version": old["version"] + 1, "tables": tables}
-        draft, current = self._path(f"{self.root}/CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT.json")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        self._fs.delete(current, False)
-        self._fs.rename(draft, current)
+        self._publish({"schema_version": SCHEMA_VERSION, "version": number, "tables": tables})
 
     def _checked(self, name: str, df: DataFrame) -> DataFrame:
         schema = STORE[name]
@@ -87,14 +129,56 @@ class KnowledgeLibrary:
         key = KEYS[name]
         return self.table(name).join(keys.select(key), key, "left_anti").unionByName(self._checked(name, new))
 
+    def _embedded(self, targets: DataFrame, stored: DataFrame) -> DataFrame:
+        """Targets with vectors: the stored one where nothing that matters changed, a new one elsewhere."""
+        targets = targets.withColumn("embedding_model", F.lit(self.model)).withColumn("dimension", F.lit(self.dimension)).withColumn("projection_schema_version", F.lit(projection.PROJECTION_VERSION))
+        compared = [c for c in COMPARED if c in targets.columns]
+        fresh = stale(targets, stored, "target_id", compared)
+        kept = targets.join(fresh.select("target_id"), "target_id", "left_anti").join(stored.select("target_id", "embedding"), "target_id")
+        return kept.unionByName(fresh.withColumn("embedding", embed(F.col("matched_text"), self.provider)).select(*kept.columns))
+
+    def records_of(self, items: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Search records of items, with the vectors that the store has of unchanged ones.
+
+        items may have, besides the store's columns, the metadata that records
+        carry: as_of, available_at, source_kind, confidence, tags, source_content_hash.
+        """
+        meta = [c for c in ("as_of", "available_at", "source_kind", "confidence", "tags", "source_content_hash") if c in items.columns]
+        own = items.select("item_id", F.col("schema_version").alias("knowledge_schema_version"), F.col("canonical_hash").alias("item_canonical_hash"), *meta)
+        targets = projection.search_targets(items, nodes).join(own, "item_id")
+        if "source_content_hash" not in meta:
+            targets = targets.withColumn("source_content_hash", F.lit(None).cast("string"))
+        return self._embedded(targets, self.table("records"))
+
+    def put_knowledge(self, items: DataFrame, nodes: DataFrame | None = None) -> None:
+        """Replaces items with their nodes, and projects and embeds what can be searched; unchanged targets keep their vectors.
+
+        items: item_id, knowledge_class, item_type, item_shape (flat or tree), schema_version, payload_json, and
+        the metadata of ``records_of``; nodes: item_id, node_id, parent_id, position, payload_json.
+        """
+        nodes = self._checked("nodes", nodes) if nodes is not None else self.table("nodes").limit(0)
+        nodes = nodes.withColumn("content_hash", F.sha2("payload_json", 256))
+        n = nodes.groupBy("item_id").agg(F.count("*").cast("int").alias("node_count"))
+        items = items.drop("node_count", "target_count", "canonical_hash").join(n, "item_id", "left").withColumn("node_count", F.coalesce("node_count", F.lit(0)))
+        items = items.withColumn("canonical_hash", F.sha2("payload_json", 256)).withColumn("target_count", F.when(F.col("item_shape") == "tree", F.greatest("node_count", F.lit(1))).otherwise(1))
+        records = self.records_of(items, nodes)
+        self.put(items.select(*[c for c in items.columns if c in STORE["items"].names]), nodes, records)
+
     def put(self, items: DataFrame, nodes: DataFrame | None = None, records: DataFrame | None = None) -> None:
-        """Replaces items with their nodes and search records."""
+        """Replaces items with their nodes and search records, all given."""
         keys = items.select("item_id").distinct()
         new = {"items": items, "nodes": nodes if nodes is not None else self.table("nodes").limit(0), "records": records if records is not None else self.table("records").limit(0)}
         self._commit({n: self._replaced(n, df, keys) for n, df in new.items()})
 
-    def put_artifacts(self, artifacts: DataFrame, members: DataFrame, lineage: DataFrame, projections: DataFrame, sources: DataFrame | None = None, assets: DataFrame | None = None) -> None:
-        """Adds sources and assets that are missing; replaces artifacts with all that belongs to them."""
+    def put_artifacts(
+        self, artifacts: DataFrame, members: DataFrame, lineage: DataFrame, projections: DataFrame | None = None, sources: DataFrame | None = None, assets: DataFrame | None = None
+    ) -> None:
+        """Adds sources and assets that are missing; replaces artifacts with all that belongs to them.
+
+        Without ``projections`` summaries and chunks are projected and embedded.
+        """
+        if projections is None:
+            projections = self._embedded(projection.paper_targets(artifacts, members), self.table("projections"))
         keys = artifacts.select("artifact_id").distinct()
         changed = {n: self._replaced(n, df, keys) for n, df in (("artifacts", artifacts), ("members", members), ("lineage", lineage), ("projections", projections))}
         for name, df in (("sources", sources), ("assets", assets)):
@@ -104,29 +188,78 @@ class KnowledgeLibrary:
                 changed[name] = self.table(name).unionByName(fresh)
         self._commit(changed)
 
+    def put_structure(self, tree_id: str, source_revision_id: str, nodes: DataFrame, as_of=None) -> None:
+        """Stores one structure tree by itself: its nodes as members, with the hash of all of them. No source is needed.
+
+        nodes: node_id, parent_id, position, title, summary, content, children_ids, pages. A tree that breaks a rule is refused.
+        """
+        from .trees import violations
+
+        tree = nodes.select(F.lit(tree_id).alias("tree_id"), "node_id", "parent_id", "position", "children_ids", "pages")
+        if first := violations(tree).limit(1).collect():
+            raise ValueError(f"{first[0]['rule']}: {first[0]['node_id']}")
+        members = nodes.select(F.lit(tree_id).alias("artifact_id"), F.col("node_id").alias("member_id"), "parent_id", "position", F.to_json(F.struct("title", "summary", "content", "children_ids", "pages")).alias("payload_json"))
+        members = members.withColumn("content_hash", F.sha2("payload_json", 256))
+        about = F.to_json(F.struct(F.lit(tree_id).alias("tree_id"), F.lit(as_of).cast("string").alias("as_of")))
+        art = members.groupBy("artifact_id").agg(F.count("*").cast("int").alias("member_count"), _members_hash().alias("canonical_hash"))
+        art = art.select("artifact_id", F.lit(source_revision_id).alias("source_revision_id"), F.lit(TREE).alias("artifact_kind"), F.lit("1").alias("schema_version"), about.alias("payload_json"), "canonical_hash", "member_count", F.lit(0).alias("target_count"))
+        self.put_artifacts(art, members, self.table("lineage").limit(0), self.table("projections").limit(0))
+
+    def artifact(self, artifact_id: str) -> DataFrame:
+        """Members of one artifact in order, verified against its count and the hashes of all; KeyError if there is none."""
+        row = self.table("artifacts").where(F.col("artifact_id") == artifact_id).limit(1).collect()
+        if not row:
+            raise KeyError(artifact_id)
+        members = self.table("members").where(F.col("artifact_id") == artifact_id)
+        got = members.agg(F.count("*").alias("n"), F.count_if(F.sha2("payload_json", 256) != F.col("content_hash")).alias("wrong"), _members_hash().alias("h")).first()
+        if got["n"] != (row[0]["member_count"] or 0) or got["wrong"] or (row[0]["artifact_kind"] == TREE and got["h"] != row[0]["canonical_hash"]):
+            raise integrity.StaleStoreError(f"corrupt artifact {artifact_id}")
+        return in_order(members)
+
+    def open_structure(self, tree_id: str) -> DataFrame:
+        """Nodes of a stored structure tree: tree_id, node_id, parent_id, position, title, summary, content, children_ids, pages."""
+        members = self.artifact(tree_id)
+        if not self.table("artifacts").where((F.col("artifact_id") == tree_id) & (F.col("artifact_kind") == TREE)).limit(1).count():
+            raise KeyError(f"{tree_id} is not a structure tree")
+        p = F.from_json("payload_json", "struct<title:string,summary:string,content:string,children_ids:array<string>,pages:array<int>>")
+        return members.select(F.col("artifact_id").alias("tree_id"), F.col("member_id").alias("node_id"), "parent_id", "position", p.alias("p")).select("tree_id", "node_id", "parent_id", "position", "p.*")
+
     def delete(self, item_id: str) -> None:
-        """Removes one item with its nodes and records; KeyError if there is none."""
+        """Removes one item with its nodes and records; KeyError if there is none, and an error if only what belonged to it is left."""
         if self.table("items").where(F.col("item_id") == item_id).limit(1).count() == 0:
-            if self.table("nodes").where(F.col("item_id") == item_id).limit(1).count():
-                raise integrity.StaleStoreError(f"nodes without item {item_id}")
+            left = sum(self.table(t).where(F.col("item_id") == item_id).count() for t in ("nodes", "records"))
+            if left:
+                raise integrity.StaleStoreError(f"{left} nodes or records without item {item_id}")
             raise KeyError(item_id)
         self._commit({n: self.table(n).where(F.col("item_id") != item_id) for n in ("items", "nodes", "records")})
 
     def get(self, item_id: str) -> dict:
-        """The item, verified against its hash and node count."""
+        """The item, verified against its hash, its node count and the hashes of its nodes."""
         row = self.table("items").where(F.col("item_id") == item_id).withColumn("_hash", F.sha2("payload_json", 256)).limit(2).collect()
         if not row:
             raise KeyError(item_id)
-        nodes = self.table("nodes").where(F.col("item_id") == item_id).count()
-        if row[0]["_hash"] != row[0]["canonical_hash"] or nodes != (row[0]["node_count"] or 0):
+        nodes = self.table("nodes").where(F.col("item_id") == item_id)
+        got = nodes.agg(F.count("*").alias("n"), F.count_if(F.sha2("payload_json", 256) != F.col("content_hash")).alias("wrong")).first()
+        if row[0]["_hash"] != row[0]["canonical_hash"] or got["n"] != (row[0]["node_count"] or 0) or got["wrong"]:
             raise integrity.StaleStoreError(f"corrupt item {item_id}")
         return json.loads(row[0]["payload_json"])
 
+    def nodes(self, item_id: str) -> DataFrame:
+        """The nodes of one item, in order."""
+        return in_order(self.table("nodes").where(F.col("item_id") == item_id), "node_id")
+
     def resolve(self, locators: DataFrame) -> DataFrame:
-        """Locators (source_revision_id, artifact_kind, artifact_id, member_id) with the payload they name; KeyError if one names nothing."""
-        members = self.table("members").select("artifact_id", "member_id", F.col("payload_json").alias("member_payload"))
-        found = locators.join(self.table("artifacts").select("artifact_id", "artifact_kind", "source_revision_id", "payload_json"), ["artifact_id", "artifact_kind", "source_revision_id"], "left")
-        found = found.join(members, ["artifact_id", "member_id"], "left")
+        """Locators (source_revision_id, artifact_kind, artifact_id, member_id) with the payload they name; KeyError if one names nothing.
+
+        A locator without a source names an item by its type, or one of its nodes.
+        """
+        owners = self.table("artifacts").select("artifact_id", "artifact_kind", "source_revision_id", "payload_json")
+        owners = owners.unionByName(self.table("items").select(F.col("item_id").alias("artifact_id"), F.col("item_type").alias("artifact_kind"), F.lit(None).cast("string").alias("source_revision_id"), "payload_json"))
+        parts = self.table("members").select("artifact_id", "member_id", F.col("payload_json").alias("member_payload"))
+        parts = parts.unionByName(self.table("nodes").select(F.col("item_id").alias("artifact_id"), F.col("node_id").alias("member_id"), F.col("payload_json").alias("member_payload")))
+        a, b = locators.alias("a"), owners.alias("b")
+        same = (F.col("a.artifact_id") == F.col("b.artifact_id")) & (F.col("a.artifact_kind") == F.col("b.artifact_kind")) & F.col("a.source_revision_id").eqNullSafe(F.col("b.source_revision_id"))
+        found = a.join(b, same, "left").select("a.*", "b.payload_json").join(parts, ["artifact_id", "member_id"], "left")
         missing = found.where("payload_json is null or (member_id is not null and member_payload is null)").limit(1).collect()
         if missing:
             raise KeyError(str(missing[0].asDict()))
@@ -143,17 +276,40 @@ class KnowledgeLibrary:
         return rows.where(F.col("artifact_kind").isin("paper_chunk_set", "paper_summary"))
 
     def check(self) -> None:
-        """Fails closed if any table disagrees with another."""
+        """Fails closed if any table disagrees with another; a version that has passed is not checked again."""
+        mark = f"CHECKED-{self.version:012d}"
+        if mark in self._names():
+            return
         t = self.table
         integrity.require_none(integrity.item_violations(t("items"), t("nodes"), t("records")))
-        integrity.require_none(integrity.artifact_violations(t("sources"), t("artifacts"), t("members"), t("projections"), t("lineage")))
+        integrity.require_none(integrity.artifact_violations(t("sources"), t("artifacts"), t("members"), t("projections"), t("lineage"), t("assets")))
+        try:
+            self._create(mark, "")
+        except Exception:  # another reader has marked the same version meanwhile
+            if mark not in self._names():
+                raise
 
-    def search(self, query, embed) -> DataFrame:
-        """Checks the store, then ranks what the query's restrictions leave."""
-        from .search import search
+    def index(self) -> DataFrame:
+        """All that can be searched: records of items, and projections of papers with the times and kind of their source."""
+        items = self.table("records").withColumn("artifact_kind", F.col("item_type")).withColumn("source_revision_id", F.lit(None).cast("string"))
+        arts = self.table("artifacts").select("artifact_id", "artifact_kind")
+        src = self.table("sources").select("source_revision_id", "as_of", "available_at", F.col("kind").alias("source_kind"))
+        papers = self.table("projections").join(arts, "artifact_id").join(src, "source_revision_id")
+        papers = papers.withColumnRenamed("artifact_id", "item_id").withColumnRenamed("member_id", "node_id").withColumn("item_type", F.col("artifact_kind"))
+        return items.unionByName(papers, allowMissingColumns=True)
 
+    def search(self, query: SemanticQuery, embed: Callable[[str], list[float]] | None = None) -> DataFrame:
+        """Evidence for a query: filter, rank, then the canonical rows of the few that are left. The text is embedded only if something is left to rank."""
         self.check()
-        return search(self.table("records").withColumn("artifact_kind", F.col("item_type")), query, embed)
+        index = self.index()
+        candidates = matching(index, query)
+        if candidates.limit(1).count() == 0:
+            top = candidates.withColumn("score", F.lit(0.0))
+        else:
+            best = rank(candidates, (embed or self.provider)(query.text), query.top_k)
+            top = index.join(F.broadcast(best), "target_id")  # top_k rows
+        t = self.table
+        return projection.hits(top, t("items"), t("nodes"), t("artifacts"), t("members"))
 
     def close(self) -> None:
         self.closed = True
@@ -163,3 +319,12 @@ class KnowledgeLibrary:
 
     def __exit__(self, *_):
         self.close()
+
+
+def in_order(members: DataFrame, member: str = "member_id") -> DataFrame:
+    """Members by parent (those without first), position and id."""
+    return members.orderBy(F.coalesce("parent_id", F.lit("")), "position", member)
+
+
+def _members_hash():
+    return F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("member_id", "content_hash")))), 256)

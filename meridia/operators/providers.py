@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from .trees import budgeted
 
+FLAT_SUMMARY = "Source pages retained in canonical storage."  # fixed value
 Draft = list[dict]  # nodes: title, summary, start_page, end_page, children
 
 
@@ -61,28 +62,26 @@ def outline_draft(headings: list[tuple[int, str, int]], pages: int) -> Draft:
 def build_tree(draft: Draft, page_texts: dict[int, str], title: str, max_depth: int = 6, max_nodes: int = 200) -> list[dict]:
     """Nodes of a draft, by dotted paths from 0; leaves hold their pages' text, inner nodes none.
 
-    ValueError for pages outside the source, empty leaves, and too many nodes
-    or levels.
+    The root is the first level and the first node. ValueError for pages
+    outside the source, and too many nodes or levels.
     """
     every = sorted(page_texts)
-    out = [{"path": "0", "parent": None, "position": 0, "title": title, "summary": title, "pages": every, "content": None, "children": [f"0.{i}" for i in range(len(draft))]}]
-
-    def add(node: dict, path: str, parent: str, position: int, depth: int) -> None:
-        if depth > max_depth or len(out) >= max_nodes:
-            raise ValueError("the draft has too many nodes or levels")
-        pages = list(range(node["start_page"], node["end_page"] + 1))
+    root = {"title": title, "summary": title, "pages": every, "children": draft}
+    out: list[dict] = []
+    todo = [(root, "0", None, 0, 1)]
+    while todo:  # in reading order
+        node, path, parent, position, depth = todo.pop()
+        if depth > max_depth:
+            raise ValueError(f"the draft has more than {max_depth} levels")
+        if len(out) >= max_nodes:
+            raise ValueError(f"the draft has more than {max_nodes} nodes")
+        pages = node["pages"] if "pages" in node else list(range(node["start_page"], node["end_page"] + 1))
         if not pages or not set(pages) <= set(every):
-            raise ValueError(f"pages {node['start_page']} to {node['end_page']} are not in the source")
+            raise ValueError(f"pages {node.get('start_page')} to {node.get('end_page')} are not in the source")
         kids = node.get("children") or []
-        content = None if kids else "\n\n".join(page_texts[p] for p in pages if page_texts[p].strip())
-        if content == "":
-            raise ValueError(f"leaf {path} is empty")
+        content = None if kids else "\n\n".join(page_texts[p] for p in pages)
         out.append({"path": path, "parent": parent, "position": position, "title": node["title"], "summary": node["summary"], "pages": pages, "content": content, "children": [f"{path}.{i}" for i in range(len(kids))]})
-        for i, kid in enumerate(kids):
-            add(kid, f"{path}.{i}", path, i, depth + 1)
-
-    for i, node in enumerate(draft):
-        add(node, f"0.{i}", "0", i, 1)
+        todo += [(kid, f"{path}.{i}", path, i, depth + 1) for i, kid in reversed(list(enumerate(kids)))]
     return out
 
 
@@ -90,7 +89,8 @@ def flat_draft(pages: int, max_nodes: int) -> Draft:
     """The fallback: groups of following pages of equal size, at most max_nodes - 1."""
     leaves = min(pages, max(0, max_nodes - 1))
     size = -(-pages // leaves) if leaves else 0
-    return [{"title": f"Pages {a}-{min(pages, a + size - 1)}", "summary": "", "start_page": a, "end_page": min(pages, a + size - 1), "children": []} for a in range(1, pages + 1, size)] if size else []
+    groups = [(a, min(pages, a + size - 1)) for a in range(1, pages + 1, size)] if size else []
+    return [{"title": f"Page {a}" if a == b else f"Pages {a}-{b}", "summary": FLAT_SUMMARY, "start_page": a, "end_page": b, "children": []} for a, b in groups]
 
 
 NODE_SCHEMA = "doc_id string, node_id string, parent_id string, position int, title string, summary string, pages array<int>, content string, children_ids array<string>, error string"
@@ -116,7 +116,7 @@ def build_trees(documents: DataFrame, draft: Callable[[list, int], Draft] = outl
 
 
 def summarise(chunks: DataFrame, group: int = 8, first: Callable[[str], str] = lambda t: t[:200], key: str = "doc_id") -> DataFrame:
-    """(key, summary, citations): each group of following chunks gives a finding that cites its first chunk; findings are joined in order."""
+    """(key, summary, citations): each group of following chunks, read whole, gives a finding that cites its first chunk; findings are joined in order."""
     tile = F.floor(F.col("position") / group)
     groups = chunks.groupBy(key, tile.alias("tile")).agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "text"))).alias("c"))
 
@@ -124,7 +124,8 @@ def summarise(chunks: DataFrame, group: int = 8, first: Callable[[str], str] = l
     def find(s: pd.Series) -> pd.Series:
         return s.map(first, na_action="ignore")
 
-    found = groups.select(key, "tile", F.col("c")[0]["chunk_id"].alias("chunk_id"), find(F.col("c")[0]["text"]).alias("finding"))
+    groups = groups.withColumn("whole", F.array_join(F.transform("c", lambda x: x["text"]), "\n\n"))
+    found = groups.select(key, "tile", F.col("c")[0]["chunk_id"].alias("chunk_id"), find("whole").alias("finding"))
     whole = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tile", "chunk_id", "finding"))).alias("f"))
     return whole.select(key, F.array_join(F.transform("f", lambda x: x["finding"]), "\n").alias("summary"), F.transform("f", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["finding"].alias("quote"))).alias("citations"))
 
@@ -148,3 +149,26 @@ def retrieve(nodes: DataFrame, question: str, selector: Callable[[str, str], lis
     kind = dict(nodes.dtypes)
     picked = shown.select(key, "serialised").mapInPandas(run, f"{key} {kind[key]}, {order} {kind[order]}, nth int")
     return nodes.join(picked, [key, order])
+
+
+def run_structured(run: Callable[[bool], object], validate: Callable[[object], object], rejected: Callable[[Exception], bool]) -> object:
+    """The validated answer of a model, asked for its strict form first and, where a provider rejects that form, for a JSON object.
+
+    ``run(False)`` asks strictly, ``run(True)`` for an object as text, which may
+    stand in a code fence. Any other failure is the caller's.
+    """
+    try:
+        answer = run(False)
+    except Exception as exc:
+        if not rejected(exc):
+            raise
+        answer = run(True)
+    return validate(json.loads(unfenced(answer)) if isinstance(answer, str) else answer)
+
+
+def unfenced(answer: str) -> str:
+    """A text without the one code fence around it."""
+    lines = answer.strip().splitlines()
+    if not lines or not lines[0].startswith("```"):
+        return answer.strip()
+    return "\n".join(lines[1:-1] if lines[-1].strip() == "```" else lines[1:]).strip()

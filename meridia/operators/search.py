@@ -105,17 +105,3 @@ def latest_as_of(rows: DataFrame, key: str, time: str, cutoff: Column, tie: str)
     rest = [c for c in rows.columns if c not in (key, time, tie)]
     packed = F.max(F.struct(time, tie, *rest)).alias("last")
     return rows.where(F.col(time) <= cutoff).groupBy(key).agg(packed).select(key, "last.*").select(*rows.columns)
-
-
-def projection_text() -> Column:
-    """The searchable text of a knowledge item, by its type."""
-    join = lambda *c: F.concat_ws("\n", *c)
-    news = join(F.col("headline"), F.coalesce("event_type", F.lit("")), F.array_join(F.coalesce("entities", F.array().cast("array<string>")), ", "))
-    earnings = join(F.concat_ws(" ", "ticker", "period", F.lit("earnings")), F.coalesce("guidance", F.lit("")))
-    factor = F.concat_ws(" ", F.lit("factor"), F.col("factor_name"), F.lit("on"), F.coalesce("universe", F.lit("unspecified")))
-    cases = {"news": news, "earnings": earnings, "factor": factor, "thesis": F.col("claim")}
-    first, *rest = cases.items()
-    out = F.when(F.col("item_type") == first[0], first[1])
-    for kind, value in rest:
-        out = out.when(F.col("item_type") == kind, value)
-    return F.regexp_replace(out.otherwise(join(F.col("title"), F.col("summary"))), r"^\s+|\s+\z", "")

@@ -106,6 +106,65 @@ def violations(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def source_violations(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(tree_id, rule, page) where a tree and its source differ: the root must name every page of the source, and no node any other.
+
+    nodes: tree_id, node_id, parent_id, pages; pages: tree_id, page.
+    """
+    cited = nodes.select("tree_id", "parent_id", F.explode("pages").alias("page"))
+    outside = cited.select("tree_id", "page").distinct().join(pages, ["tree_id", "page"], "left_anti")
+    missing = pages.distinct().join(cited.where("parent_id is null").select("tree_id", "page").distinct(), ["tree_id", "page"], "left_anti")
+    return outside.select("tree_id", F.lit("page in source").alias("rule"), "page").unionByName(missing.select("tree_id", F.lit("root covers source").alias("rule"), "page"))
+
+
+def split_trees(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trees, nodes) of trees with a column ``nodes`` (array of structs with node_id): each node as a row with its JSON and hash, each tree with the hash of all of them in order."""
+    nodes = trees.select("tree_id", F.explode("nodes").alias("n")).select("tree_id", "n.node_id", F.to_json("n", {"ignoreNullFields": "false"}).alias("payload_json"))
+    nodes = nodes.withColumn("content_hash", F.sha2("payload_json", 256))
+    whole = nodes.groupBy("tree_id").agg(F.count("*").alias("node_count"), _tree_hash().alias("canonical_hash"))
+    return whole, nodes
+
+
+def _tree_hash() -> Column:
+    return F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("node_id", "content_hash")))), 256)
+
+
+def assembled(trees: DataFrame, nodes: DataFrame, node_type: str) -> DataFrame:
+    """(tree_id, nodes, intact): trees from the rows of ``split_trees``; intact if every node has its hash and all of them that of the tree.
+
+    A tree whose rows were changed, lost or added to is not intact. A tree is one value.
+    """
+    checked = nodes.withColumn("ok", F.sha2("payload_json", 256) == F.col("content_hash"))
+    got = checked.groupBy("tree_id").agg(
+        F.array_sort(F.collect_list(F.struct("node_id", F.from_json("payload_json", node_type).alias("n")))).alias("n"), F.bool_and("ok").alias("ok"), F.count("*").alias("k"), _tree_hash().alias("h")
+    )
+    both = trees.join(got, "tree_id", "left")
+    intact = F.coalesce(F.col("ok") & (F.col("k") == F.col("node_count")) & (F.col("h") == F.col("canonical_hash")), F.lit(False))
+    return both.select("tree_id", F.transform("n", lambda x: x["n"]).alias("nodes"), intact.alias("intact"))
+
+
+def evidence(nodes: DataFrame, texts: DataFrame, source_revision_id: Column | None = None, kind: str = "paper_structure_tree") -> DataFrame:
+    """(tree_id, node_id, title, content, pages, locator) of nodes; a node without text is an error.
+
+    texts: ``leaf_text`` of the trees. The locator is null where trees have no source.
+    """
+    found = nodes.drop("content").join(texts.select("tree_id", "node_id", F.col("text").alias("content")), ["tree_id", "node_id"], "left")
+    content = F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(F.raise_error(F.concat(F.lit("no content at node "), F.col("node_id"))))
+    locator = F.lit(None) if source_revision_id is None else F.struct(source_revision_id.alias("source_revision_id"), F.col("tree_id").alias("artifact_id"), F.lit(kind).alias("artifact_kind"), F.col("node_id").alias("member_id"))
+    pages = F.col("pages") if "pages" in nodes.columns else F.lit(None).cast("array<int>")
+    return found.select("tree_id", "node_id", "title", content.alias("content"), pages.alias("pages"), locator.alias("locator"))
+
+
+def node_content(nodes: DataFrame, texts: DataFrame, node_ids: list[str], most: int = 5) -> DataFrame:
+    """Evidence of the named nodes of one tree, in the order they are named; ValueError for too many, or for one that is unknown."""
+    if len(node_ids) > most:
+        raise ValueError(f"more than {most} nodes are asked for at once")
+    asked = nodes.sparkSession.createDataFrame(list(enumerate(node_ids)), "nth int, node_id string")
+    if lost := asked.join(nodes, "node_id", "left_anti").limit(1).collect():
+        raise ValueError(f"unknown node {lost[0]['node_id']}")
+    return evidence(nodes, texts).join(F.broadcast(asked), "node_id").orderBy("nth").drop("nth")  # at most ``most`` rows
+
+
 def flat_groups(pages: Column, max_nodes: int) -> Column:
     """Pages per leaf of the flat fallback tree: one root and at most max_nodes - 1 leaves."""
     leaves = F.least(pages, F.greatest(F.lit(0), F.lit(max_nodes - 1)))

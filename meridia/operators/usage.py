@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import seconds_between
+from ..plans.schemas import SPAN
 
 LEAVES = ("generation", "response")
 
@@ -30,6 +35,36 @@ def steps(spans: DataFrame) -> DataFrame:
     )
 
 
+def in_order(steps: DataFrame) -> DataFrame:
+    """Steps by their start, those without one first; ties by span."""
+    return steps.orderBy(F.col("started_at").asc_nulls_first(), "span_id")
+
+
+class SpanCollector:
+    """Collects spans of a scope on the driver, as a table of the schema SPAN; spans end when their scope does, with or without an error."""
+
+    def __init__(self, trace_id: str):
+        self.trace_id, self.rows, self.open = trace_id, [], []
+
+    @contextmanager
+    def span(self, kind: str, name: str, model: str | None = None) -> Iterator[dict]:
+        """A span below the innermost open one; what the caller puts into the yielded dict under ``usage`` is kept."""
+        row = {"span_id": f"{self.trace_id}-{len(self.rows)}", "parent_id": self.open[-1] if self.open else None, "trace_id": self.trace_id, "type": kind, "name": name, "model": model, "usage": {}, "response": None}
+        self.rows.append(row)
+        self.open.append(row["span_id"])
+        row["started_at"] = datetime.now(timezone.utc).isoformat()
+        try:
+            yield row
+        finally:
+            row["ended_at"] = datetime.now(timezone.utc).isoformat()
+            self.open.pop()
+
+    def spans(self, spark: SparkSession) -> DataFrame:
+        """The spans that have ended."""
+        done = [tuple(r[f] for f in SPAN.names) for r in self.rows if "ended_at" in r]
+        return spark.createDataFrame(done, SPAN)
+
+
 def roll_up(steps: DataFrame) -> DataFrame:
     """Per trace: sums, requests, wall_seconds from first start to last end, busy_seconds."""
     return steps.groupBy("trace_id").agg(

@@ -10,6 +10,9 @@ _ATOMS = {
 }
 
 
+# ``StructType.fromDDL`` needs a running session; schemas are constants of modules that are imported before one.
+
+
 def _split(text: str) -> list[str]:
     """Parts between commas that are not inside angle brackets."""
     parts, depth, start = [], 0, 0
@@ -51,10 +54,10 @@ STORE = {
     "artifacts": ddl("artifact_id string, source_revision_id string, artifact_kind string, schema_version string, producer_config_hash string, payload_json string, canonical_hash string, member_count int, target_count int"),
     "members": ddl("artifact_id string, member_id string, parent_id string, position int, payload_json string, content_hash string"),
     "lineage": ddl("artifact_id string, input_artifact_id string, relation string"),
-    "projections": ddl("target_id string, artifact_id string, member_id string, source_revision_id string, matched_text string, embedding array<float>"),
+    "projections": ddl("target_id string, artifact_id string, member_id string, source_revision_id string, matched_text string, projection_hash string, embedding_model string, dimension int, projection_schema_version string, embedding array<float>"),
 }
 
-FEED_ITEM = ddl("feed_url string, title string, url string, id string, published_at timestamp, summary_html string, content_html string, raw map<string,string>")
+FEED_ITEM = ddl("feed_url string, feed_title string, title string, url string, id string, published_at timestamp, summary_html string, content_html string, raw map<string,string>")
 LISTING_ROW = ddl("page_number int, row_number int, page_date date, href string, title string, timestamp_text string, raw_html string")
 FETCHED = ddl("url string, resolved_url string, status int, content_type string, headers map<string,string>, body binary, fetched_at timestamp, error_type string, message string, attempts int")
 SPAN = ddl(

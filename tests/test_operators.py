@@ -106,7 +106,7 @@ def test_chunks_are_slices(spark):
 
 
 def test_outline(spark):
-    rows = [("d", p, 1000.0, y, i, t, s) for p in (1, 2, 3) for i, (y, t, s) in enumerate([(10.0, "Journal of X", 9.0), (300.0, f"{p}. Part {p} begins", 14.0), (400.0, "body text that is long enough to count", 10.0), (950.0, f"- {p + 4} -", 9.0)])]
+    rows = [("d", p, 1000.0, y, i, t, s) for p in (1, 2, 3) for i, (y, t, s) in enumerate([(10.0, "Journal of X", 9.0), (300.0, f"{p}. Part {p} begins", 14.0), (400.0, "body text that is long enough to count", 10.0), (940.0, f"- {p + 9} -", 9.0), (950.0, f" {p + 4} ", 9.0)])]
     blocks = spark.createDataFrame(rows, "doc_id string, page_number int, page_height double, y0 double, position int, text string, font_size double")
     n = spark.createDataFrame([("d", 3)], "doc_id string, n_pages int")
     headers = documents.repeated_headers(blocks, n)
@@ -259,14 +259,15 @@ def test_feeds(spark):
     df = spark.createDataFrame([("u1", bytearray(rss)), ("u2", bytearray(atom))], "url string, body binary")
     got = feeds.read_feeds(df).orderBy("url").collect()
     assert [(r["url"], r["id"], str(r["published_at"])) for r in got] == [("http://x/1", "g1", "2024-04-15 10:30:00"), ("http://x/2", "http://x/2", "None"), ("http://x/a", "i", "2024-04-15 10:30:00")]
-    for bad in (b"", b"<x/>", b"<rss"):
+    for bad in (b"", b"<x/>", b"<rss", b'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"/>'):
         with pytest.raises(ValueError):
             feeds.parse_feed(bad, "u")
 
 
 def test_listing_html():
-    page = '<input id="date" value="03/02/2024"><div class="row newsCards"><div><a class="newsreleaseconsolidatelink" href="/x-1.html"><h3><small>00:10 ET</small> Title  one</h3></a></div></div><div class="row">no</div>'
-    assert feeds.parse_listing(page) == ("03/02/2024", [{"href": "/x-1.html", "title": "Title one", "timestamp_text": "00:10 ET"}])
+    row = '<div class="row newsCards"><div><a class="newsreleaseconsolidatelink" href="/x-1.html"><h3><small>00:10 ET</small>\n Title  one &amp; two</h3><small>read</small></a></div></div>'
+    page = f'<p>\n<input id="date" value="03/02/2024">{row}<div class="row">no</div>'
+    assert feeds.parse_listing(page) == ("03/02/2024", [{"href": "/x-1.html", "title": "Title one & two", "timestamp_text": "00:10 ET", "raw_html": row}])
 
 
 def test_http():

@@ -17,17 +17,20 @@ def test_embedding(spark):
 def test_drafts():
     texts = {1: "one", 2: "two", 3: " "}
     nodes = providers.build_tree(providers.outline_draft([(1, "A", 1), (2, "x", 2), (2, "B", 1)], 3), texts, "T")
-    assert [(n["path"], n["pages"], n["content"]) for n in nodes] == [("0", [1, 2, 3], None), ("0.0", [1], "one"), ("0.1", [2, 3], "two")]
-    for bad in ([{"title": "x", "summary": "", "start_page": 3, "end_page": 3}], [{"title": "x", "summary": "", "start_page": 1, "end_page": 9}]):
-        with pytest.raises(ValueError):
-            providers.build_tree(bad, texts, "T")
+    assert [(n["path"], n["pages"], n["content"]) for n in nodes] == [("0", [1, 2, 3], None), ("0.0", [1], "one"), ("0.1", [2, 3], "two\n\n ")]
+    with pytest.raises(ValueError, match="not in the source"):
+        providers.build_tree([{"title": "x", "summary": "", "start_page": 1, "end_page": 9}], texts, "T")
+    deep = [{"title": "x", "summary": "", "start_page": 1, "end_page": 1, "children": [{"title": "y", "summary": "", "start_page": 1, "end_page": 1}]}]
+    assert len(providers.build_tree(deep, texts, "T", max_depth=3)) == 3  # the root is the first level
+    with pytest.raises(ValueError, match="levels"):
+        providers.build_tree(deep, texts, "T", max_depth=2)
     with pytest.raises(ValueError):
         providers.build_tree(providers.flat_draft(3, 10), texts, "T", max_nodes=2)
     assert [(d["start_page"], d["end_page"]) for d in providers.flat_draft(10, 4)] == [(1, 4), (5, 8), (9, 10)] and providers.flat_draft(5, 1) == []
 
 
 def test_trees_are_valid(spark):
-    rows = [("d", "T", {1: "one", 2: "two"}, [(1, "A", 1), (2, "B", 1)]), ("e", "T", {1: " "}, [])]
+    rows = [("d", "T", {1: "one", 2: "two"}, [(1, "A", 1), (2, "B", 1)]), ("e", "T", {1: " "}, [(7, "A", 1)])]
     docs = spark.createDataFrame(rows, "doc_id string, title string, page_texts map<int,string>, headings array<struct<page:int,title:string,level:int>>")
     got = providers.build_trees(docs)
     assert got.where("error is not null").select("doc_id").collect()[0][0] == "e"
@@ -38,8 +41,23 @@ def test_trees_are_valid(spark):
 def test_summary_and_retrieval(spark):
     chunks = spark.createDataFrame([("d", i, f"c{i}", f"text {i}") for i in range(10)], "doc_id string, position int, chunk_id string, text string")
     s = providers.summarise(chunks).first()
-    assert s["summary"] == "text 0\ntext 8" and [c["chunk_id"] for c in s["citations"]] == ["c0", "c8"]
+    assert s["summary"] == "\n".join("\n\n".join(f"text {i}" for i in g) for g in (range(8), range(8, 10))) and [c["chunk_id"] for c in s["citations"]] == ["c0", "c8"]
     nodes = spark.createDataFrame([("t", 0, "Costs", "money"), ("t", 1, "Methods", "how it was done")], "tree_id string, n int, title string, summary string")
     assert [r["title"] for r in providers.retrieve(nodes, "which methods were used").collect()] == ["Methods"]
     assert providers.retrieve(nodes, "zzz").count() == 0
     assert providers.retrieve(nodes, "q", lambda s, q: [1, 1, 7]).select(F.count("*")).first()[0] == 1
+
+
+def test_structured_answers():
+    calls = []
+
+    def run(plain):
+        calls.append(plain)
+        if not plain:
+            raise ValueError("no json schema here")
+        return '```json\n{"a": 1}\n```'
+
+    assert providers.run_structured(run, lambda v: v["a"], lambda e: "schema" in str(e)) == 1 and calls == [False, True]
+    with pytest.raises(ValueError):
+        providers.run_structured(run, lambda v: v, lambda e: False)
+    assert providers.run_structured(lambda plain: {"a": 2}, lambda v: v["a"], lambda e: True) == 2
