@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text, time
 from ..operators import batch, documents, integrity, news, ranking, search, trees, usage
 from ..sources.html import html_text
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def registered(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import collection, store, values  # noqa: F401 (they register their queries)
+from .registry import ORACLES, QUERIES, registered, t  # noqa: F401
 
 
 # --- search -----------------------------------------------------------------
@@ -45,25 +29,25 @@ def semantic_topk(spark, sf_dir):
 
 
 def document_index(spark, sf_dir) -> DataFrame:
-    """Documents and labels as an index; what has no label has no known availability."""
+    """Documents and labels as an index; what has no label has no known availability. Times spread over the whole table at any size."""
     d, lab = t(spark, sf_dir, "documents").drop("text"), t(spark, sf_dir, "labels")
-    as_of = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
+    as_of = F.timestamp_seconds(F.lit(1704067200) + F.col("n_chars") % 1000 * 3600)
     return d.join(lab, "doc_id", "left").select(
         F.concat(F.lit("item:"), F.col("doc_id").cast("string")).alias("target_id"), "doc_id", F.lit("news").alias("item_type"), F.lit("news").alias("artifact_kind"), F.col("source").alias("source_kind"),
         F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").otherwise("medium").alias("confidence"), F.array("lang", "source").alias("tags"),
-        F.concat(F.lit("tree-"), (F.col("doc_id") % 3).cast("string")).alias("tree_id"), as_of.alias("as_of"), F.when(F.col("quality").isNotNull(), as_of + F.expr("interval 1 day")).alias("available_at"),
+        F.concat(F.lit("tree-"), F.col("toxic").cast("string")).alias("tree_id"), as_of.alias("as_of"), F.when(F.col("quality").isNotNull(), as_of + F.expr("interval 1 day")).alias("available_at"),
     )
 
 
 @registered("""
 SELECT d.doc_id, d.source AS source_kind FROM documents d LEFT JOIN labels l USING (doc_id)
-WHERE d.source IN ('src0','src1','src2','src3','src4') AND l.quality = 1 AND d.lang = 'en' AND d.doc_id % 3 = 1
-AND d.doc_id * 3600 <= 700 * 3600 AND l.quality IS NOT NULL AND d.doc_id * 3600 + 86400 <= 600 * 3600""")
+WHERE d.source IN ('src0','src1','src2','src3','src4') AND l.quality = 1 AND d.lang = 'en' AND l.toxic = 0
+AND d.n_chars % 1000 <= 700 AND l.quality IS NOT NULL AND d.n_chars % 1000 + 24 <= 600""")
 def semantic_filter_all(spark, sf_dir):
     base = datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp()
     at = lambda h: datetime.fromtimestamp(base + h * 3600, timezone.utc)
     q = search.SemanticQuery(
-        "any", item_types=("news",), artifact_kinds=("news",), source_kinds=tuple(f"src{i}" for i in range(5)), confidence="high", tags=("en",), tree_id="tree-1", as_of=at(700), available_at=at(600)
+        "any", item_types=("news",), artifact_kinds=("news",), source_kinds=tuple(f"src{i}" for i in range(5)), confidence="high", tags=("en",), tree_id="tree-0", as_of=at(700), available_at=at(600)
     )
     return search.matching(document_index(spark, sf_dir), q).select("doc_id", "source_kind")
 
@@ -181,16 +165,16 @@ def parse_dates(spark, sf_dir):
 
 @registered("""
 WITH e AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS n, (max(ts) OVER (PARTITION BY event_type))::DATE AS d, strftime(ts, '%H:%M') AS h FROM events),
-b AS (SELECT *, CASE WHEN h > lag(h) OVER (PARTITION BY event_type ORDER BY n) THEN 1 ELSE 0 END AS back FROM e)
-SELECT event_id, strftime(d - (sum(back) OVER (PARTITION BY event_type ORDER BY n))::INT, '%Y-%m-%d') || ' ' || h AS published_at FROM b""")
+b AS (SELECT *, CASE WHEN h > lag(h) OVER (PARTITION BY event_type ORDER BY n) THEN 1 ELSE 0 END AS back FROM e),
+l AS (SELECT event_id, (strftime(d - (sum(back) OVER (PARTITION BY event_type ORDER BY n))::INT, '%Y-%m-%d') || ' ' || h || ':00')::TIMESTAMP AS eastern FROM b)
+SELECT event_id, strftime(timezone('UTC', timezone('America/New_York', eastern)), '%Y-%m-%d %H:%M') AS published_at FROM l""")
 def listing_rollback(spark, sf_dir):
     e = t(spark, sf_dir, "events").withColumn("ts", time.to_utc(F.col("ts")))
     feed = Window.partitionBy("event_type")
     n = F.row_number().over(feed.orderBy(F.desc("ts"), "event_id"))
-    rows = e.select("event_id", "event_type", n.alias("n"), F.to_date(F.max("ts").over(feed)).alias("page_date"), F.date_format("ts", "HH:mm").alias("timestamp_text"))
+    rows = e.select("event_id", "event_type", n.alias("n"), F.to_date(F.max("ts").over(feed)).alias("page_date"), F.concat(F.date_format("ts", "HH:mm"), F.lit(" ET")).alias("timestamp_text"))
     rows = rows.withColumn("page_number", F.floor(F.col("n") / 100)).withColumn("row_number", F.col("n"))
-    out = news.listing_times(rows, feed="event_type", zoned=False)
-    return out.select("event_id", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
+    return news.listing_times(rows, feed="event_type").select("event_id", F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
 
 
 @registered("""
@@ -244,7 +228,7 @@ QUOTES = "(SELECT d.doc_id, d.source, b.item_id, strpos(d.text, b.text) - 1 AS s
 
 def _quotes(spark, sf_dir) -> DataFrame:
     d, b = t(spark, sf_dir, "documents").select("doc_id", "source", "text"), t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return documents.quotes_in(d, b).select("doc_id", "source", "item_id", F.col("offset").cast("long").alias("start_at"))
+    return documents.quotes_in(d, b, "doc_id").select("doc_id", "source", "item_id", F.col("offset").cast("long").alias("start_at"))
 
 
 @registered(f"SELECT doc_id, item_id, start_at FROM {QUOTES}")
@@ -272,9 +256,7 @@ def repeated_text(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     lines = d.select("source", F.col("doc_id").alias("page_number"), F.explode(F.split("text", "\n", -1)).alias("text"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("page_height"))
     n = d.groupBy("source").agg(F.count("*").alias("n_pages"))
-    seen = documents.repeated_headers(lines, n, "source", 0.02)
-    named = lines.select("source", "page_number", F.lower(text.normalize_space(F.col("text"))).alias("header")).distinct()
-    return named.join(seen, ["source", "header"]).groupBy("source", "header").agg(F.count("*").alias("k"))
+    return documents.repeated_headers(lines, n, "source", 0.02).select("source", "header", "k")
 
 
 @registered("""
