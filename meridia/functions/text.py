@@ -17,7 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-WHITE = "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS)  # the same, for a class of a pattern
+
+
+def _ranges(chars: str) -> str:
+    """Characters as ranges of a pattern's class."""
+    codes = [ord(c) for c in chars]
+    firsts = [c for c in codes if c - 1 not in codes]
+    lasts = [c for c in codes if c + 1 not in codes]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(firsts, lasts))
+
+
+WHITE, RARE = _ranges(BLANKS), _ranges("".join(c for c in BLANKS if c not in " \n"))
 
 # fixed values: characters replaced after NFKC, tracking parameters, exchanges, patterns of hints, links, marks and protected addresses
 PLAIN_FROM, PLAIN_TO = "‘’“”–— ", "''\"\"-- "
@@ -45,14 +55,16 @@ def strip(c: Column) -> Column:
 
 def normalize_space(c: Column) -> Column:
     """One blank for every run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{WHITE}]+", " "))
+    return F.trim(F.regexp_replace(c, f"[{WHITE}]{{2,}}|[{RARE}\\n]", " "))
 
 
 def collapse_whitespace(c: Column) -> Column:
     """Runs of horizontal white space to a blank, blank gaps to one empty line, then line ends and both ends stripped. Apply once: it is not idempotent."""
     c = F.regexp_replace(c, r"[ \t\f\x0b]{2,}|[\t\f\x0b]", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(c, rf"[{WHITE}&&[^\n]]++(?=\n)", ""))
+    # by now only rare white space can stand before a line end beside a blank
+    ends = F.when(c.rlike(f"[{RARE}]"), F.regexp_replace(c, rf"[{RARE} ]++(?=\n)", "")).otherwise(F.replace(c, F.lit(" \n"), F.lit("\n")))
+    return strip(ends)
 
 
 def dedupe_lines(c: Column) -> Column:

@@ -136,19 +136,18 @@ def page_offset(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 def quotes_in(chunks: DataFrame, quotes: DataFrame, key: str, chunk_text: str = "text", quote: str = "quote") -> DataFrame:
     """Pairs where the chunk contains the quote, with ``offset``; ``key`` identifies a chunk.
 
-    A quote of five words or more is looked up by its second to fourth words,
-    which stand in a chunk that contains it as they are, so both sides meet in
-    an equi-join on a hash and only pairs that share it are compared. Shorter
-    quotes have no such words and are compared with every chunk.
+    A quote of three words or more is looked up by the longest word inside it,
+    which stands in a chunk that contains the quote as a whole word, so both
+    sides meet in an equi-join and only pairs that share it are compared.
+    Shorter quotes have no such word and are compared with every chunk.
     """
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s{2,}|[^\S ]", " ")), " ")
     named = quotes.withColumn("_w", words(F.col(quote)))
-    part = named.withColumn("_gram", F.xxhash64(F.concat_ws(" ", F.slice("_w", 2, 3)))).where(F.size("_w") >= 5).drop("_w")
-    w = words(F.col(chunk_text))
-    grams = F.transform(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.size(w)).alias("b"), F.slice(w, F.lit(3), F.size(w)).alias("c")), lambda x: F.xxhash64(F.concat_ws(" ", x["a"], x["b"], x["c"])))
-    held = chunks.select(key, F.array_distinct(grams).alias("_grams")).select(key, F.explode("_grams").alias("_gram"))
-    met = held.join(part, "_gram").drop("_gram").join(chunks, key)
-    short = chunks.join(named.where(F.size("_w") < 5).drop("_w"), F.col(chunk_text).contains(F.col(quote)))
+    longest = F.array_max(F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    part = named.where(F.size("_w") >= 3).withColumn("_word", longest).drop("_w")
+    held = chunks.select(key, F.explode(F.array_distinct(words(F.col(chunk_text)))).alias("_word"))
+    met = held.join(part, "_word").drop("_word").join(chunks, key)
+    short = chunks.join(named.where(F.size("_w") < 3).drop("_w"), F.col(chunk_text).contains(F.col(quote)))
     both = met.where(F.col(chunk_text).contains(F.col(quote)))
     return both.unionByName(short.select(*both.columns)).withColumn("offset", F.instr(F.col(chunk_text), F.col(quote)) - 1)
 
