@@ -45,26 +45,32 @@ def nearest(
     k: int = 10,
     vec_id: str = "vec_id",
     vector: str = "embedding",
-    cells: int = 64,
-    probes: int = 48,
+    cells: int | None = None,
+    probes: int | None = None,
     parts: int = 16,
     codes: int = 64,
     shortlist: int = 100,
-    sample_rows: int = 8192,
     block: int = 20_000,
+    turn_rows: int = 50_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of all other rows by Euclidean distance.
 
     Nearest first, ties to the smaller id. Null, zero or non-finite vectors,
     null ids and vectors of another dimension than most take no part; repeated
     rows of one id are candidates each, but not for that id itself. The result
-    is exact: probes, shortlist, codes and sample only change what it costs. A
-    query whose cells hold fewer than k candidates looks into all cells.
+    is exact: cells, probes, shortlist and codes only change what it costs. A
+    query whose cells hold fewer than k candidates looks into all cells. An
+    empty table gives no rows; other columns are ignored.
+
+    There are as many cells as a quarter of the root of the rows, 64 at least and
+    1024 at most, fitted on 32 vectors a cell or 8192; an eighth of them are
+    probed first, which gives each query its bound.
     """
     ws = Workspace(spark, "ann")
     v = F.transform(vector, lambda x: x.cast("double"))
     data = rows.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), is_query.alias("is_query"))
-    fit = sample(data, "v", sample_rows)
+    cells = cells or max(64, min(1024, int(data.count() ** 0.5) // 4))
+    fit = sample(data, "v", max(8192, 32 * cells))
     dims = [len(x) for x in fit]
     dim = max(set(dims), key=dims.count) if dims else 1
     x = np.array([f for f in fit if len(f) == dim]).reshape(-1, dim)
@@ -72,7 +78,7 @@ def nearest(
     cuts = np.array_split(np.arange(dim), min(parts, dim))
     rest = x - coarse[_squares(x, coarse).argmin(1)] if len(x) else x
     books = [kmeans(rest[:, c], codes) if len(x) else np.zeros((1, len(c))) for c in cuts]
-    probes = min(probes, len(coarse))
+    probes = min(probes or max(1, cells // 8), len(coarse))
 
     def index(batches):
         for b in batches:
@@ -97,9 +103,7 @@ def nearest(
     for row in sizes.collect():
         radius[row["cell"]] = row["radius"]
     blocks = F.broadcast(sizes.select("cell", "blocks"))
-    turns = table.where("is_query").count() // 50_000 + 1  # queries go in blocks of about that many
-    turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
-    stored = table.join(blocks, "cell").select(turn, "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v", "code", "lost")
+    held = table.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v", "code", "lost")
     asked = table.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("inf")).alias("bound"), "look")
     result = "query_id long, vec_id long, score double"
     out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -140,11 +144,14 @@ def nearest(
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=out_schema)
 
     def run(q: DataFrame) -> DataFrame:
-        sent = q.select("query_id", "q", "bound", F.explode("look").alias("cell")).join(blocks, "cell").select("query_id", "q", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        sent = sent.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
-        sent = sent.toDF("query_id", "q", "bound", "q_cell", "q_block", "q_turn")
-        hits = sent.groupBy("q_cell", "q_block", "q_turn").cogroup(stored.groupBy("cell", "block", "turn")).applyInArrow(search, result)
-        return hits
+        """Hits of the queries in the cells that they look into. A cell that more than turn_rows queries ask is read in several turns, each with a part of them."""
+        sent = ws.stage(q.select("query_id", "q", "bound", F.explode("look").alias("cell")), "sent")
+        turns = sent.groupBy("cell").agg(F.ceil(F.count("*") / turn_rows).cast("int").alias("turns"))
+        turns = F.broadcast(ws.stage(turns, "turns"))  # a row per cell
+        sent = sent.join(blocks, "cell").join(turns, "cell").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int"))
+        sent = sent.select("query_id", "q", "bound", F.col("cell").alias("q_cell"), F.col("turn").alias("q_turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"))
+        stored = held.join(turns, "cell").select("cell", "block", "vec_id", "v", "code", "lost", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+        return sent.groupBy("q_cell", "q_block", "q_turn").cogroup(stored.groupBy("cell", "block", "turn")).applyInArrow(search, result)
 
     def ranked(hits: DataFrame) -> DataFrame:
         first = Window.partitionBy("query_id").orderBy("score", "vec_id")

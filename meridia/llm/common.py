@@ -101,6 +101,23 @@ class Workspace:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable over the pairs (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node that an edge (a, b) touches; component is
     the smallest node reachable.

