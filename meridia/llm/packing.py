@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, slices
 from .tokens import word_tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -139,7 +139,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, do
 
     def run(batches):
         tok = word_tokenizer(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = [[], [], [], [], []]
             for d, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1))):
                 raw, n = ids.tobytes() + end, len(ids) + 1
@@ -194,7 +194,7 @@ def sequences(placed: DataFrame, docs: DataFrame, tokenizer: str, window: int =
     """(sequence_id, ids array<int>): the packed sequences themselves, unpadded. doc_id must be unique."""
     def run(batches):
         tok = word_tokenizer(tokenizer)
-        for b in batches:
+        for b in slices(batches, 1):
             starts, lengths = b.column(2).to_pylist(), b.column(3).to_pylist()
             ids = [np.append(x, np.uint32(end_id))[s : s + n].astype(np.int32) for x, s, n in zip(tok.encode(b.column(1)), starts, lengths)]
             yield pa.RecordBatch.from_arrays([b.column(4), b.column(5), pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "offset", "ids"])

@@ -2,7 +2,7 @@
 
 The tokenizer's words never cross white space and each is encoded by itself, so
 a column is lower-cased, cut into words and reduced to its distinct words in
-Arrow; only words that the bounded cache lacks go to the tokenizer, and the
+Arrow; only words that the small cache lacks go to the tokenizer, and the
 ids of all texts are then gathered in numpy. Texts with characters outside the
 ones below, for which case and word classes are plain, go to it whole, and so do
 texts that hold an added token (``<|endoftext|>``), which it takes for one id.
@@ -43,7 +43,7 @@ def distinct(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 60_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,8 +61,8 @@ class WordTokenizer:
         if len(self.words) + len(new) > self.limit:
             self.words = {"": b""}
             new = [w for w in words if w]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             raw, at = ids.tobytes(), 0
             for w, end in zip(part, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()):
