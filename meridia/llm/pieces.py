@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, slices
 from .tokens import distinct, gather
 
 MARK = "▁"
@@ -35,7 +36,7 @@ CODES = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
 class PieceEncoder:
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 60_000):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -100,7 +101,8 @@ class PieceEncoder:
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of one word; a character that the model lacks stands for itself."""
-        n, failed, out, at, left = len(text), 0, [], 0, ""
+        n, out, at, left = len(text), [], 0, ""
+        failed = bytearray(n // 8 + 1)  # a bit for each position
         found: list[list[str]] = [[] for _ in text]
         for end, p in self.automaton.iter(text):
             found[end - len(p) + 1].append(p)  # shorter ones come first
@@ -112,7 +114,8 @@ class PieceEncoder:
                 at, left = at + 1, ""
                 continue
             for p in reversed(options):
-                if failed >> (at + len(p)) & 1:
+                end = at + len(p)
+                if failed[end >> 3] >> (end & 7) & 1:
                     continue
                 fit = known.get((left, p))
                 if fit is None:
@@ -122,7 +125,7 @@ class PieceEncoder:
                     at, left = at + len(p), p
                     break
             else:  # nothing fits here behind this neighbour: mark the position, step back
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError(f"no piece sequence for {text!r}")
                 at -= len(out.pop())
@@ -187,7 +190,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches):
         enc = encoder(model)
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids = enc.encode(batch.column(1))
             n = pa.array([len(x) for x in ids], pa.int64())
             if digests:
@@ -197,5 +200,6 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                 cols, names = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([enc.decode(x) for x in ids], pa.string())], ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), n, *cols], names=["doc_id", "n_tokens", *names])
 
+    bounded(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else CODES
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
