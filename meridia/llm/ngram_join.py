@@ -23,9 +23,16 @@ linear in their size; if its documents are then in one component, it is done.
 The others are common passages: their signatures are put behind all others in
 the order, and the documents in them emit anew. A link that is still to be
 found has its first common signature in such a list, so both its documents are
-among those. Lists that are open after the last round give all their pairs
-across components. Components are exact, and no group's pairs are all written
-out.
+among those of the lists that are open after the last round.
+
+Those few documents are compared by single n-grams. One that stands in one
+component only cannot be part of a link that matters; of the others, the open
+ones, rare ones come first, and two documents that link share one among the
+first ``open - t * size + 1`` of both. Documents of the same open n-grams and
+size have the same links and are compared once. What hangs together by those
+n-grams is compared in blocks of bounded size: partial overlaps are counted in
+one fragment of the order after another and summed, and a block gives a spanning
+forest of its links. Components are exact, and no group's pairs are written out.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components
+from .common import Workspace, connected_components, forest, slices
 from .tokens import distinct
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -123,13 +130,19 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: int, direct: int):
-    """(pairs a, b; long lists sig, doc, size) among rows that share a signature."""
-    order = np.lexsort((doc, size, sig))
-    sig, doc, size = sig[order], doc[order], size[order]
+def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: int, direct: int, head: int | None = None):
+    """(pairs a, b; long lists sig, doc, size) among rows that share a signature.
+
+    Rows are in the order of signature, size and document. With ``head`` the
+    first rows go on with a long list: row 0 is its smallest document, row 1 the
+    last one that was seen, and ``head`` how many rows belong to it.
+    """
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
     count = np.diff(np.append(first, len(sig)))
-    small = (count > 1) & (count <= direct)
+    long = count > direct
+    if head:
+        long[0] = True
+    small = (count > 1) & ~long
     at = np.repeat(first, count)
     n = np.repeat(count, count)
     rows = np.arange(len(sig))
@@ -139,7 +152,7 @@ def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: in
         i = rows[within & (rows - at + step < n)]
         a.append(i)
         b.append(i + step)
-    large = np.repeat(count > direct, count)
+    large = np.repeat(long, count)
     i = rows[large]
     for other in (i - 1, at[i]):  # chain by size, star from the smallest
         a.append(i)
@@ -148,9 +161,31 @@ def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: in
     lo, hi = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
     fits = (lo != hi) & (np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num)
     both = np.unique(np.stack([lo[fits], hi[fits]], 1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
+    if head:
+        large[:2] = False  # they were listed before
     return both, (sig[large], doc[large], size[large])
 
 
+def paired(rows, num: int, den: int, direct: int):
+    """``_pairs`` of parts (sig, doc, size) of one sorted sequence. Of a list only its first rows are held, however long it is."""
+    held, head = [np.zeros(0, np.int64)] * 3, None
+    for part in rows:
+        sig, doc, size = (np.concatenate(x) for x in zip(held, part))
+        if head is not None:
+            head = int(np.searchsorted(sig, sig[0], side="right"))
+        first = int(np.searchsorted(sig, sig[-1]))
+        long = len(sig) - first > direct or (head is not None and first == 0)
+        if long:  # the last list goes on as its smallest and its last row
+            yield _pairs(sig, doc, size, num, den, direct, head)
+            held, head = [x[[first, -1]] for x in (sig, doc, size)], 2
+        else:
+            if first:
+                yield _pairs(sig[:first], doc[:first], size[:first], num, den, direct, head)
+            held, head = [x[first:] for x in (sig, doc, size)], None
+    if len(held[0]) and head is None:
+        yield _pairs(*held, num, den, direct)
+
+
 def near_duplicates(
     spark: SparkSession,
     docs: DataFrame,
@@ -158,68 +193,95 @@ def near_duplicates(
     percent: int = 80,
     doc_id: str = "doc_id",
     text: str = "text",
-    direct: int = 8,
-    rounds: int = 4,
-    send_ids: int = 1_000_000,
+    **options,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links).
 
     Rows link when ``100 * intersection >= percent * union``. Null and empty
     texts, and texts of white space, have no n-grams and link with nothing; so
     do rows with a null id. Repeated rows and copies are merged first and are
-    in one component; of an id with different texts one is compared. An empty
-    table gives no rows; other columns are ignored.
-
-    Where up to ``send_ids`` ids choose the texts that are read again, they are
-    broadcast (8 MB); more are joined by a shuffle.
+    in one component. An id with different texts is one document that links by
+    each of them: every text is compared. Texts of any length are compared
+    whole. An empty table gives no rows; other columns are ignored.
+
+    Options: ``direct``, ``rounds``; ``send_ids``, up to which ids that choose
+    the texts to be read again are broadcast (8 MB; more are joined by a
+    shuffle) and signatures are put late; ``hot``, the length from which a list
+    is connected by a join and not in one task. None of them changes results.
     """
     ws = Workspace(spark, "ngram")
-    num, den = percent, 100
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = src.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not named.where("n > 1").limit(1).count():
+        return _components(ws, src, n, percent, **options)
+    # each row by itself, then ids that share a component
+    each = ws.stage(src.withColumn("own", F.monotonically_increasing_id()), "each")
+    found = ws.stage(_components(ws, each.select(F.col("own").alias("doc_id"), "text"), n, percent, **options).toDF("own", "n_shingles", "star"), "found")
+    rows = ws.stage(each.select("doc_id", "own").join(found, "own"), "joined")
+    low = rows.where("doc_id is not null").groupBy("star").agg(F.min("doc_id").alias("low"))
+    same = connected_components(ws, rows.join(low, "star").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    out = rows.join(same.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _components(ws: Workspace, src: DataFrame, n: int, percent: int, direct: int = 8, rounds: int = 2, send_ids: int = 1_000_000, hot: int = 50_000) -> DataFrame:
+    """``near_duplicates`` of (doc_id, text), where no id that is not null is repeated."""
+    spark = ws.spark
+    num, den = percent, 100
     none = np.zeros(0, np.int64)
+    longs = pa.list_(pa.int64())
 
     def described(rows: DataFrame, late: np.ndarray) -> DataFrame:
         held = spark.sparkContext.broadcast(late)
 
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches, 1):
                 ids, sets = batch.column(0), shingles(batch.column(1), n)
-                keys = [int(mixed(s).sum().view(np.int64)) if len(s) else None for s in sets]
+                keys = [[int(mixed(s).sum().view(np.int64)) if len(s) else None for s in sets], [int(mixed(s ^ _MUL).sum().view(np.int64)) if len(s) else None for s in sets]]
                 sigs = [signatures(s, num, den, held.value) for s in sets]
-                longs = pa.list_(pa.int64())
-                cols = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, longs), pa.array([parities(s) for s in sets], longs)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_key", "sigs", "odd"])
+                cols = [ids, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.array(sigs, longs), pa.array([parities(s) for s in sets], longs)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "key_1", "key_2", "sigs", "odd"])
 
-        return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key long, sigs array<long>, odd array<long>")
+        return rows.mapInArrow(run, "doc_id long, n_shingles long, key_1 long, key_2 long, sigs array<long>, odd array<long>")
 
     def chosen(ids: DataFrame) -> DataFrame:
         """The texts of these ids."""
-        small = ids.count() <= send_ids
-        out = src.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-        return out.dropDuplicates(["doc_id"]) if repeats else out
+        return src.join(F.broadcast(ids) if ids.count() <= send_ids else ids, "doc_id", "left_semi")
+
+    fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
 
     def matched(reps: DataFrame) -> DataFrame:
         """Rows (a, b) of candidate pairs, and (a, null, sig, size) of long lists."""
 
         def run(batches):
-            got = [b for b in batches if b.num_rows]
-            if not got:
-                return
-            sig, doc, size = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("sig", "doc_id", "n_shingles"))
-            both, (ls, ld, lz) = _pairs(sig, doc, size, num, den, direct)
-            zero = np.zeros(len(both), np.int64)
             names = ["a", "b", "sig", "size"]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[:, 0], both[:, 1], zero, zero)], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array(ld), pa.nulls(len(ld), pa.int64()), pa.array(ls), pa.array(lz)], names=names)
-
-        posted = reps.select("doc_id", "n_shingles", F.explode("sigs").alias("sig")).repartition("sig")
-        return ws.stage(posted.mapInArrow(run, "a long, b long, sig long, size long"), "met")
+            parts = ([b.column(c).to_numpy() for c in ("sig", "doc_id", "n_shingles")] for b in batches if b.num_rows)
+            for both, (ls, ld, lz) in paired(parts, num, den, direct):
+                zero = np.zeros(len(both), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[:, 0], both[:, 1], zero, zero)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ld), pa.nulls(len(ld), pa.int64()), pa.array(ls), pa.array(lz)], names=names)
+
+        posted = reps.select("doc_id", "n_shingles", F.explode("sigs").alias("sig"))
+        # a sample says where long lists are; it decides where they are connected, not what is compared
+        busy = posted.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > hot / 64).select("sig")
+        busy = ws.stage(busy, "busy")
+        rest, connected = posted, None
+        if busy.limit(1).count():
+            rest, many = posted.join(busy, "sig", "left_anti"), posted.join(busy, "sig", "left_semi")
+            low = many.groupBy("sig").agg(F.min(F.struct("n_shingles", "doc_id")).alias("low"))
+            star = many.join(low, "sig").withColumn("other", F.col("low.doc_id"))
+            pairs = star.where((F.col("other") != F.col("doc_id")) & fits(F.col("n_shingles"), F.col("low.n_shingles")))
+            zero = F.lit(0).cast("long")
+            pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"), zero.alias("sig"), zero.alias("size"))
+            connected = pairs.unionByName(many.select(F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "sig", F.col("n_shingles").alias("size")))
+        lists = rest.repartition("sig").sortWithinPartitions("sig", "n_shingles", "doc_id").mapInArrow(run, "a long, b long, sig long, size long")
+        return ws.stage(lists.unionByName(connected) if connected is not None else lists, "met")
 
     def distinct_pairs(df: DataFrame) -> DataFrame:
         return df.groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b")
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             docs, frags, segs = [], [], []
             for d, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1), n)):
                 ends = np.searchsorted(s, np.array([1 << 62, 2 << 62, 3 << 62], np.uint64))
@@ -238,12 +300,10 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(got, pa.int64())], names=["a", "b", "common"])
 
     rows = ws.stage(described(src, none), "rows")
-    classes = rows.where("set_key is not null and doc_id is not null").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("key_1 is not null and doc_id is not null").groupBy("key_1", "key_2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = ws.stage(classes, "classes")
-    named = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeats = named.where("n > 1").limit(1).count() > 0
-    sketches = rows.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "odd")
-    sketches = ws.stage(sketches.dropDuplicates(["doc_id"]) if repeats else sketches, "sketches")
+    names = classes.select(F.col("rep").alias("doc_id"))
+    sketches = ws.stage(rows.join(names, "doc_id", "left_semi").select("doc_id", "n_shingles", "odd"), "sketches")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Pairs with their sizes that their sketches do not rule out."""
@@ -251,18 +311,18 @@ def near_duplicates(
         differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
         return both.where(differ * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b", "size_a", "size_b")
 
+    links_by = lambda common: common * (den + num) >= (F.col("size_a") + F.col("size_b")) * num
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link: overlaps of four fragments, counted separately and summed."""
-        pairs = ws.stage(plausible(pairs), "plausible")
         involved = ws.stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
         seg = ws.stage(chosen(involved).mapInArrow(cut, "doc long, frag int, seg binary"), "segments")
         each = pairs.select("a", "b").withColumn("frag", F.explode(F.array(*map(F.lit, range(4)))))
         side = lambda c: seg.select(F.col("doc").alias(c), "frag", F.col("seg").alias(f"seg_{c}"))
         parts = each.join(side("b"), ["b", "frag"]).join(side("a"), ["a", "frag"]).select("a", "b", "seg_a", "seg_b")
         sums = parts.mapInArrow(overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-        sums = sums.join(pairs, ["a", "b"])
-        links = ws.stage(sums.where(F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num).select("a", "b"), "links")
-        ws.drop(seg, involved, pairs)
+        links = ws.stage(sums.join(pairs, ["a", "b"]).where(links_by(F.col("common"))).select("a", "b"), "links")
+        ws.drop(seg, involved)
         return links
 
     def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -272,9 +332,83 @@ def near_duplicates(
         edges = links if comp is None else links.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return ws.stage(connected_components(ws, edges), "components")
 
-    names = classes.select(F.col("rep").alias("doc_id"))
+    def linked(comp: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """Components with the links among the pairs. First each document with one partner, which settles most; then only pairs whose ends are still apart."""
+        left = ws.stage(plausible(pairs), "plausible")
+        for turn in range(3):
+            if not left.limit(1).count():
+                return joined(comp, left.select("a", "b")) if comp is None else comp
+            first = left.groupBy("b", "size_b").agg(F.min(F.struct("a", "size_a")).alias("f")).select("f.a", "b", "f.size_a", "size_b")
+            part = left if turn == 2 else ws.stage(first, "first")
+            comp = joined(comp, verified(part))
+            if turn < 2:
+                at = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))  # noqa: E731, B023
+                apart = left.join(part.select("a", "b"), ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+                left = ws.stage(apart.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b", "size_a", "size_b"), "apart")
+        return comp
+
+    def listed(batches):
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingles(batch.column(1), n)], longs)], names=["node", "grams"])
+
+    def blocks(t: pa.Table) -> pa.Table:
+        """A spanning forest of the links among the rows of one or two blocks: overlaps are counted in fragments of the n-grams that rows share, and summed."""
+        rep, size = t.column("rep").to_numpy(), t.column("size").to_numpy()
+        lists = t.column("o").combine_chunks()
+        row = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
+        grams, at, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        rank = np.cumsum(times > 1) - 1
+        shared = times[at] > 1
+        row, col = row[shared], rank[at[shared]]
+        left, right = (np.flatnonzero(t.column("mine").to_numpy() == t.column(side)[0].as_py()) for side in "ij")
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for start in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
+            a, b = np.searchsorted(col, [start, start + 2048])
+            part = np.zeros((len(rep), 2048), np.float32)
+            part[row[a:b], col[a:b] - start] = 1
+            common += part[left] @ part[right].T
+        both = size[left][:, None] + size[right][None, :]
+        a, b = np.nonzero((common.astype(np.int64) * (den + num) >= both * num) & (rep[left][:, None] != rep[right][None, :]))
+        root = forest(len(rep), left[a], right[b])
+        on = root != np.arange(len(rep))
+        return pa.table([rep[root[on]], rep[on]], names=["a", "b"])
+
+    def across(nodes: DataFrame) -> DataFrame:
+        """Links that join the components of the nodes (node, size, component) further, by their open n-grams."""
+        sets = chosen(nodes.select(F.col("node").alias("doc_id"))).mapInArrow(listed, "node long, grams array<long>")
+        grams = ws.stage(sets.join(nodes, "node").select("node", "size", "component", F.explode("grams").alias("gram")), "grams")
+        open_grams = grams.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("gram", "df")
+        held = grams.join(open_grams, "gram").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+        held = held.withColumn("o", F.transform("o", lambda x: x["gram"])).where(F.size("o") * den >= F.col("size") * num)
+        held = ws.stage(held.select("node", "size", F.xxhash64("o").alias("h1"), F.hash("o").alias("h2"), "o"), "held")
+        ws.drop(grams)
+        kinds = held.groupBy("h1", "h2", "size").agg(F.min(F.struct("node", "o")).alias("first"))
+        kinds = ws.stage(kinds.select("h1", "h2", "size", F.col("first.node").alias("rep"), F.col("first.o").alias("o")), "kinds")
+        many = F.size("o")
+        first = many - F.ceil(F.col("size") * num / den).cast("int") + 1
+        # only kinds that hang together by n-grams of their prefixes can link; each such group is cut into size classes and blocks
+        posted = kinds.select("rep", F.explode(F.slice("o", F.lit(1), first)).alias("gram"))
+        low = posted.groupBy("gram").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("gram", "low")
+        group = connected_components(ws, posted.join(low, "gram").select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
+        step = float(np.log(den / num)) * 1.000001
+        of = kinds.select("rep", "size", "o").join(group, "rep").withColumn("own", F.floor(F.log("size") / step).cast("int"))
+        of = of.select("rep", "size", "o", "component", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("level"), "own")  # a partner is in the same class or the next
+        cells = of.groupBy("component", "level").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+        cells = cells.select("component", "level", F.greatest(F.ceil(F.col("n") / 512), F.ceil(F.col("s") / 400_000)).cast("int").alias("blocks"))
+        of = of.join(cells, ["component", "level"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tasks = of.select("component", "level", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "size", "o")
+        found = ws.stage(tasks.groupBy("component", "level", "i", "j").applyInArrow(blocks, "a long, b long"), "blocks")
+        # all of a kind link with what one of them links with, and with each other if they share enough
+        partner = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).withColumnRenamed("a", "rep")
+        member = held.join(kinds.select("h1", "h2", "size", "rep", F.size("o").alias("n")), ["h1", "h2", "size"])
+        own = member.where((F.col("node") != F.col("rep")) & (F.col("n") * (den + num) >= F.col("size") * 2 * num)).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        others = member.join(partner, "rep").select(F.col("node").alias("a"), "b")
+        return ws.stage(found.unionByName(own).unionByName(others), "across")
+
     reps = rows.join(names, "doc_id", "left_semi").select("doc_id", "n_shingles", "sigs")
-    reps = reps.dropDuplicates(["doc_id"]) if repeats else reps
     tested, late, comp = [], none, None
     for turn in range(rounds + 1):
         met = matched(reps)
@@ -282,36 +416,33 @@ def near_duplicates(
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         tested.append(ws.stage(pairs, "pairs"))
-        comp = joined(comp, verified(tested[-1]))
+        comp = linked(comp, tested[-1])
         lists = met.where("b is null").select("sig", "size", F.col("a").alias("node"))
         named = lists.join(comp, "node", "left").select("sig", "size", "node", F.coalesce("component", "node").alias("component"))
         open_sigs = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
         left = ws.stage(named.join(ws.stage(open_sigs, "open"), "sig", "left_semi"), "left")
+        ws.drop(met)
         fresh = left.select("sig").distinct()
         n_open = fresh.count()
         if not n_open:
             break
         if turn == rounds or len(late) + n_open > send_ids:
-            x, y = left.toDF("sig", "sx", "a", "cx"), left.toDF("sig", "sy", "b", "cy")
-            more = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")))
-            more = distinct_pairs(more.where(F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num))
-            for old in tested:
-                more = more.join(old, ["a", "b"], "left_anti")
-            comp = joined(comp, verified(ws.stage(more, "more")))
+            comp = joined(comp, across(ws.stage(left.select("node", "size", "component").distinct(), "last")))
             break
-        late = np.unique(np.concatenate([late, [r["sig"] for r in fresh.collect()]]).astype(np.int64))  # at most send_ids
+        late = np.unique(np.concatenate([late, fresh.toArrow().column("sig").to_numpy()]).astype(np.int64))  # at most send_ids
         touched = ws.stage(left.select(F.col("node").alias("doc_id")).distinct(), "touched")
-        reps = ws.stage(described(chosen(touched), late), "again")
-    known = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    out = rows.join(ws.stage(known, "known"), ["set_key", "n_shingles"], "left")
+        reps = ws.stage(described(chosen(touched), late).select("doc_id", "n_shingles", "sigs"), "again")
+    known = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key_1", "key_2", "n_shingles", F.coalesce("component", "rep").alias("c"))
+    out = rows.join(ws.stage(known, "known"), ["key_1", "key_2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is their component's smallest, rows with a null id, and one row of each repeated id."""
+    """The documents whose id is their component's smallest, rows with a null id, and of each repeated id the row that sorts first."""
     found = near_duplicates(spark, docs, doc_id=doc_id, **options)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     named = docs.join(kept, doc_id, "left_semi")
-    if found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        named = named.dropDuplicates([doc_id])
+    if docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rest = [c for c in docs.columns if c != doc_id]
+        named = named.groupBy(doc_id).agg(F.min(F.struct(*rest)).alias("first")).select(doc_id, "first.*").select(*docs.columns)
     return named.unionByName(docs.where(F.col(doc_id).isNull()))
