@@ -75,7 +75,7 @@ def near_duplicates(
     src = src.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))).withColumn("h2", F.hash("v", "label"))
     members = ws.stage(src, "members")
     classes = members.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    reps = ws.stage(classes.withColumn("rep", F.coalesce("low", F.xxhash64("h1", "h2"))), "classes")
+    reps = ws.stage(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # an id may have several vectors
     pivots = pivots or max(128, min(4096, reps.count() // 100))
     points = choose_pivots(sample(reps, "v", max(4096, 16 * pivots)), pivots)
     m, dim = min(nearest, len(points)), points.shape[1]
@@ -142,8 +142,10 @@ def near_duplicates(
     found = ws.stage(tasks.groupBy("label", "pivot", "i", "j").applyInArrow(compare, "rep long, links long, root long"), "links")
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(ws, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = reps.select("h1", "h2", "rep", "low", "copies").join(degree, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    known = ws.stage(known.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "low").alias("c")), "known")
+    comp = ws.stage(comp.withColumnRenamed("node", "rep").join(reps.select("rep", "low"), "rep"), "components")
+    lows = comp.groupBy("component").agg(F.min("low").alias("c"))
+    known = reps.select("h1", "h2", "rep", "low", "copies").join(degree, "rep", "left").join(comp.select("rep", "component"), "rep", "left").join(lows, "component", "left")
+    known = ws.stage(known.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.when(F.col("component").isNotNull(), F.col("c")).otherwise(F.col("low")).alias("c")), "known")
     out = members.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
