@@ -57,7 +57,8 @@ def nearest(
 
     Nearest first, ties to the smaller id. Null, zero or non-finite vectors,
     null ids and vectors of another dimension than most take no part; repeated
-    rows of one id are candidates each, but not for that id itself. The result
+    rows of one id are candidates each, but not for that id itself, and of a
+    query's rows the smallest vector asks. The result
     is exact: cells, probes, shortlist and codes only change what it costs. A
     query whose cells hold fewer than k candidates looks into all cells. An
     empty table gives no rows; other columns are ignored.
@@ -169,7 +170,7 @@ def nearest(
             look = [np.flatnonzero(o).astype(np.int32) for o in open_]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(look, pa.list_(pa.int32()))], names=["query_id", "q", "bound", "look"])
 
-    asked = asked.dropDuplicates(["query_id"])
+    asked = asked.groupBy("query_id").agg(F.min(F.struct("q", "bound", "look")).alias("first")).select("query_id", "first.*")
     near = ws.stage(ranked(run(asked)), "near").drop("rank")
     kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).alias("kth"))
     again = asked.join(kth, "query_id", "left").select("query_id", "q", F.coalesce("kth", "bound").alias("bound"), "look")
