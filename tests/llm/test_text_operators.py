@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -209,6 +210,66 @@ def test_disclosing_terms_of_whole_documents(spark):
     assert all(out[i].startswith("Onlycopy same for everyone") for i in range(205, 212))
 
 
+def plain_terms(texts, generalise_at=0.9, support=3):
+    """Disclosing words by loops: (entity, term) of different texts, by shares of the entity's information."""
+    texts = set(texts)
+    words = {t: set(re.findall(r"[^\W_]{4,}", t.lower())) for t in texts}
+    entities = collections.defaultdict(set)
+    for t in texts:
+        for e in re.findall(PATTERNS[0][1].replace("(", "(?:"), t):
+            entities[e.lower()].add(t)
+    out = set()
+    for e, held in entities.items():
+        if len(held) >= support:
+            for w in set().union(*(words[t] for t in held)):
+                both = sum(w in words[t] for t in held)
+                df = sum(w in ws for ws in words.values())
+                pmi, ic = math.log(both / len(held) / (df / len(texts))), math.log(len(texts) / len(held))
+                if both >= support and ic > 0 and pmi / ic >= generalise_at:
+                    out.add((e, w))
+    return out
+
+
+def test_disclosing_terms_equal_a_plain_count(spark):
+    rng = random.Random(23)
+    vocabulary = [f"word{c}" for c in "abcdefghijklmnopqrst"]
+    texts = []
+    for i in range(240):
+        who = i % 8
+        own = [f"project{who}", "Quill7"] if rng.random() < 0.9 else []
+        text = " ".join(rng.choices(vocabulary, k=12) + own)
+        texts.append(text + (f" mail p{who}@corp.example now" if who < 4 and i < 200 else ""))
+    df = docs(spark, texts)
+    want = plain_terms(texts)
+    assert want
+    for r in pii.find(spark, df).where("text is not null").collect():
+        mine = {w for e, w in want if e in r["text"]}
+        base = [(s["start"], s["end"]) for s in r["base"]]
+        spots = {(m.start(), m.end()) for w in mine for m in re.finditer(rf"(?i)(?<![^\W_]){w}(?![^\W_])", r["text"])}
+        assert {(s["start"], s["end"]) for s in r["terms"]} == {s for s in spots if not any(a < s[1] and s[0] < b for a, b in base)}
+
+
+def test_secrets(spark):
+    """A run that follows a cue is a secret wherever it stands; one that often stands elsewhere is not."""
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(6)]
+    texts = [f'text {i} token = "{k}"### and so on {k}' for i, k in enumerate(keys)]
+    texts += [f"commit {keys[5]} of day {i}" for i in range(20)] + [f"plain words number {i} of averyveryverylongwordwithoutdigits" for i in range(60)]
+    texts += ["API_KEY: Abcdefghij0123456789", "bearer Zyxwvutsrq-9876543210", "token of 20 words", "1234567890123456", None, ""]
+    got = {r["doc_id"]: r for r in pii.digests(pii.find(spark, docs(spark, texts))).collect()}
+    assert [got[i]["n_secret"] for i in range(6)] == [2] * 5 + [0] and all(got[i]["n_secret"] == 0 for i in range(6, 86))
+    assert [got[i]["n_secret"] for i in range(86, 92)] == [1, 1, 0, 0, 0, 0]
+    at = texts[0].index(keys[0])
+    assert got[0]["spans"].startswith(f"secret:{at}:{at + 40},") and got[0]["n_spans"] == 2
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, docs(spark, texts), ("doc_id", "text")).collect()}
+    assert out[0] == 'text 0 token = "[SECRET]"### and so on [SECRET]' and out[6] == texts[6] and out[90] is None
+
+
+def test_many_spans_in_one_text(spark):
+    text = "x " + " ".join(f"a{i}@b.co" for i in range(10_000))
+    out = pii.sanitise(spark, docs(spark, [text]), ("doc_id", "text")).first()["text"]
+    assert out == "x " + " ".join(["[EMAIL]"] * 10_000)
+
+
 def test_sanitised_text(spark):
     df = docs(spark, ["call +1 (499) 555-6503 or a@b.co é 1.2.3.4", None, "", "clean"])
     got = [r["text"] for r in pii.sanitise(spark, df, ("doc_id", "text")).orderBy("doc_id").collect()]
@@ -241,8 +302,8 @@ def plain_components(sets, percent):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
-def test_ngram_components(spark, n, percent):
+@pytest.mark.parametrize("n,percent,options", [(4, 85, {}), (5, 80, {"rounds": 0, "direct": 2}), (4, 85, {"hot": 4, "direct": 3}), (4, 60, {"rounds": 0, "direct": 2})])
+def test_ngram_components(spark, n, percent, options):
     rng = random.Random(13)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = [rng.choice(vocabulary) for _ in range(40)]
@@ -256,7 +317,7 @@ def test_ngram_components(spark, n, percent):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
     texts += [" ".join([rng.choice(vocabulary) for _ in range(10)] + passage + [rng.choice(vocabulary) for _ in range(rng.randint(0, 12))]) for _ in range(60)]
     sets = [plain_shingles(t or "", n) for t in texts]
-    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(spark, docs(spark, texts), n, percent).collect()}
+    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(spark, docs(spark, texts), n, percent, **options).collect()}
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
     assert [got[i]["component_id"] for i in range(len(texts))] == plain_components(sets, percent)
 
@@ -268,3 +329,42 @@ def test_ngram_edges(spark):
     assert len(got) == 5 and {r["component_id"] for r in got} == {0, None}
     assert ngram_join.keep_first(spark, twice).count() == 2
     assert ngram_join.near_duplicates(spark, df.limit(0)).count() == 0
+
+
+def test_ngram_ids_with_several_texts(spark):
+    """Every text of an id is compared, whatever the order of the rows."""
+    rng = random.Random(17)
+    a, b = ([rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99)) for _ in range(60)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "alone " + " ".join(map(str, range(50)))), (None, " ".join(a)), (5, None), (5, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").withColumn("own", F.lit(1))
+        got = collections.Counter((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(spark, df).collect())
+        assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 4): 1, (None, None): 1, (5, 5): 2}
+        kept = ngram_join.keep_first(spark, df).collect()
+        assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 4, 5]
+
+
+def test_long_lists_are_read_in_parts():
+    """Pairs and lists do not depend on where a sorted sequence is cut; of a list its star and its chain are there."""
+    rng = random.Random(18)
+    rows = sorted((rng.choice([1, 2, 2, 2, 3, rng.randint(4, 40)]), rng.randint(90, 110), d) for d in range(300))
+    sig, size, doc = (np.array(x, np.int64) for x in zip(*rows))
+
+    def run(step):
+        pairs, lists = set(), []
+        for both, (ls, ld, lz) in ngram_join.paired(([x[i : i + step] for x in (sig, doc, size)] for i in range(0, 300, step)), 50, 100, 4):
+            pairs |= set(map(tuple, both.tolist()))
+            lists += list(zip(ls.tolist(), ld.tolist(), lz.tolist()))
+        return pairs, sorted(lists)
+
+    whole = run(300)
+    assert all(run(step) == whole for step in (1, 2, 3, 7, 50, 299))
+    by = collections.defaultdict(list)
+    for s, _, d in rows:
+        by[s].append(d)
+    for s, ds in by.items():
+        near = range(1, len(ds)) if len(ds) <= 4 else (1,)
+        assert all((min(x, y), max(x, y)) in whole[0] for k in near for x, y in zip(ds, ds[k:]))
+        assert len(ds) <= 4 or all((min(ds[0], x), max(ds[0], x)) in whole[0] for x in ds[1:])
+    assert whole[1] == sorted((s, d, z) for s, z, d in rows if len(by[s]) > 4)

@@ -1,7 +1,9 @@
 """Vector operators, sharding and classifiers against plain versions."""
 
 import collections
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -154,6 +156,97 @@ def test_toxicity(spark):
     assert toxicity.score(docs, nothing).where("predicted = 1").count() == 0
 
 
+def plain_ratios(docs, labels, z=3.0):
+    """The class-conditional model by loops: continuation counts over different texts, discounts, shared backoff."""
+    texts = {y: {docs[i] or "" for i, v in labels if v == y and i in docs} for y in (0, 1)}
+    n = {y: len(t) for y, t in texts.items()}
+
+    def expressions(text):
+        w = re.findall(r"[^\W\d_]+", text.lower())
+        return set(w) | {x[:k] + "*" for x in w for k in (4, 5, 6) if len(x) > k} | {" ".join(p) for p in zip(w, w[1:])}
+
+    count = {y: collections.Counter(g for t in texts[y] for g in expressions(t)) for y in (0, 1)}
+    share = collections.Counter(g for t in docs.values() for g in expressions(t or ""))
+    out = {}
+    for g in count[0].keys() | count[1].keys():
+        p, kept = {}, 0
+        for y in (0, 1):
+            e = n[y] * share[g] / len(docs)
+            left = max(0.0, count[y][g] - min(count[y][g], e + z * math.sqrt(e + 1)))
+            p[y], kept = (left + e) / n[y], kept + left
+        if kept:
+            out[g] = math.log(p[1] / p[0])
+    return out
+
+
+def plain_ratio(ratios, text):
+    w = re.findall(r"[^\W\d_]+", (text or "").lower())
+    total = 0.0
+    for v, x in zip([None, *w], w):
+        total += next((ratios[g] for g in (f"{v} {x}", x, *(x[:k] + "*" for k in (6, 5, 4) if len(x) > k)) if g in ratios), 0.0)
+    return total / len(w) if w else 0.0
+
+
+def test_toxicity_equals_a_plain_model(spark):
+    rows = corpus(random.Random(12), 500)
+    rows += [(600 + i, "so very vilefoo indeed " * 3 + f"word{i}", 1) for i in range(12)] + [(700 + i, rows[i][1], rows[i][2]) for i in range(30)]
+    texts = dict((i, t) for i, t, _ in rows) | {9000: None, 9001: "", 9002: "x " * 20_000}
+    labels = [(i, y) for i, _, y in rows if i % 3] + [(9000, 0)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("toxic", F.lit(5)).withColumn("score", F.lit("s"))
+    model = toxicity.train(spark, docs, spark.createDataFrame([(*r, 1) for r in labels], "doc_id long, toxic int, text int"))
+    want = plain_ratios(texts, labels)
+    assert model.ratios.keys() == want.keys() and any(" " in g for g in want) and any(g.endswith("*") for g in want)
+    assert all(abs(model.ratios[g] - r) < 1e-9 for g, r in want.items())
+    for r in toxicity.score(docs, model, keep=("doc_id", "score")).collect():
+        z = model.weight * plain_ratio(want, texts[r["doc_id"]]) + model.constant
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_ordinal_gradient():
+    """The gradient against differences, with words, shapes and shares, on four grades."""
+    rng = np.random.default_rng(3)
+    texts = ["alpha Beta 12 ***", "GAMMA gamma", "", "alpha alpha, 3", "delta\n\ndelta && x", "Beta beta beta 7"]
+    rows, y = [quality.features(t) for t in texts], np.array([0, 1, 2, 3, 1, 2])
+    m = quality.Ordinal([0, 1, 2, 3])
+    m.w, m.first, m.gaps = rng.normal(size=quality.SIZE) * 0.1, -0.3, np.array([0.2, -0.4])
+    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    col, val = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+    ridge = np.full(quality.SIZE, 1e-3)
+    loss = lambda: m.gradient(at, col, val, y, len(rows), ridge)[0]
+    dw, dfirst, dgaps = m.gradient(at, col, val, y, len(rows), ridge)[1]
+    eps = 1e-6
+    words = [c for c in set(col.tolist()) if quality.SHAPES <= c < quality.SHAPES + quality.WORDS]
+    assert len(words) >= 4  # words have weights of their own
+    for c in [*words, int(col[0]), quality.SIZE - 1]:
+        m.w[c] += eps
+        up = loss()
+        m.w[c] -= 2 * eps
+        assert abs((up - loss()) / (2 * eps) - dw[c]) < 1e-6
+        m.w[c] += eps
+    m.first += eps
+    up = loss()
+    m.first -= 2 * eps
+    assert abs((up - loss()) / (2 * eps) - dfirst[0]) < 1e-6
+    m.first += eps
+    for k in range(2):
+        m.gaps[k] += eps
+        up = loss()
+        m.gaps[k] -= 2 * eps
+        assert abs((up - loss()) / (2 * eps) - dgaps[k]) < 1e-6
+        m.gaps[k] += eps
+
+
+def test_quality_by_words_alone(spark):
+    """Grades that depend on words and not on shapes, with clashing columns and repeated rows."""
+    rng = random.Random(22)
+    vocabulary = {0: ["mellow", "hollow", "shallow"], 1: ["fellow", "billow", "swallow"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 2]) for _ in range(30)), i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]], "doc_id long, text string").withColumn("grade", F.lit(9)).withColumn("selected", F.lit("s"))
+    model = quality.train(spark, docs, spark.createDataFrame([(i, g, "t") for i, _, g in rows if i % 5], "doc_id long, grade int, text string"))
+    got = quality.score(docs, model, keep=("doc_id", "selected")).collect()
+    assert len(got) == 401 and sum(r["selected"] == (r["doc_id"] % 2 == 1) for r in got) > 390
+
+
 def test_ordinal_grades(spark):
     rng = random.Random(10)
     rows = []
