@@ -332,21 +332,6 @@ def _components(ws: Workspace, src: DataFrame, n: int, percent: int, direct: int
         edges = links if comp is None else links.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return ws.stage(connected_components(ws, edges), "components")
 
-    def linked(comp: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        """Components with the links among the pairs. First each document with one partner, which settles most; then only pairs whose ends are still apart."""
-        left = ws.stage(plausible(pairs), "plausible")
-        for turn in range(3):
-            if not left.limit(1).count():
-                return joined(comp, left.select("a", "b")) if comp is None else comp
-            first = left.groupBy("b", "size_b").agg(F.min(F.struct("a", "size_a")).alias("f")).select("f.a", "b", "f.size_a", "size_b")
-            part = left if turn == 2 else ws.stage(first, "first")
-            comp = joined(comp, verified(part))
-            if turn < 2:
-                at = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))  # noqa: E731, B023
-                apart = left.join(part.select("a", "b"), ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-                left = ws.stage(apart.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b", "size_a", "size_b"), "apart")
-        return comp
-
     def listed(batches):
         for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingles(batch.column(1), n)], longs)], names=["node", "grams"])
@@ -416,7 +401,7 @@ def _components(ws: Workspace, src: DataFrame, n: int, percent: int, direct: int
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         tested.append(ws.stage(pairs, "pairs"))
-        comp = linked(comp, tested[-1])
+        comp = joined(comp, verified(ws.stage(plausible(tested[-1]), "plausible")))
         lists = met.where("b is null").select("sig", "size", F.col("a").alias("node"))
         named = lists.join(comp, "node", "left").select("sig", "size", "node", F.coalesce("component", "node").alias("component"))
         open_sigs = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
