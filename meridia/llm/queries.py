@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, neardup, ngram_join, packing, pieces, pii, quality, sharding, toxicity
+from . import ann, chat, conversation_repair, neardup, ngram_join, packing, pieces, pii, quality, secret_scan, sharding, sql, toxicity, vector_codes
 from .common import table
 
 
@@ -69,8 +69,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.digests(conversation_repair.repair(spark, conversation_repair.damaged(rows))).withColumnRenamed("conv_id", "_conv")
+    ids = rows.select("conv_id").distinct()
+    both = ids.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return both.select("conv_id", *[F.coalesce(F.col(c), empty.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "_conv"])
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(spark, table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark, table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict:
     own = [op1_chat_format, op2_packing, op3_pii, op4_near_duplicates, op5_ngram_join, op6_pieces, op7_toxicity, op8_nearest, op9_sharding, op10_quality]
+    own += [op11_conversation_repair, op12_secret_scan, op13_vector_codes]
     return {f.__name__: f for f in own}
 
 
@@ -107,4 +125,5 @@ SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT no
 
 def oracle_sql() -> dict[str, str]:
     """SQL by brute force, for the operators whose rows SQL can give."""
-    return {"op1_chat_format": CHAT, "op4_near_duplicates": NEAR, "op5_ngram_join": NGRAMS}
+    brute = {"op1_chat_format": CHAT, "op4_near_duplicates": NEAR, "op5_ngram_join": NGRAMS}
+    return brute | {"op11_conversation_repair": sql.REPAIR, "op12_secret_scan": sql.SECRETS, "op13_vector_codes": sql.CODES}

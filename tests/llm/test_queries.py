@@ -18,6 +18,9 @@ COLUMNS = {
     "op8": ["query_id", "rank", "vec_id", "score"],
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10": ["doc_id", "expected_grade", "tail_probability", "selected", "held_out"],
+    "op11": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op12": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op13": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
 
 
