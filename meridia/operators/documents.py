@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import parsed_chunk_id
 from ..functions.text import normalize_space, printed_page, strip
 
 # fixed values: numbered headings, lines of a table of contents, page numbers that stand alone
@@ -36,14 +35,6 @@ def parsed_pages(pages: DataFrame, blocks: DataFrame, key: str = "doc_id") -> Da
     return pages.join(fine, key).where("_ok").drop("_ok").join(boxed, [key, "page_number"], "left").withColumn("blocks", F.coalesce("blocks", empty))
 
 
-def chunk_boxes(chunks: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks with the box around the blocks of their page that they overlap; blocks have start_char and end_char in the page's text."""
-    held = blocks.select(key, "page_number", F.col("start_char").alias("_s"), F.col("end_char").alias("_e"), "x0", "y0", "x1", "y1")
-    met = chunks.select(key, "page_number", "chunk_id", "start_char", "end_char").join(held, [key, "page_number"]).where("_s < end_char and start_char < _e")
-    around = met.groupBy("chunk_id").agg(F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).alias("box"))
-    return chunks.join(around, "chunk_id", "left")
-
-
 def page_assets(pages: DataFrame, assets: DataFrame, key: str = "source_revision_id") -> DataFrame:
     """Pages with the ids of their assets, in order; none is an empty list."""
     named = assets.where("page_number is not null").groupBy(key, "page_number").agg(F.array_sort(F.collect_set("asset_id")).alias("asset_ids"))
@@ -72,28 +63,6 @@ def page_text(pages: Column) -> Column:
     return F.array_join(F.transform(pages, lambda p: p["text"]), "\n\n")
 
 
-def chunks(pages: DataFrame, size: int = 512, overlap: int = 64, key: str = "doc_id") -> DataFrame:
-    """(key, page_number, position, text, start_char, end_char, chunk_id): windows of ``size`` words, of which ``overlap`` are repeated.
-
-    Windows never leave their page; blank pages give none; every chunk is a
-    slice of its page. Words are runs without blanks, with the blanks after
-    them, so that the slices are exact.
-    """
-    if size < 1 or not 0 <= overlap < size:
-        raise ValueError("overlap must be at least 0 and less than size")
-    words = F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0))
-    lead = F.length(F.regexp_extract("text", r"^(\s*)", 1))
-    rows = pages.where(F.col("text").rlike(r"\S")).select(key, "page_number", "text", words.alias("w"), lead.alias("lead"))
-    step = size - overlap
-    last = F.greatest(F.ceil((F.size("w") - overlap) / F.lit(step)).cast("int"), F.lit(1))
-    rows = rows.select("*", F.posexplode(F.sequence(F.lit(0), (last - 1) * step, F.lit(step))).alias("position", "first"))
-    before = F.col("lead") + F.length(F.array_join(F.slice("w", F.lit(1), F.col("first")), ""))
-    body = F.array_join(F.slice("w", F.col("first") + 1, F.lit(size)), "")
-    rows = rows.select(key, "page_number", "position", F.regexp_replace(body, r"\s+\z", "").alias("text"), before.alias("start_char"))
-    rows = rows.withColumn("end_char", F.col("start_char") + F.length("text"))
-    return rows.withColumn("chunk_id", parsed_chunk_id(F.col(key).cast("string"), F.col("page_number"), F.col("start_char"), F.col("end_char"), F.col("text")))
-
-
 def body_font(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, body_size): exact median size of blocks of 20 characters or more."""
     return blocks.where((F.length(strip(F.col("text"))) >= 20) & F.col("font_size").isNotNull()).groupBy(key).agg(F.median("font_size").alias("body_size"))

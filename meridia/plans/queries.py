@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, text, time
 from ..operators import batch, documents, integrity, news, ranking, search, trees, usage
+from ..operators import chunking as sentence_chunks
 from ..sources.html import html_text
 from . import collection, store, values  # noqa: F401 (they register their queries)
 from .registry import ORACLES, QUERIES, registered, t  # noqa: F401
@@ -242,10 +243,13 @@ def citation_coverage(spark, sf_dir):
     return documents.covered(documents.distinct_citations(q, "start_at"), 2, 2)
 
 
-@registered()
+_PAGES = "SELECT doc_id, n + 1 AS page_number, substr(text, n * 2000 + 1, 2000) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil(length(text) / 2000.0), 1)::BIGINT)) AS n FROM documents)"
+
+
+@registered(sentence_chunks.chunk_sql(64, 8, _PAGES))
 def chunking(spark, sf_dir):
     pages = documents.pages_of(t(spark, sf_dir, "documents"))
-    return documents.chunks(pages, 64, 8).select("doc_id", "page_number", "position", "start_char", "end_char", "chunk_id")
+    return sentence_chunks.chunks(pages, 64, 8).select("doc_id", "page_number", "position", "start_char", "end_char", "chunk_id")
 
 
 @registered("""

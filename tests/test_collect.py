@@ -5,7 +5,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from meridia.operators import collect, documents, usage
+from meridia.operators import chunking, collect, documents, usage
 from meridia.sources.http import FetchPolicy
 
 FAST = FetchPolicy(attempts=2, base_delay=0, jitter=0, spacing=0)
@@ -78,9 +78,8 @@ def test_parsed_pages_and_boxes(spark):
     assert [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in got[1]] == [(1.0, 2.0, 4.0, 6.0), (10.0, 2.0, 15.0, 8.0)] and got[2] == []
     with pytest.raises(Exception, match="contiguous"):
         documents.parsed_pages(pages.where("page_number = 2"), blocks).collect()
-    flat = spark.createDataFrame([("d", 1, 0, 3, 1.0, 2.0, 4.0, 6.0), ("d", 1, 4, 7, 10.0, 2.0, 15.0, 8.0)], "doc_id string, page_number int, start_char int, end_char int, x0 double, y0 double, x1 double, y1 double")
-    box = documents.chunk_boxes(documents.chunks(pages, 8, 0), flat).first()["box"]
-    assert (box["x0"], box["y0"], box["x1"], box["y1"]) == (1.0, 2.0, 15.0, 8.0)
+    box = chunking.chunks(documents.parsed_pages(pages, blocks), 1, 0).orderBy("position").collect()
+    assert [r["text"] for r in box] == ["one", "two"] and all([b["x1"] for b in r["block_boxes"]] == [4.0, 15.0] for r in box)
 
 
 def test_spans(spark):

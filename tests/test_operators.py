@@ -96,15 +96,6 @@ def test_observations(spark):
     assert [(r["payload_id"], r["error"]) for r in got] == [("123", None), (None, "no link"), (None, "no title")]
 
 
-def test_chunks_are_slices(spark):
-    pages = spark.createDataFrame([("d", 1, "  one two  three four five "), ("d", 2, "   "), ("e", 1, "x")], "doc_id string, page_number int, text string")
-    got = documents.chunks(pages, 3, 1).orderBy("doc_id", "position").collect()
-    assert [r["text"] for r in got] == ["one two  three", "three four five", "x"]
-    assert all(r["end_char"] - r["start_char"] == len(r["text"]) for r in got) and got[1]["start_char"] == 11
-    with pytest.raises(ValueError):
-        documents.chunks(pages, 3, 3)
-
-
 def test_outline(spark):
     rows = [("d", p, 1000.0, y, i, t, s) for p in (1, 2, 3) for i, (y, t, s) in enumerate([(10.0, "Journal of X", 9.0), (300.0, f"{p}. Part {p} begins", 14.0), (400.0, "body text that is long enough to count", 10.0), (940.0, f"- {p + 9} -", 9.0), (950.0, f" {p + 4} ", 9.0)])]
     blocks = spark.createDataFrame(rows, "doc_id string, page_number int, page_height double, y0 double, position int, text string, font_size double")
