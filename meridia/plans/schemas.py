@@ -49,7 +49,7 @@ STORE = {
         " tree_id string, embedding_model string, dimension int, projection_hash string, source_content_hash string, knowledge_schema_version string, projection_schema_version string,"
         " item_canonical_hash string, embedding array<float>"
     ),
-    "sources": ddl("source_revision_id string, content_hash string, kind string, uri string, as_of timestamp, available_at timestamp, published_at timestamp, arxiv_id string, title string, authors array<string>"),
+    "sources": ddl("source_revision_id string, content_hash string, kind string, uri string, as_of timestamp, available_at timestamp, published_at timestamp, arxiv_id string, title string, authors array<string>, payload_json string, canonical_hash string, asset_count int"),
     "assets": ddl("asset_id string, source_revision_id string, kind string, page_number int, media_type string, content_hash string, size_bytes bigint, blob binary"),
     "artifacts": ddl("artifact_id string, source_revision_id string, artifact_kind string, schema_version string, producer_config_hash string, payload_json string, canonical_hash string, member_count int, target_count int"),
     "members": ddl("artifact_id string, member_id string, parent_id string, position int, payload_json string, content_hash string"),

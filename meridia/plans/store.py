@@ -87,10 +87,11 @@ def _paper(spark, sf_dir) -> dict[str, DataFrame]:
     per = d.groupBy("source").agg(F.count("*").cast("int").alias("n"))
     cited = F.array(F.struct(F.col("n").alias("page_number"), F.col("source").alias("quote")))
     art = lambda p, kind, body, n, k: per.select(named(p).alias("artifact_id"), F.col("source").alias("source_revision_id"), F.lit(kind).alias("artifact_kind"), body.alias("payload_json"), n.alias("member_count"), k.alias("target_count"))
-    summary = F.to_json(F.struct(F.concat(F.lit("about "), F.col("n").cast("string")).alias("summary"), cited.alias("citations")))
+    summary = F.to_json(F.struct(F.concat(F.lit("about "), F.col("n").cast("string")).alias("summary"), cited.alias("citations"), F.array(F.struct(named("set-").alias("artifact_id"))).alias("derived_from")))
+    lineage = per.select(named("sum-").alias("artifact_id"), named("set-").alias("input_artifact_id"), F.lit("generated_from").alias("relation"))
     artifacts = art("set-", "paper_chunk_set", F.lit("{}"), F.col("n"), F.col("n")).unionByName(art("sum-", "paper_summary", summary, F.lit(0), F.lit(1)))
     sources = per.select(F.col("source").alias("source_revision_id"), F.lit("http").alias("kind"), F.timestamp_seconds(F.lit(1704067200) + F.col("n")).alias("as_of"))
-    return {"artifacts": artifacts, "members": members, "sources": sources}
+    return {"artifacts": artifacts, "members": members, "lineage": lineage, "sources": sources}
 
 
 @registered("""
@@ -141,7 +142,7 @@ SELECT target_id, artifact_kind, source AS cited, page, char_offset, sha256(quot
 def paper_hits(spark, sf_dir):
     """Summaries and chunks as hits: a chunk cites its spans and its first 500 characters."""
     lib, p = _library(spark, "papers"), _paper(spark, sf_dir)
-    lib.put_artifacts(p["artifacts"], p["members"], lib.table("lineage"), None, p["sources"])
+    lib.put_artifacts(p["artifacts"], p["members"], p["lineage"], None, p["sources"])
     c = F.col("citations")[0]
     return lib.search(SemanticQuery("five5", top_k=30)).select("target_id", "locator.artifact_kind", c["source_id"].alias("cited"), c["page"].alias("page"), c["char_offset"].alias("char_offset"), F.sha2(c["quote"], 256).alias("quote_hash"))
 
@@ -229,7 +230,7 @@ def artifact_violations(spark, sf_dir):
 def locators(spark, sf_dir):
     """Locators of summaries and of chunks, resolved to what they name."""
     lib, p = _library(spark, "locators"), _paper(spark, sf_dir)
-    lib.put_artifacts(p["artifacts"], p["members"], lib.table("lineage"), None, p["sources"])
+    lib.put_artifacts(p["artifacts"], p["members"], p["lineage"], None, p["sources"])
     base = lib.table("artifacts").select("source_revision_id", "artifact_kind", "artifact_id")
     whole = base.where("artifact_kind = 'paper_summary'").withColumn("member_id", F.lit(None).cast("string"))
     part = base.join(lib.table("members").where("member_id % 100 = 1").select("artifact_id", "member_id"), "artifact_id").select(*whole.columns)

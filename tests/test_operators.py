@@ -217,9 +217,8 @@ def test_library(spark, tmp_path):
         lib.delete("b")
         with pytest.raises(KeyError):
             lib.delete("b")
-        lib.put(items)  # loses its record
         with pytest.raises(integrity.StaleStoreError, match="target count"):
-            lib.check()
+            lib.put(items)  # would lose its record
         assert KnowledgeLibrary.open(spark, lib.root).version == lib.version
     with pytest.raises(RuntimeError):
         lib.table("items")
@@ -228,13 +227,14 @@ def test_library(spark, tmp_path):
 def test_artifacts(spark, tmp_path):
     lib = KnowledgeLibrary.open(spark, f"file://{tmp_path}/lib")
     row = lambda t, **k: spark.createDataFrame([tuple(k.get(f.name) for f in STORE[t])], STORE[t])
-    art = lambda k: row("artifacts", artifact_id=k, source_revision_id="s", artifact_kind=k, payload_json="{}", member_count=1, target_count=0)
-    for kind in ("paper_chunk_set", "paper_summary"):
-        lib.put_artifacts(art(kind), row("members", artifact_id=kind, member_id="m", payload_json="[1]"), lib.table("lineage"), lib.table("projections"), row("sources", source_revision_id="s"))
+    art = lambda k, body, n: row("artifacts", artifact_id=k, source_revision_id="s", artifact_kind=k, payload_json=body, target_count=n)
+    none = {n: spark.createDataFrame([], STORE[n]) for n in ("members", "lineage")}
+    lib.put_artifacts(art("paper_chunk_set", "{}", 1), row("members", artifact_id="paper_chunk_set", member_id="m", payload_json='{"text":"x"}'), none["lineage"], None, row("sources", source_revision_id="s"))
+    lib.put_artifacts(art("paper_summary", '{"summary":"y","derived_from":[{"artifact_id":"paper_chunk_set"}]}', 1), none["members"], row("lineage", artifact_id="paper_summary", input_artifact_id="paper_chunk_set", relation="generated_from"))
     lib.check()
     assert lib.paper("s").count() == 2 and lib.table("sources").count() == 1
-    loc = spark.createDataFrame([("s", "paper_summary", "paper_summary", "m")], "source_revision_id string, artifact_kind string, artifact_id string, member_id string")
-    assert lib.resolve(loc).first()["payload_json"] == "[1]"
+    loc = spark.createDataFrame([("s", "paper_chunk_set", "paper_chunk_set", "m")], "source_revision_id string, artifact_kind string, artifact_id string, member_id string")
+    assert lib.resolve(loc).first()["payload_json"] == '{"text":"x"}'
     with pytest.raises(KeyError):
         lib.resolve(loc.withColumn("member_id", F.lit("zz")))
 
