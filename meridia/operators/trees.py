@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ancestry import climb, gathered
+
 NODE = ("tree_id", "node_id", "parent_id", "position")
 
 
-def walk(spark: SparkSession, nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def walk(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """Pre-order: the node columns, depth, path (ids from the root) and order (positions from the root; sort by it).
 
-    Levels are joined one after another and only as many as there are. A node
-    that cannot be reached from a root is left out.
+    Paths double in each round (``ancestry``), so a chain of n nodes takes
+    log2(n) rounds, whatever its depth. A node that cannot be reached from a root is left
+    out; rows that share an id have a row each.
     """
     base = nodes.select(*NODE)
-    level = base.where("parent_id is null").select("*", F.lit(0).alias("depth"), F.array("node_id").alias("path"), F.array("position").alias("order"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        up = level.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"), F.col("order").alias("up_order"))
-        level = base.join(up, ["tree_id", "parent_id"]).where(~F.array_contains("up_path", F.col("node_id")))
-        level = level.select(*NODE, F.lit(depth).alias("depth"), F.concat("up_path", F.array("node_id")).alias("path"), F.concat("up_order", F.array("position")).alias("order"))
-        if level.limit(1).count() == 0:
-            break
-        out = out.unionByName(level)
-    return out
+    above = gathered(base.select("tree_id", "node_id", "parent_id", F.col("node_id").alias("path"), F.col("position").alias("order")), "tree_id", "node_id", "parent_id", ["path", "order"])
+    up = above.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"), F.col("order").alias("up_order"))
+    roots = base.where("parent_id is null").select(*NODE, F.lit(0).alias("depth"), F.array("node_id").alias("path"), F.array("position").alias("order"))
+    rest = base.join(up, ["tree_id", "parent_id"])
+    rest = rest.select(*NODE, F.size("up_path").alias("depth"), F.concat("up_path", F.array("node_id")).alias("path"), F.concat("up_order", F.array("position")).alias("order"))
+    return roots.unionByName(rest)
 
 
 def walk_sql(spark: SparkSession, nodes: DataFrame) -> DataFrame:
@@ -61,10 +60,12 @@ def leaf_text(walked: DataFrame, contents: DataFrame) -> DataFrame:
     return grouped.select("tree_id", "node_id", F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("text"))
 
 
-def violations(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def violations(nodes: DataFrame, pages: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """(tree_id, rule, node_id) of every broken rule; nodes may have children_ids and pages (arrays).
 
-    pages: (tree_id, page) of the sources, to check citations against.
+    pages: (tree_id, page) of the sources, to check citations against;
+    declared: (tree_id, root_id) of the trees that there are, each of which must
+    have nodes, and that node as its root. A circle is not reachable.
     """
     n = nodes.select(*NODE, *[c for c in ("children_ids", "pages") if c in nodes.columns])
 
@@ -76,7 +77,7 @@ def violations(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     places = n.groupBy("tree_id", "parent_id", "position").agg(F.count("*").alias("k"), F.min("node_id").alias("node_id")).where("k > 1")
     ids = n.select("tree_id", F.col("node_id").alias("parent_id"))
     orphans = n.where("parent_id is not null").join(ids, ["tree_id", "parent_id"], "left_anti")
-    reached = walk(n.sparkSession, n).select("tree_id", "node_id")
+    reached = climb(n, "tree_id", "node_id", "parent_id", F.col("parent_id").isNull()).select("tree_id", "node_id")
     lost = n.join(reached, ["tree_id", "node_id"], "left_anti")
     parts = [
         broken(roots.withColumn("node_id", F.lit(None).cast("string")), "one root"),
@@ -85,6 +86,11 @@ def violations(nodes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
         broken(orphans, "known parent"),
         broken(lost, "reachable"),
     ]
+    if declared is not None:
+        own = n.select("tree_id").distinct()
+        tops = n.where("parent_id is null").select("tree_id", F.col("node_id").alias("root_id"))
+        parts.append(broken(declared.join(own, "tree_id", "left_anti"), "no nodes", "root_id"))
+        parts.append(broken(declared.join(own, "tree_id", "left_semi").join(tops, ["tree_id", "root_id"], "left_anti"), "declared root", "root_id"))
     if "children_ids" in n.columns:
         links = n.select("tree_id", F.col("node_id").alias("parent_id"), F.explode("children_ids").alias("node_id"))
         up = n.where("parent_id is not null").select("tree_id", "parent_id", "node_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import seconds_between
 from ..plans.schemas import SPAN
+from .ancestry import climb
 
 LEAVES = ("generation", "response")
 
@@ -73,15 +74,14 @@ def roll_up(steps: DataFrame) -> DataFrame:
     )
 
 
-def labels(spans: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(span_id, label) of model spans: the nearest ancestor of type agent, by joins up; cycles end at max_depth."""
-    up = spans.select("trace_id", F.col("span_id").alias("at"), F.col("parent_id").alias("next"), "type", "name")
-    now = spans.where(F.col("type").isin(*LEAVES)).select("trace_id", "span_id", F.col("parent_id").alias("at"))
-    out = now.select("span_id", F.lit(None).cast("string").alias("label")).limit(0)
-    for _ in range(max_depth):
-        met = now.join(up, ["trace_id", "at"])
-        out = out.unionByName(met.where("type = 'agent'").select("span_id", F.col("name").alias("label")))
-        now = met.where("type <> 'agent' and next is not null").select("trace_id", "span_id", F.col("next").alias("at"))
-        if now.limit(1).count() == 0:
-            break
-    return spans.where(F.col("type").isin(*LEAVES)).select("span_id").join(out, "span_id", "left")
+def labels(spans: DataFrame) -> DataFrame:
+    """(span_id, label) of model spans: the name of the nearest ancestor of type agent, however far; null without one.
+
+    Parents are of the same trace. Spans in a circle have no label.
+    """
+    agent = F.coalesce(F.col("type") == "agent", F.lit(False))
+    met = climb(spans, "trace_id", "span_id", "parent_id", agent)
+    names = spans.where(agent).groupBy("trace_id", F.col("span_id").alias("top")).agg(F.min("name").alias("label"))
+    found = met.join(names, ["trace_id", "top"]).select("trace_id", "span_id", "label")
+    leaves = spans.where(F.col("type").isin(*LEAVES)).select("trace_id", "span_id")
+    return leaves.join(found, ["trace_id", "span_id"], "left").select("span_id", "label")

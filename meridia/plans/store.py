@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import time
 from ..operators import integrity, projection
+from ..operators.ancestry import shared_folder
 from ..operators.library import KnowledgeLibrary
 from ..operators.search import SemanticQuery
 from .registry import registered, t
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share; a local one only for a local master without any."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/meridia-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def length_vector(text: str) -> list[float]:
@@ -258,3 +253,46 @@ def paper_sources(spark, sf_dir):
     return got.select(F.col("uri").cast("long").alias("s_suppkey"), "error", F.date_format(time.to_utc(F.col("available_at")), "yyyy-MM-dd HH:mm:ss").alias("available"), "content_hash")
 
 
+@registered("""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 16 AS r, c_name FROM customer), o AS (SELECT c.k, r, o_orderkey AS m FROM orders JOIN c ON c.k = o_custkey)
+SELECT rule, count(*)::BIGINT AS n FROM (
+SELECT 'source payload missing' AS rule FROM c WHERE r = 1 UNION ALL SELECT 'source payload hash' FROM c WHERE r = 2 UNION ALL SELECT 'asset count' FROM c WHERE r = 3
+UNION ALL SELECT 'asset set' FROM c WHERE r IN (1, 4) UNION ALL SELECT 'asset size' FROM c WHERE r = 5 UNION ALL SELECT 'asset bytes' FROM c WHERE r = 6
+UNION ALL SELECT 'lineage set' FROM c WHERE r IN (7, 15) UNION ALL SELECT 'summary without lineage' FROM c WHERE r = 8 UNION ALL SELECT 'unknown input' FROM c WHERE r = 9
+UNION ALL SELECT 'projected set' FROM c WHERE r = 10 UNION ALL SELECT 'artifact hash' FROM c WHERE r = 11
+UNION ALL SELECT 'repeated key in members' FROM o WHERE r = 12 UNION ALL SELECT 'no key in members' FROM o WHERE r = 13) GROUP BY rule""")
+def store_gates(spark, sf_dir):
+    """A source with an asset, a chunk set of its orders and a summary for each customer; each remainder of 16 breaks one gate that a put goes through."""
+    from ..operators import library
+
+    c, o = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
+    r, own = F.col("c_custkey") % 16, F.col("c_custkey").cast("string")
+    blob = F.encode("c_name", "UTF-8")
+    asset = c.select(
+        own.alias("source_revision_id"), F.concat(F.lit("a"), own).alias("asset_id"), F.lit("figure").alias("kind"), F.lit(1).alias("page_number"), F.lit("image/png").alias("media_type"), blob.alias("blob"), r.alias("r"),
+        F.when(r == 6, "x").otherwise(F.sha2(blob, 256)).alias("content_hash"), (F.octet_length(blob) + F.when(r == 5, 1).otherwise(0)).cast("long").alias("size_bytes"),
+    )
+    none = F.lit(None).cast("string")
+    bare = c.select(own.alias("source_revision_id"), F.col("c_name").alias("title"), none.alias("payload_json"), none.alias("canonical_hash"), F.lit(None).cast("int").alias("asset_count"))
+    sources = library.with_payload(bare, asset)
+    rem = F.col("source_revision_id").cast("long") % 16
+    sources = sources.select("source_revision_id", F.when(rem != 1, F.col("payload_json")).alias("payload_json"), F.when(rem == 2, "x").otherwise(F.col("canonical_hash")).alias("canonical_hash"), F.when(rem == 3, 2).otherwise(F.col("asset_count")).alias("asset_count"))
+    assets = asset.withColumn("media_type", F.when(F.col("r") == 4, "image/gif").otherwise(F.col("media_type"))).drop("r")
+    held = o.join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    order, cust, orem = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_custkey") % 16
+    members = held.select(F.when(orem != 13, F.concat(F.lit("set"), cust)).alias("artifact_id"), order.alias("member_id"), none.alias("parent_id"), F.lit(0).alias("position"), F.to_json(F.struct(order.alias("text"))).alias("payload_json"), orem.alias("r"))
+    members = members.unionByName(members.where("r = 12")).withColumn("content_hash", F.sha2("payload_json", 256)).drop("r")
+    inputs = F.when(r != 8, F.array(F.struct(F.when(r == 9, "zz").otherwise(F.concat(F.lit("set"), own)).alias("artifact_id"))))
+    art = lambda p, kind, body: c.select(F.concat(F.lit(p), own).alias("artifact_id"), own.alias("source_revision_id"), F.lit(kind).alias("artifact_kind"), body.alias("payload_json"))
+    plain = art("set", "paper_chunk_set", F.lit("{}")).unionByName(art("sum", "paper_summary", F.to_json(F.struct(own.alias("summary"), inputs.alias("derived_from")))))
+    each = members.groupBy("artifact_id").agg(library._members_digest().alias("h"))
+    of = library._artifact_hash(F.col("payload_json"), F.col("h"))
+    artifacts = plain.join(each, "artifact_id", "left").withColumn("canonical_hash", F.when((F.col("source_revision_id") % 16 == 11) & (F.col("artifact_kind") == "paper_summary"), "x").otherwise(of))
+    lineage = c.where((r != 7) & (r != 8)).select(F.concat(F.lit("sum"), own).alias("artifact_id"), F.when(r == 9, "zz").otherwise(F.concat(F.lit("set"), own)).alias("input_artifact_id"), F.when(r == 15, "other").otherwise("generated_from").alias("relation"))
+    targets = projection.paper_targets(artifacts, members)
+    stored = targets.where("not (source_revision_id % 16 = 10 and member_id is null)")
+    found = [
+        integrity.source_violations(sources, assets), integrity.lineage_violations(artifacts, lineage, artifacts), integrity.projection_violations(targets, stored), library.wrong_hashes(artifacts, members),
+        integrity.repeated_keys(members, ["artifact_id", "member_id"], "members"),
+    ]
+    return reduce(DataFrame.unionByName, found).groupBy("rule").agg(F.count("*").alias("n"))
