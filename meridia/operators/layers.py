@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +32,17 @@ class ConflictError(RuntimeError):
     """Another writer has published the version that this one was to become."""
 
 
-def digest(df: DataFrame) -> list[str]:
-    """[rows, sum, sum]: two sums of 64-bit hashes over all rows, modulo 2**64 each. Equal multisets of rows have equal digests, in whatever order and files; digests of parts add up."""
+def _sums(df: DataFrame, name: str) -> DataFrame:
     row = F.to_json(F.struct(*[F.base64(c).alias(c) if isinstance(df.schema[c].dataType, T.BinaryType) else F.col(c) for c in df.columns]))
-    got = df.select(F.xxhash64(row).alias("a"), F.xxhash64(F.reverse(row)).alias("b")).agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in "ab"]).first()
-    return [str(got["n"]), *[str(int(got[c] or 0) % 2**64) for c in "ab"]]
+    return df.select(F.xxhash64(row).alias("a"), F.xxhash64(F.reverse(row)).alias("b")).agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in "ab"]).withColumn("name", F.lit(name))
+
+
+def digests(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """[rows, sum, sum] of each table, in one job: two sums of 64-bit hashes over all rows, modulo 2**64 each. Equal multisets of rows have equal digests, in whatever order and files; digests of parts add up."""
+    if not tables:
+        return {}
+    got = reduce(DataFrame.unionByName, [_sums(df, name) for name, df in tables.items()]).collect()
+    return {r["name"]: [str(r["n"]), *[str(int(r[c] or 0) % 2**64) for c in "ab"]] for r in got}
 
 
 class LayeredTables:
@@ -115,6 +122,12 @@ class LayeredTables:
         df.withColumn("_bucket", self.bucket(F.col(key))).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
         return path
 
+    def write_all(self, tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
+        """Several tables at once, each as a layer in the folder."""
+        with ThreadPoolExecutor(max(1, len(tables))) as pool:
+            done = {name: pool.submit(self.write, df, self.keys[name], f"{folder}/{name}") for name, df in tables.items()}
+        return {name: d.result() for name, d in done.items()}
+
     def layer(self, name: str, layer: dict, buckets: list[int] | None = None, schema: T.StructType | None = None) -> DataFrame:
         """The rows of one layer, with its bucket."""
         schema = schema or self.schemas[name]
@@ -148,23 +161,24 @@ class LayeredTables:
     def changed(self, manifest: dict, added: dict[str, str], gone: dict[str, str] | None = None) -> dict:
         """The manifest with layers of rows, and of keys whose earlier rows no longer count; not yet published. Paths are of ``write``."""
         n, tables = manifest["next"], json.loads(json.dumps(manifest["tables"]))
-        for name in {*added, *(gone or {})}:
-            entry = tables.setdefault(name, {"rows": [], "gone": []})
-            if name in (gone or {}) and entry["rows"]:
-                entry["gone"].append({"n": n, "path": gone[name]})
-            if name in added:
-                layer = {"n": n, "path": added[name]}
-                entry["rows"].append(layer | {"digest": digest(self.layer(name, layer).select(*self.schemas[name].names))})
+        for name, path in (gone or {}).items():
+            if tables.get(name, {}).get("rows"):
+                tables[name]["gone"].append({"n": n, "path": path})
+        for name, layer in self._digested({name: {"n": n, "path": path} for name, path in added.items()}).items():
+            tables.setdefault(name, {"rows": [], "gone": []})["rows"].append(layer)
         return manifest | {"tables": tables}
 
+    def _digested(self, layers: dict[str, dict]) -> dict[str, dict]:
+        """Layers that have rows, with their digests."""
+        found = digests({name: self.layer(name, x).select(*self.schemas[name].names) for name, x in layers.items()})
+        return {name: x | {"digest": found[name]} for name, x in layers.items() if found[name][0] != "0"}
+
     def compact(self, manifest: dict, more_than: int = 1) -> dict:
         """The manifest with one layer in place of those of each table that has more than so many; not yet published. Older versions keep their files."""
-        folder, out = self.folder(manifest), json.loads(json.dumps(manifest["tables"]))
-        for name, entry in manifest["tables"].items():
-            if len(entry["rows"]) + len(entry["gone"]) > more_than:
-                layer = {"n": manifest["next"], "path": self.write(self.table(name, manifest), self.keys[name], f"{folder}/{name}")}
-                out[name] = {"rows": [layer | {"digest": digest(self.layer(name, layer).select(*self.schemas[name].names))}], "gone": []}
-        return manifest | {"tables": out}
+        many = [name for name, e in manifest["tables"].items() if len(e["rows"]) + len(e["gone"]) > more_than]
+        paths = self.write_all({name: self.table(name, manifest) for name in many}, self.folder(manifest))
+        layers = self._digested({name: {"n": manifest["next"], "path": path} for name, path in paths.items()})
+        return manifest | {"tables": manifest["tables"] | {name: {"rows": [layers[name]] if name in layers else [], "gone": []} for name in many}}
 
     def vacuum(self, keep: int = 1) -> None:
         """Deletes all but the last ``keep`` versions, and the folders that these do not name; readers of older versions fail from then on."""
@@ -179,4 +193,6 @@ class LayeredTables:
 
     def damaged(self, manifest: dict) -> list[str]:
         """Layers whose rows are not those that were written, by their digests."""
-        return [f"{name}: {x['path']}" for name, e in manifest["tables"].items() for x in e["rows"] if "digest" in x and digest(self.layer(name, x).select(*self.schemas[name].names)) != x["digest"]]
+        held = {f"{name}: {x['path']}": (name, x) for name, e in manifest["tables"].items() for x in e["rows"] if "digest" in x}
+        found = digests({said: self.layer(name, x).select(*self.schemas[name].names) for said, (name, x) in held.items()})
+        return [said for said, (_, x) in held.items() if found[said] != x["digest"]]

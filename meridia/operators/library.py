@@ -93,7 +93,7 @@ class KnowledgeLibrary:
         return self.tables.table(name, self._at())
 
     def _write(self, at: dict, folder: str, new: dict[str, DataFrame]) -> dict[str, str]:
-        return {n: self.tables.write(self._checked(n, df), KEYS[n], f"{folder}/{n}") for n, df in new.items()}
+        return self.tables.write_all({n: self._checked(n, df) for n, df in new.items()}, folder)
 
     def _layer(self, name: str, path: str) -> DataFrame:
         return self.tables.layer(name, {"path": path}).select(*STORE[name].names)

@@ -153,6 +153,25 @@ def test_cycle_is_unreachable(spark):
     assert {r["node_id"] for r in trees.violations(spark.createDataFrame(rows, NODES)).where("rule = 'reachable'").collect()} == {"a", "b"}
 
 
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 nodes below each other: no cap, and as many rounds as the depth has bits."""
+    from meridia.operators import ancestry
+
+    rounds, cut = [], ancestry.cut
+    monkeypatch.setattr(ancestry, "cut", lambda df: rounds.append(1) or cut(df))
+    name = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    i = F.col("id")
+    n = spark.range(10_000).select(F.lit("t").alias("tree_id"), name(i).alias("node_id"), F.when(i > 0, name(i - 1)).alias("parent_id"), F.lit(0).alias("position"))
+    got = ancestry.climb(n, "tree_id", "node_id", "parent_id", F.col("parent_id").isNull())
+    assert got.agg(F.max("steps")).first()[0] == 9_999 and got.count() == 10_000 and len(rounds) <= 16
+    loop = n.where("node_id <> 'n0'").withColumn("parent_id", F.when(F.col("node_id") == "n1", "n9999").otherwise(F.col("parent_id")))
+    assert ancestry.climb(loop, "tree_id", "node_id", "parent_id", F.col("parent_id").isNull()).count() == 0
+    deep = trees.walk(spark, n.where("cast(substr(node_id, 2) as int) < 300"))
+    assert deep.agg(F.max("depth")).first()[0] == 299 and deep.where("node_id = 'n299'").first()["path"] == [f"n{k}" for k in range(300)]
+    spans = n.select(F.col("node_id").alias("span_id"), "parent_id", F.col("tree_id").alias("trace_id"), F.when(F.col("node_id") == "n0", "agent").when(F.col("node_id") == "n999", "generation").otherwise("task").alias("type"), F.col("node_id").alias("name"))
+    assert [tuple(r) for r in usage.labels(spans).collect()] == [("n999", "n0")]
+
+
 def test_budget(spark):
     df = spark.createDataFrame([("k", i, "t", "s" * 100) for i in range(10)], "k string, n int, title string, s string")
     r = trees.budgeted(df, 100, "k", "n", "title", "s").first()

@@ -204,28 +204,15 @@ def test_papers_are_whole_or_refused(spark, tmp_path):
     p = paper(spark)
     wrong = {
         "lineage set": {"lineage": p["lineage"].limit(0)},
-        "summary without lineage": {"artifacts": p["artifacts"].withColumn("payload_json", F.when(F.col("artifact_id") == "sum", '{"summary":"about"}').otherwise(F.col("payload_json"))), "lineage": p["lineage"].limit(0)},
-        "unknown input": {"lineage": p["lineage"].withColumn("input_artifact_id", F.lit("zz")), "artifacts": p["artifacts"].withColumn("payload_json", F.regexp_replace("payload_json", '"set"', '"zz"'))},
-        "asset count": {"sources": p["sources"].withColumn("asset_count", F.lit(2))},
-        "asset size": {"assets": p["assets"].withColumn("size_bytes", F.lit(4))},
-        "asset bytes": {"assets": p["assets"].withColumn("content_hash", F.lit("x"))},
         "asset set": {"sources": p["sources"].withColumn("payload_json", F.lit('{"assets":[]}'))},
-        "source payload hash": {"sources": p["sources"].withColumn("canonical_hash", F.lit("x"))},
-        "member count": {"artifacts": p["artifacts"].withColumn("member_count", F.lit(7))},
-        "member hash": {"members": p["members"].withColumn("content_hash", F.lit("x"))},
-        "target count": {"artifacts": p["artifacts"].withColumn("target_count", F.lit(5))},
-        "artifact hash": {"artifacts": p["artifacts"].withColumn("canonical_hash", F.lit("x"))},
-        "projected set": {"projections": spark.createDataFrame([], STORE["projections"])},
         "projection without source": {"sources": None, "assets": None},
-        "repeated key": {"members": p["members"].unionByName(p["members"])},
         "members without artifact": {"artifacts": p["artifacts"].where("artifact_id = 'sum'")},
-    }
+    }  # all the others: the query store_gates
     for rule, change in wrong.items():
         with pytest.raises(integrity.StaleStoreError) as said:
             lib.put_artifacts(**(p | change))
-        broken = {r["rule"] for r in said.value.violations}
-        assert any(b.startswith(rule) for b in broken), (rule, broken)
-        assert lib.version == 1, rule
+        assert rule in {r["rule"] for r in said.value.violations}
+        assert lib.version == 1
     lib.put_artifacts(**p)
     lib.check()
     assert [r["member_id"] for r in lib.artifact("set").collect()] == ["c1", "c2"] and lib.artifact("sum").count() == 0
