@@ -10,11 +10,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.schemas import FETCHED, ddl
+from ..plans.schemas import ddl
 from ..sources.feeds import parse_listing
 from ..sources.html import html_text
 from ..sources.http import FetchPolicy, fetch, fetch_one, send
 from . import news
+from .ancestry import staged
 
 LISTING_URL = "https://www.prnewswire.com/news-releases/news-releases-list/"  # fixed value: where the listing is
 SOURCE, PUBLISHER = "press_release", "PR Newswire"  # fixed values
@@ -97,9 +98,8 @@ FAILURES = ddl("stage string, source_url string, item_id string, error_type stri
 def collect_news(spark: SparkSession, start: datetime, end: datetime, transport: Callable = send, policy: FetchPolicy = POLICY, sleep: Callable = clock.sleep, retain_raw_html: bool = False) -> NewsBatch:
     """The news of ``[start, end)``: each observed release is fetched, cleaned and identified by itself, and fails by itself."""
     seen, lost, complete = discover(spark, start, end, transport, policy, sleep)
-    seen = spark.createDataFrame(seen.toArrow(), seen.schema)  # a window's rows, at most 20 pages of 100; not read twice
-    got = fetch(seen.select(F.col("canonical_url").alias("url")).distinct(), policy, "url", transport)
-    pages = spark.createDataFrame(got.toArrow(), FETCHED)  # what was fetched is not fetched again
+    seen = staged(seen, "observed")
+    pages = staged(fetch(seen.select(F.col("canonical_url").alias("url")).distinct(), policy, "url", transport), "articles")  # written by the tasks that fetch; not fetched again
     both = seen.join(pages, seen["canonical_url"] == pages["url"])
     failed = both.where(F.col("error_type").isNotNull()).select(F.lit("article_fetch").alias("stage"), F.col("canonical_url").alias("source_url"), F.col("payload_id").alias("item_id"), news.error_class(F.col("error_type")).alias("error_type"), "message")
     body = F.decode(F.col("body"), "UTF-8")

@@ -7,17 +7,24 @@ offline; the default one is the standard library's.
 from __future__ import annotations
 
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, fields
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
+from itertools import groupby
+from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.schemas import FETCHED
 
@@ -31,6 +38,7 @@ class FetchPolicy:
     max_delay: float = 30.0
     jitter: float = 0.1
     spacing: float = 0.1
+    in_flight: int = 2
     timeout: float = 30.0
     max_bytes: int = 50_000_000
 
@@ -94,21 +102,118 @@ def fetch_one(url: str, policy: FetchPolicy, transport: Callable = send, sleep:
     return row | {"error_type": "attempts_exhausted" if policy.attempts > 1 else row["error_type"]}
 
 
+class Host:
+    """One host's requests: at most ``in_flight`` at once, begun at least ``spacing`` apart; a waiting time that the host asks for holds for all of them."""
+
+    def __init__(self, policy: FetchPolicy, transport: Callable = send, clock: Callable = time.monotonic, sleep: Callable = time.sleep):
+        self.policy, self.transport, self.clock, self.sleep = policy, transport, clock, sleep
+        self.lock, self.next_at = threading.Lock(), 0.0
+
+    def _turn(self) -> None:
+        """Waits until the next request may begin."""
+        with self.lock:
+            wait = self.next_at - self.clock()
+            if wait > 0:
+                self.sleep(wait)
+            self.next_at = max(self.next_at, self.clock()) + self.policy.spacing
+
+    def _send(self, url: str, policy: FetchPolicy):
+        self._turn()
+        got = self.transport(url, policy)
+        asked = retry_after_seconds(got[1].get("retry-after")) if got[0] in (429, 503) else None
+        if asked:
+            with self.lock:
+                self.next_at = max(self.next_at, self.clock() + asked)
+        return got
+
+    def fetch(self, urls: Iterable[str]) -> Iterator[dict]:
+        """A row for each address, in order. No more answers wait than requests may be in flight, so memory holds that many bodies."""
+        with ThreadPoolExecutor(self.policy.in_flight) as pool:
+            waiting: deque = deque()
+            for url in urls:
+                if len(waiting) >= self.policy.in_flight:
+                    yield waiting.popleft().result()
+                waiting.append(pool.submit(fetch_one, url, self.policy, self._send, self.sleep))
+            while waiting:
+                yield waiting.popleft().result()
+
+
+def _batches(rows: Iterator[dict], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of at most ``limit`` bytes of bodies, or one row."""
+    schema = to_arrow_schema(FETCHED)
+    held, size = [], 0
+    for row in rows:
+        more = len(row["body"] or b"")
+        if held and size + more > limit:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+        held.append(row | {"headers": list(row["headers"].items())})
+        size += more
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1))
+
+
 def fetch(urls: DataFrame, policy: FetchPolicy | None = None, url: str = "url", transport: Callable = send) -> DataFrame:
-    """Fetched documents or their errors; all addresses of a host are in one task, spaced out."""
+    """Fetched documents or their errors.
+
+    All addresses of a host are in one task, which is what keeps its limits; a
+    task takes its hosts one after another. Bodies go from the task to where
+    the result is written.
+    """
     policy = policy or FetchPolicy()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, float] = {}
-        for pdf in batches:
-            out = []
-            for u, host in zip(pdf[url], pdf["_host"]):
-                wait = last.get(host, 0.0) + policy.spacing - time.monotonic()
-                if wait > 0:
-                    time.sleep(wait)
-                last[host] = time.monotonic()
-                out.append(fetch_one(u, policy, transport))
-            yield pd.DataFrame(out, columns=FETCHED.names)
-
-    hosted = urls.select(url, F.lower(F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1)).alias("_host"))
-    return hosted.repartition("_host").mapInPandas(run, FETCHED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((u, h) for b in batches for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for _, own in groupby(rows, key=lambda x: x[1]):
+            yield from _batches(Host(policy, transport).fetch(u for u, _ in own))
+
+    hosted = urls.select(F.col(url).alias("url"), host_of(F.col(url)).alias("_host"))
+    return hosted.repartition("_host").sortWithinPartitions("_host").mapInArrow(run, FETCHED)
+
+
+@dataclass
+class _HostUrls(InputPartition):
+    urls: tuple[str, ...]
+
+
+class _HttpReader(DataSourceReader):
+    def __init__(self, urls: list[str], policy: FetchPolicy, transport: Callable):
+        self.urls, self.policy, self.transport = urls, policy, transport
+
+    def partitions(self) -> list[InputPartition]:
+        by: dict[str, list[str]] = {}
+        for u in self.urls:
+            by.setdefault(urlsplit(u).netloc.lower(), []).append(u)
+        return [_HostUrls(tuple(own)) for own in by.values()] or [_HostUrls(())]
+
+    def read(self, partition: _HostUrls) -> Iterator[pa.RecordBatch]:
+        yield from _batches(Host(self.policy, self.transport).fetch(partition.urls))
+
+
+class HttpDocuments(DataSource):
+    """``spark.read.format("http_documents").option("urls", ...)``: documents by their addresses, one a line, with a partition for each host.
+
+    Options of a FetchPolicy (attempts, spacing, in_flight, ...) have its names. For
+    addresses that are a table, use ``fetch``.
+    """
+
+    transport = staticmethod(send)
+
+    @classmethod
+    def name(cls) -> str:
+        return "http_documents"
+
+    def schema(self):
+        return FETCHED
+
+    def reader(self, schema) -> DataSourceReader:
+        kinds = {f.name: type(f.default) for f in fields(FetchPolicy)}
+        given = {k.lower(): v for k, v in self.options.items()}
+        if unknown := set(given) - set(kinds) - {"urls"}:
+            raise ValueError(f"unknown options {sorted(unknown)}")
+        policy = FetchPolicy(**{k: kinds[k](v) for k, v in given.items() if k in kinds})
+        return _HttpReader([u.strip() for u in given.get("urls", "").splitlines() if u.strip()], policy, self.transport)
