@@ -118,8 +118,8 @@ class LayeredTables:
         return f"v{manifest['next']}-{uuid.uuid4().hex[:8]}"
 
     def write(self, df: DataFrame, key: str, path: str) -> str:
-        """Rows by bucket; rebalanced, so that the bucket of a key with very many rows is written by many tasks."""
-        df.withColumn("_bucket", self.bucket(F.col(key))).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
+        """Rows by bucket, in order of key inside a file; rebalanced, so that the bucket of a key with very many rows is written by many tasks."""
+        df.withColumn("_bucket", self.bucket(F.col(key))).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", key).write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
         return path
 
     def write_all(self, tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
