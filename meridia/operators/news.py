@@ -23,37 +23,56 @@ def _utc(local: Column) -> Column:
     return F.to_utc_timestamp(local, ZONE)
 
 
-def listing_times(rows: DataFrame, feed: str | None = None, page: str = "page_number", row: str = "row_number", page_date: str = "page_date", stamp: str = "timestamp_text") -> DataFrame:
+def listing_times(
+    rows: DataFrame, feed: str | None = None, page: str = "page_number", row: str = "row_number", page_date: str = "page_date", stamp: str = "timestamp_text", pages: int = 10
+) -> DataFrame:
     """Adds published_at (UTC) and time_error to listing rows, newest first.
 
     A short time belongs to the day of the row before it, or the day before
     that if the clock is later than there; the first row, to the page's date. A
     full time starts afresh. Rows that cannot be read change nothing. ``feed``
-    names a column whose listings are independent, and is what distributes the
-    work; one listing is one ordered sequence.
+    names a column whose listings are independent.
+
+    A listing of any length is read in segments of ``pages`` pages, by many
+    tasks: what a segment does to the clock (its first and last time, days gone back, last full date)
+    is one row, a prefix over these rows gives each segment the clock it begins with, and its rows are set by that.
     """
-    order = Window.partitionBy(*([feed] if feed else [F.lit(0)])).orderBy(page, row)
+    group = ([F.col(feed)] if feed else []) + [F.coalesce(F.floor(F.col(page) / pages), F.lit(-1)).alias("_seg")]
     value = text.normalize_space(F.col(stamp))
     short, full = value.rlike(SHORT), value.rlike(FULL)
     month_day = F.concat_ws(" ", F.initcap(F.regexp_extract(value, FULL, 1).substr(1, 3)), F.regexp_extract(value, FULL, 2), F.regexp_extract(value, FULL, 3))
     full_day = F.to_date(F.try_to_timestamp(month_day, F.lit("MMM d yyyy")))
     part = lambda pattern, k: F.regexp_extract(value, pattern, k).cast("int")
     hour, rest = (F.when(short, part(SHORT, k)).when(full, part(FULL, k + 3)) for k in (1, 2))
-    minute = hour * 60 + rest
     readable = (short | (full & full_day.isNotNull())) & (hour < 24) & (rest < 60)
-    out = rows.withColumn("_ok", F.coalesce(readable, F.lit(False))).withColumn("_m", F.when(F.col("_ok"), minute)).withColumn("_full", F.when(F.col("_ok") & full, full_day))
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_last", F.last("_m", ignorenulls=True).over(past))
-    # days to go back, counted from the last full time or the start
-    back = F.when(F.col("_ok") & F.col("_full").isNull() & (F.col("_m") > F.col("_last")), 1).otherwise(0)
-    out = out.withColumn("_back", back).withColumn("_run", F.sum(F.col("_full").isNotNull().cast("int")).over(upto))
-    anchor = F.coalesce(F.last("_full", ignorenulls=True).over(upto), F.first(F.when(F.col("_ok"), F.to_date(page_date)), ignorenulls=True).over(upto))
-    island = Window.partitionBy(*([feed] if feed else [F.lit(0)]), "_run").orderBy(page, row).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_anchor", anchor).withColumn("_days", F.sum("_back").over(island))
-    local = F.date_sub("_anchor", F.col("_days").cast("int")).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_m"))
+    out = rows.withColumn("_ok", F.coalesce(readable, F.lit(False))).withColumn("_m", F.when(F.col("_ok"), hour * 60 + rest)).withColumn("_full", F.when(F.col("_ok") & full, full_day))
+    out = out.withColumn("_seg", group[-1]).withColumn("_feed", F.col(feed).cast("string") if feed else F.lit(""))
+
+    inside = Window.partitionBy("_feed", "_seg").orderBy(page, row)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_last", F.last("_m", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    back = F.when(F.col("_full").isNull() & (F.col("_m") > F.col("_last")), 1).otherwise(0)
+    out = out.withColumn("_back", back).withColumn("_run", F.sum(F.col("_full").isNotNull().cast("int")).over(upto)).withColumn("_since", F.last("_full", ignorenulls=True).over(upto))
+    out = out.withColumn("_days", F.sum("_back").over(Window.partitionBy("_feed", "_seg", "_run").orderBy(page, row).rowsBetween(Window.unboundedPreceding, 0)))
+
+    at = F.struct(F.col(page), F.col(row))
+    moved = out.where("_ok").groupBy("_feed", "_seg").agg(
+        F.min_by("_m", at).alias("m0"), F.min_by(F.col("_full").isNotNull(), at).alias("fresh"), F.min_by(F.to_date(page_date), at).alias("date0"),
+        F.max_by("_m", at).alias("m1"), F.max_by("_since", at).alias("full1"), F.max_by("_days", at).alias("days1"),
+    )
+    line = Window.partitionBy("_feed").orderBy("_seg")  # a row for each segment
+    before, through = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
+    moved = moved.withColumn("enter", F.when(~F.col("fresh") & (F.col("m0") > F.lag("m1").over(line)), 1).otherwise(0))
+    moved = moved.withColumn("step", F.col("days1") + F.when(F.col("full1").isNull(), F.col("enter")).otherwise(0)).withColumn("run", F.sum(F.col("full1").isNotNull().cast("int")).over(through))
+    moved = moved.withColumn("gone", F.sum("step").over(Window.partitionBy("_feed", "run").orderBy("_seg").rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.coalesce(F.last("full1", ignorenulls=True).over(before), F.first("date0", ignorenulls=True).over(through))
+    moved = moved.select("_feed", "_seg", start.alias("_start"), (F.coalesce(F.lag("gone").over(line), F.lit(0)) + F.col("enter")).alias("_gone"))
+
+    out = out.join(moved, (out["_feed"].eqNullSafe(moved["_feed"])) & (out["_seg"] == moved["_seg"]), "left").drop(moved["_feed"]).drop(moved["_seg"])
+    days = F.col("_days") + F.when(F.col("_since").isNull(), F.col("_gone")).otherwise(0)
+    local = F.date_sub(F.coalesce("_since", "_start"), days.cast("int")).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_m"))
     out = out.withColumn("published_at", F.when(F.col("_ok"), _utc(local))).withColumn("time_error", ~F.col("_ok"))
-    return out.drop("_ok", "_m", "_full", "_last", "_back", "_run", "_anchor", "_days")
+    return out.select(*rows.columns, "published_at", "time_error")
 
 
 def in_window(time: Column, start: datetime, end: datetime) -> Column:

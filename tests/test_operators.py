@@ -2,7 +2,9 @@
 
 import hashlib
 import json
-from datetime import date, datetime, timezone
+import random
+import re
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,41 @@ def listing(spark, rows):
     return spark.createDataFrame([(i // 3, i, date(2024, 3, 2), s) for i, s in enumerate(rows)], "page_number int, row_number int, page_date date, timestamp_text string")
 
 
+def test_listing_times_in_segments(spark):
+    """However a listing is cut into segments, its times are those of one pass over it."""
+    rng = random.Random(9)
+    stamps = lambda: rng.choice([f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02} ET"] * 6 + [f"Mar {rng.randint(1, 28)}, 2024, {rng.randint(0, 23):02}:30 ET", "never", None, "25:00 ET"])
+    rows = [(f, n // 3, n, datetime(2024, 5, 1 + n % 3).date(), stamps()) for f in ("a", "b", None) for n in range(120)]
+    df = spark.createDataFrame(rows, "feed string, page_number int, row_number int, page_date date, timestamp_text string")
+    got = {}
+    for pages in (1, 4, 1000):
+        out = news.listing_times(df, feed="feed", pages=pages)
+        got[pages] = sorted(map(str, out.select("feed", "row_number", F.date_format("published_at", "yyyy-MM-dd HH:mm"), "time_error").collect()))
+    assert got[1] == got[4] == got[1000]
+    want = []
+    for feed in ("a", "b", None):
+        day = clock = None
+        for f, _, n, date, stamp in rows:
+            if f != feed:
+                continue
+            at = re.fullmatch(r"(?:Mar (\d+), 2024, )?(\d\d):(\d\d) ET", stamp or "")
+            if not at or int(at[2]) > 23:
+                want.append((feed, n, None))
+                continue
+            now = (int(at[2]), int(at[3]))
+            if at[1]:
+                day = datetime(2024, 3, int(at[1])).date()
+            elif day is None:
+                day = date
+            elif now > clock:
+                day -= timedelta(days=1)
+            clock = now
+            want.append((feed, n, f"{day} {now[0]:02}:{now[1]:02}"))
+    shown = news.listing_times(df, feed="feed", pages=4).select("feed", "row_number", F.date_format(F.from_utc_timestamp("published_at", news.ZONE), "yyyy-MM-dd HH:mm").alias("p")).collect()
+    spring = "2024-03-10 02:"  # the hour that the zone leaves out
+    assert sorted(str(tuple(r)) for r in shown if not (r["p"] or "").startswith(("2024-03-10 03:", spring))) == sorted(str(w) for w in want if not (w[2] or "").startswith(("2024-03-10 03:", spring)))
+
+
 def test_listing_times(spark):
     rows = listing(spark, ["00:10 ET", "00:10 ET", "00:01 ET", "23:59 ET", "bad", "23:58 ET", "Feb 28, 2024, 12:00 ET", "11:00 ET", "11:30 ET"])
     got = [r[0] for r in news.listing_times(rows).orderBy("row_number").select(F.date_format("published_at", "MM-dd HH:mm")).collect()]
