@@ -41,7 +41,7 @@ LISTED = "(?i)NASDAQ|NYSE|AMEX|OTC|CBOE"
 LINK = r"\[([^\]\n]+)\]\([^)\n]*\)"
 EMPHASIS = r"(?iu)(?<!\*)\*{1,2}([A-Z][A-Z0-9.-]{0,9})\*{1,2}(?!\*)"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-PROTECTED = r"\[(\[email.protected\])\]\(/cdn-cgi/l/email-protection#[^)]+\)"
+PROTECTED = r"\[\[email protected]\]\(/cdn-cgi/l/email-protection#[^)]+\)"
 DOI_PREFIXES = ("https://doi.org/", "http://doi.org/", "doi:", "DOI:")
 SUFFIX_TYPES = {
     ".pdf": "application/pdf", ".html": "text/html", ".htm": "text/html", ".xhtml": "application/xhtml+xml", ".md": "text/markdown",
@@ -159,7 +159,7 @@ def content_type(path: Column) -> Column:
 
 def arxiv_id(c: Column) -> Column:
     """A modern identifier first, else one of the old kind; null where there is none."""
-    bare = F.regexp_replace(strip(c), r"(?i)^(?:arxiv:|https?://(?:www\.|export\.)?arxiv\.org/(?:abs|pdf|html)/)", "")
+    bare = F.regexp_replace(strip(c), "^(?:arXiv:|arxiv:)+", "")
     modern = F.regexp_extract(bare, r"(\d{4}\.\d{4,5}(?:v\d+)?)", 1)
     old = F.regexp_extract(bare, r"([a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?)", 1)
     return F.coalesce(F.nullif(modern, F.lit("")), F.nullif(old, F.lit("")))

@@ -20,6 +20,11 @@ PAYLOAD = (
 )
 
 
+def is_extracted(c: Column) -> Column:
+    """Whether the payload (JSON) says how a model extracted it; items made by hand do not."""
+    return F.get_json_object(c, "$.extraction").isNotNull()
+
+
 def payload(c: Column) -> Column:
     return F.from_json(c, PAYLOAD)
 

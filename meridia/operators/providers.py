@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
+from .ancestry import staged
+from .documents import finding_violations
+from .integrity import require_none
 from .trees import budgeted
 
 FLAT_SUMMARY = "Source pages retained in canonical storage."  # fixed value
@@ -115,19 +118,70 @@ def build_trees(documents: DataFrame, draft: Callable[[list, int], Draft] = outl
     return documents.select("doc_id", "title", "page_texts", "headings").mapInPandas(run, NODE_SCHEMA)
 
 
-def summarise(chunks: DataFrame, group: int = 8, first: Callable[[str], str] = lambda t: t[:200], key: str = "doc_id") -> DataFrame:
-    """(key, summary, citations): each group of following chunks, read whole, gives a finding that cites its first chunk; findings are joined in order."""
-    tile = F.floor(F.col("position") / group)
-    groups = chunks.groupBy(key, tile.alias("tile")).agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "text"))).alias("c"))
+RESEARCH = "struct<summary:string,findings:array<struct<chunk_index:int,page:int,claim:string,quote:string>>>"
 
-    @F.pandas_udf(StringType())
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(first, na_action="ignore")
 
-    groups = groups.withColumn("whole", F.array_join(F.transform("c", lambda x: x["text"]), "\n\n"))
-    found = groups.select(key, "tile", F.col("c")[0]["chunk_id"].alias("chunk_id"), find("whole").alias("finding"))
-    whole = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tile", "chunk_id", "finding"))).alias("f"))
-    return whole.select(key, F.array_join(F.transform("f", lambda x: x["finding"]), "\n").alias("summary"), F.transform("f", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["finding"].alias("quote"))).alias("citations"))
+def first_sentences(chunks: list[dict]) -> dict:
+    """A report of following chunks (chunk_index, pages, text) without a model: what each says first, quoted."""
+    found = []
+    for c in chunks:
+        quote = re.split(r"(?<=[.!?])\s", c["text"].strip(), maxsplit=1)[0][:200]
+        if quote and len(c["pages"]):
+            found.append({"chunk_index": c["chunk_index"], "page": int(c["pages"][0]), "claim": quote, "quote": quote})
+    return {"summary": " ".join(f["claim"] for f in found), "findings": found}
+
+
+def join_reports(summaries: list[str], budget: int) -> str:
+    """One text of several without a model: each in order, cut to its share of the budget; what short ones leave goes to the others."""
+    left, out = budget - (len(summaries) - 1), [""] * len(summaries)
+    for n, i in enumerate(sorted(range(len(summaries)), key=lambda i: len(summaries[i]))):
+        out[i] = summaries[i][: max(0, left // (len(summaries) - n))]
+        left -= len(out[i])
+    return "\n".join(x for x in out if x)
+
+
+def reports(chunks: DataFrame, group: int = 8, research: Callable[[list[dict]], dict] = first_sentences, key: str = "doc_id") -> DataFrame:
+    """(key, group, start, count, report): what ``research`` finds in each group of following chunks. chunks: key, position (from 0), chunk_id, pages, text."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col("position").cast("int").alias("chunk_index"), "pages", "text")))
+    groups = chunks.groupBy(key, F.floor(F.col("position") / group).cast("long").alias("group")).agg(rows.alias("c"))
+
+    @F.pandas_udf(RESEARCH)
+    def study(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([research([dict(c) for c in cs]) for cs in s], columns=["summary", "findings"])
+
+    return groups.select(key, "group", F.col("c")[0]["chunk_index"].alias("start"), F.size("c").alias("count"), study("c").alias("report"))
+
+
+def summarise(
+    chunks: DataFrame, group: int = 8, research: Callable[[list[dict]], dict] = first_sentences, reduce: Callable[[list[str], int], str] = join_reports,
+    fan_in: int = 8, budget: int = 4000, key: str = "doc_id",
+) -> DataFrame:
+    """(key, summary, findings): each group of following chunks is studied, findings are validated, and summaries are reduced level by level.
+
+    A finding must be of its group, on a page of its chunk, and quote its text;
+    else nothing is reduced and StaleStoreError names the first. Up to ``fan_in`` reports
+    become one of at most ``budget`` characters, and so on until a document
+    has one, so that no step reads more than ``fan_in * budget`` characters, whatever the number of chunks.
+    """
+    found = staged(reports(chunks, group, research, key), "reports")
+    flat = found.select(key, "group", F.posexplode("report.findings").alias("nth", "f")).select(key, "group", "nth", "f.*")
+    held = chunks.select(key, F.col("position").alias("chunk_index"), "pages", "text")
+    broken = finding_violations(found.select(key, "group", "start", "count"), flat, held, key)
+    require_none(broken.select("rule", F.col(key).cast("string").alias("key"), F.col("chunk_index").cast("string").alias("detail")))
+
+    @F.pandas_udf(StringType())
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda texts: reduce([t for t in texts], budget)[:budget])
+
+    level = found.select(key, F.col("group").alias("n"), F.substring("report.summary", 1, budget).alias("summary"))
+    most = found.agg(F.max("group")).first()[0]
+    while most:
+        up = level.groupBy(key, F.floor(F.col("n") / fan_in).alias("n")).agg(F.array_sort(F.collect_list(F.struct("n", "summary"))).alias("s"))
+        level = staged(up.select(key, "n", fold(F.transform("s", lambda x: x["summary"])).alias("summary")), "level")
+        most //= fan_in
+    ids = chunks.select(key, F.col("position").cast("int").alias("chunk_index"), "chunk_id")
+    cited = flat.join(ids, [key, "chunk_index"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "nth", "chunk_id", "page", "claim", "quote"))).alias("findings"))
+    return level.select(key, "summary").join(cited, key, "left")
 
 
 def lexical_selector(structure: str, question: str, limit: int = 3) -> list[int]:

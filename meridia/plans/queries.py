@@ -24,8 +24,10 @@ FROM embeddings WHERE label IN (1, 2, 3)
 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10""")
 def semantic_topk(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select("embedding").first()["embedding"]
-    top = search.rank(e.where(F.col("label").isin(1, 2, 3)), list(q), 10, key="vec_id")
+    q = e.where("vec_id = 0").select("embedding").first()
+    if q is None or q["embedding"] is None:  # nothing to compare with
+        return e.limit(0).select("vec_id", F.lit(0.0).alias("score"))
+    top = search.rank(e.where(F.col("label").isin(1, 2, 3)), list(q["embedding"]), 10, key="vec_id")
     return top.select("vec_id", F.round("score", 6).alias("score"))
 
 

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..plans.schemas import FEED_ITEM, LISTING_ROW
 
@@ -72,14 +73,21 @@ def parse_feed(xml: bytes | str, feed_url: str) -> list[dict]:
 
 
 def read_feeds(fetched: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """Feed items of fetched documents. A document that is no feed fails the job."""
+    """Feed items of fetched documents. A document that is no feed is one row, with ``error`` saying why; others go on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [x for u, b in zip(pdf[url], pdf[body]) for x in parse_feed(b, u)]
-            yield pd.DataFrame(rows, columns=FEED_ITEM.names)
-
-    return fetched.select(url, body).mapInPandas(run, FEED_ITEM)
+            rows = []
+            for u, b in zip(pdf[url], pdf[body]):
+                try:
+                    rows += parse_feed(b, u)
+                except ValueError as exc:
+                    rows.append({"feed_url": u, "error": str(exc)})
+            out = pd.DataFrame(rows, columns=schema.names)
+            yield out.astype(object).where(out.notna(), None)
+
+    schema = T.StructType([*FEED_ITEM.fields, T.StructField("error", T.StringType())])
+    return fetched.select(url, body).mapInPandas(run, schema)
 
 
 # fixed values: marks of a listing page's rows, links and date

@@ -306,6 +306,8 @@ def test_feeds(spark):
     df = spark.createDataFrame([("u1", bytearray(rss)), ("u2", bytearray(atom))], "url string, body binary")
     got = feeds.read_feeds(df).orderBy("url").collect()
     assert [(r["url"], r["id"], str(r["published_at"])) for r in got] == [("http://x/1", "g1", "2024-04-15 10:30:00"), ("http://x/2", "http://x/2", "None"), ("http://x/a", "i", "2024-04-15 10:30:00")]
+    odd = feeds.read_feeds(df.unionByName(spark.createDataFrame([("u3", bytearray(b"<rss"))], "url string, body binary")))
+    assert [(r["feed_url"], "no XML" in r["error"]) for r in odd.where("error is not null").collect()] == [("u3", True)] and odd.count() == 4
     for bad in (b"", b"<x/>", b"<rss", b'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"/>'):
         with pytest.raises(ValueError):
             feeds.parse_feed(bad, "u")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators import providers, trees
+from meridia.operators.integrity import StaleStoreError
 
 
 def test_embedding(spark):
@@ -39,9 +40,27 @@ def test_trees_are_valid(spark):
 
 
 def test_summary_and_retrieval(spark):
-    chunks = spark.createDataFrame([("d", i, f"c{i}", f"text {i}") for i in range(10)], "doc_id string, position int, chunk_id string, text string")
-    s = providers.summarise(chunks).first()
-    assert s["summary"] == "\n".join("\n\n".join(f"text {i}" for i in g) for g in (range(8), range(8, 10))) and [c["chunk_id"] for c in s["citations"]] == ["c0", "c8"]
+    rows = [("d", i, f"c{i}", [i, i + 1], f"Text {i}. More of it.") for i in range(150)] + [("e", 0, "e0", [1], "Alone")]
+    chunks = spark.createDataFrame(rows, "doc_id string, position int, chunk_id string, pages array<int>, text string")
+    got = {r["doc_id"]: r for r in providers.summarise(chunks, group=4, fan_in=3, budget=500).collect()}
+    assert len(got["d"]["findings"]) == 150 and [f["chunk_id"] for f in got["d"]["findings"]] == [f"c{i}" for i in range(150)]
+    assert got["d"]["summary"].startswith("Text 0. Text 1.") and "Text 1" in got["d"]["summary"].splitlines()[-1] and len(got["d"]["summary"]) <= 500
+    assert got["e"]["summary"] == "Alone" and got["e"]["findings"][0]["page"] == 1
+    widths = []
+    one = providers.summarise(chunks.where("doc_id = 'e'"), reduce=lambda t, b: widths.append(1)).first()
+    assert one["summary"] == "Alone" and not widths  # one report needs no reduction
+    for wrong, rule in (({"chunk_index": 99}, "outside its group"), ({"page": 999}, "outside its chunk"), ({"quote": "never said"}, "not in its chunk")):
+        lying = lambda cs, w=wrong: {"summary": "x", "findings": [providers.first_sentences(cs)["findings"][0] | w]}
+        with pytest.raises(StaleStoreError, match=rule):
+            providers.summarise(chunks, research=lying)
+
+
+def test_join_reports():
+    assert providers.join_reports(["a" * 10, "b" * 100, ""], 51) == "a" * 10 + "\n" + "b" * 39
+    assert providers.join_reports(["ab"], 5) == "ab"
+
+
+def test_retrieval(spark):
     nodes = spark.createDataFrame([("t", 0, "Costs", "money"), ("t", 1, "Methods", "how it was done")], "tree_id string, n int, title string, summary string")
     assert [r["title"] for r in providers.retrieve(nodes, "which methods were used").collect()] == ["Methods"]
     assert providers.retrieve(nodes, "zzz").count() == 0
