@@ -102,23 +102,57 @@ def page_offset(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return best.where("best.n >= 2").select(key, F.col("best.offset").alias("printed_page_offset"))
 
 
+def _words(c: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(c, r"\s{2,}|[^\S ]", " ")), " ")
+
+
+def _grams(c: Column) -> Column:
+    """All runs of one to three characters of a word."""
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+    return F.array_distinct(F.concat(at(1), at(2), at(3)))
+
+
+def quote_keys(words: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(quote, word): the words of a corpus by which chunks with a quote are found; words: key, word, each once a chunk; quotes: quote.
+
+    A word inside a quote is a whole word of every chunk that has the quote: of
+    these the one in the fewest chunks is the key, and a quote with one that is
+    nowhere is nowhere. A quote of one or two words has none. Its first word
+    ends, and its last one begins, a word of the chunk (a single one is inside
+    a word), so the longer of both is looked up in the corpus' distinct words by
+    its first three characters as a gram, and every word that fits is a key.
+    """
+    named = quotes.select("quote", _words(F.col("quote")).alias("w"))
+    inner = named.where("size(w) >= 3").select("quote", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
+    counts = words.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rated = inner.join(counts, "word", "left").fillna(0, ["n"])
+    best = rated.groupBy("quote").agg(F.min(F.struct("n", (-F.length("word")).alias("l"), "word")).alias("b"))
+    keys = best.where("b.n > 0").select("quote", "b.word")
+    short = named.where("size(w) < 3 and w[0] <> ''")
+    if not short.limit(1).count():
+        return keys
+    first, last = F.col("w")[0], F.element_at("w", -1)
+    part = F.when(F.length(first) >= F.length(last), first).otherwise(last)
+    where = F.when(F.size("w") == 1, "in").when(F.length(first) >= F.length(last), "end").otherwise("start")
+    short = short.select("quote", part.alias("part"), where.alias("place")).withColumn("gram", F.left("part", F.lit(3)))
+    distinct = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    fits = F.when(F.col("place") == "in", F.col("word").contains(F.col("part"))).when(F.col("place") == "end", F.col("word").endswith(F.col("part"))).otherwise(F.col("word").startswith(F.col("part")))
+    return keys.unionByName(distinct.join(short, "gram").where(fits).select("quote", "word").distinct())
+
+
 def quotes_in(chunks: DataFrame, quotes: DataFrame, key: str, chunk_text: str = "text", quote: str = "quote") -> DataFrame:
     """Pairs where the chunk contains the quote, with ``offset``; ``key`` identifies a chunk.
 
-    A quote of three words or more is looked up by the longest word inside it,
-    which stands in a chunk that contains the quote as a whole word, so both
-    sides meet in an equi-join and only pairs that share it are compared.
-    Shorter quotes have no such word and are compared with every chunk.
+    Both meet in equi-joins by the rarest word that they must share
+    (``quote_keys``), and only such pairs are compared. A quote of blanks alone is
+    found nowhere.
     """
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s{2,}|[^\S ]", " ")), " ")
-    named = quotes.withColumn("_w", words(F.col(quote)))
-    longest = F.array_max(F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    part = named.where(F.size("_w") >= 3).withColumn("_word", longest).drop("_w")
-    held = chunks.select(key, F.explode(F.array_distinct(words(F.col(chunk_text)))).alias("_word"))
-    met = held.join(part, "_word").drop("_word").join(chunks, key)
-    short = chunks.join(named.where(F.size("_w") < 3).drop("_w"), F.col(chunk_text).contains(F.col(quote)))
-    both = met.where(F.col(chunk_text).contains(F.col(quote)))
-    return both.unionByName(short.select(*both.columns)).withColumn("offset", F.instr(F.col(chunk_text), F.col(quote)) - 1)
+    words = chunks.select(F.col(key), F.explode(F.array_distinct(_words(F.col(chunk_text)))).alias("word"))
+    keys = quote_keys(words, quotes.select(F.col(quote).alias("quote")).where("quote is not null").distinct())
+    met = words.join(keys, "word").select(key, "quote").distinct()
+    both = met.withColumnRenamed("quote", "_quote").join(chunks, key).where(F.col(chunk_text).contains(F.col("_quote")))
+    found = both.join(quotes, both["_quote"] == quotes[quote])
+    return found.withColumn("offset", F.instr(F.col(chunk_text), F.col(quote)) - 1).drop("_quote")
 
 
 def quotes_at(citations: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

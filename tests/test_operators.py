@@ -146,6 +146,22 @@ def test_outline(spark):
     assert [r["page_number"] for r in documents.contents_pages(toc).collect()] == [1]
 
 
+def test_quotes_of_any_length(spark, capsys):
+    """Quotes of parts of words, one word, two and many, frequent and missing ones; the plan has no nested loop."""
+    rng = random.Random(4)
+    words = ["the", "cat", "catalogue", "scat", "a", "sat", "é😀", "on", "mat."]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(120)] + ["", None, "lonely"]
+    quotes = ["the", "cat", "a", "c", "at s", "t a", "the cat", "cat sat on", "at the cat s", "zebra", "the zebra cat", "é", "😀 on", "mat.", "on\nmat.", "e  c", "the " * 3, None, "lonely", " "]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string").withColumn("word", F.lit(1))
+    asked = spark.createDataFrame(list(enumerate(quotes)) + [(99, "cat")], "nth int, quote string")
+    df = documents.quotes_in(chunks, asked, "chunk_id")
+    got = sorted((r["chunk_id"], r["nth"], r["offset"]) for r in df.collect())
+    assert got == sorted((i, n, t.index(q)) for i, t in enumerate(texts) for n, q in [*enumerate(quotes), (99, "cat")] if t and q and q.strip() and q in t)
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_citations(spark):
     c = spark.createDataFrame([("o", "c1", 1, "two", 0), ("o", "c1", 1, "two", 1), ("o", "c1", 9, "two", 2), ("o", "zz", 1, None, 3), ("o", "c1", 1, None, 4)], "owner string, chunk_id string, page int, quote string, nth int")
     chunks = spark.createDataFrame([("c1", "one two", [1, 2])], "chunk_id string, text string, pages array<int>")
