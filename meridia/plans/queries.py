@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text, time
-from ..operators import batch, documents, integrity, news, ranking, search, text_index, trees, usage
+from ..operators import batch, documents, integrity, news, ranking, search, trees, usage
 from ..operators import chunking as sentence_chunks
 from ..sources.html import html_text
 from . import collection, store, values  # noqa: F401 (they register their queries)
@@ -216,29 +216,11 @@ def tiling(spark, sf_dir):
     return d.groupBy("tile").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.sum("n_chars").alias("chars"))
 
 
-BM25 = """
-WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents),
-st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok), q AS (SELECT unnest(['stupid','trash','license']) AS term),
-tf AS (SELECT doc_id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS f FROM tok, q),
-df AS (SELECT term, count(*) FILTER (WHERE f > 0) AS df FROM tf GROUP BY term)
-SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f / (f + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term), st WHERE f > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
-
-
-@registered(BM25)
+@registered(store.BM25)
 def bm25_topk(spark, sf_dir):
     return ranking.bm25(t(spark, sf_dir, "documents"), "stupid trash license", 20)
 
 
-@registered(BM25)
-def bm25_indexed(spark, sf_dir):
-    """The same from a stored index, into which the documents come in two parts."""
-    index = text_index.TextIndex.open(spark, store.scratch(spark, "index"))
-    docs = t(spark, sf_dir, "documents")
-    for part in (F.col("lang") == "en", F.col("lang") != "en"):
-        index.add(docs.where(part))
-    return index.search("stupid trash license", 20).withColumnRenamed("key", "doc_id")
-
-
 QUOTES = "(SELECT d.doc_id, d.source, b.item_id, strpos(d.text, b.text) - 1 AS start_at FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 
 
@@ -353,62 +335,6 @@ def tree_violations(spark, sf_dir):
     return trees.violations(broken).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-#: trees of conversations: a turn is a child of the turn before it if its number is odd, else of the root; each remainder of 20 breaks something
-_RULES = """
-WITH RECURSIVE c AS (SELECT conv_id AS g, turn::INT AS t, conv_id % 20 AS d FROM conversations),
-l AS (SELECT g, d, 't' || t AS id, CASE WHEN t % 2 = 1 THEN 't' || (t - 1) ELSE 'root' END AS up, t AS pos, t FROM c),
-b AS (SELECT g, d, id, up, pos, t, [t + 1] || CASE WHEN t % 2 = 0 THEN [t + 2] ELSE [] END AS pages FROM l),
-r AS (SELECT g, any_value(d) AS d, 'root' AS id, NULL AS up, -1 AS pos, NULL::INT AS t, list(DISTINCT p ORDER BY p) AS pages FROM (SELECT g, d, unnest(pages) AS p FROM b) GROUP BY g),
-m AS (SELECT g, d, id, CASE WHEN d = 1 AND t = 1 THEN 'gone' WHEN d = 2 AND t = 0 THEN NULL WHEN d = 3 AND t = 0 THEN 't1' ELSE up END AS up, CASE WHEN d = 4 AND t = 2 THEN 0 ELSE pos END AS pos,
- CASE WHEN d = 5 AND t = 1 THEN [0] WHEN d = 6 AND t = 1 THEN [99] ELSE pages END AS pages FROM (SELECT g, d, id, up, pos, t, pages FROM b UNION ALL SELECT * FROM r) WHERE d <> 7),
-n AS (SELECT * FROM m UNION ALL SELECT * FROM m WHERE d = 8 AND id = 't1'),
-k AS (SELECT g, up AS id, list(id) AS kids FROM (SELECT DISTINCT g, CASE WHEN t % 2 = 1 THEN 't' || (t - 1) ELSE 'root' END AS up, id FROM l) GROUP BY ALL),
-links AS (SELECT n.g, n.d, n.id AS up, unnest(CASE WHEN d = 9 AND n.id = 'root' THEN ['t0'] ELSE [] END || CASE WHEN d = 10 AND n.id = 'root' THEN ['odd'] ELSE [] END || list_filter(coalesce(kids, []), lambda x: NOT (n.d = 11 AND x = 't1'))) AS id FROM n LEFT JOIN k ON k.g = n.g AND k.id = n.id),
-w AS (SELECT g, id FROM n WHERE up IS NULL UNION SELECT n.g, n.id FROM n JOIN w ON w.g = n.g AND n.up = w.id),
-p AS (SELECT DISTINCT g, t + 1 AS p FROM l UNION SELECT g, t + 2 FROM l),
-v AS (SELECT 'one root' AS rule FROM n GROUP BY g HAVING count(*) FILTER (WHERE up IS NULL) <> 1
- UNION ALL SELECT 'unique id' FROM n GROUP BY g, id HAVING count(*) > 1
- UNION ALL SELECT 'unique position' FROM n GROUP BY g, up, pos HAVING count(*) > 1
- UNION ALL SELECT 'known parent' FROM n WHERE up IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n o WHERE o.g = n.g AND o.id = n.up)
- UNION ALL SELECT 'reachable' FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.g = n.g AND w.id = n.id)
- UNION ALL SELECT 'no nodes' FROM (SELECT DISTINCT g, d FROM c) x WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.g = x.g)
- UNION ALL SELECT 'declared root' FROM (SELECT DISTINCT g, d FROM c) x WHERE d = 12
- UNION ALL SELECT 'unique child link' FROM links GROUP BY g, up, id HAVING count(*) > 1
- UNION ALL SELECT 'child names parent' FROM links WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.g = links.g AND n.up = links.up AND n.id = links.id)
- UNION ALL SELECT 'parent names child' FROM n WHERE up IS NOT NULL AND NOT EXISTS (SELECT 1 FROM links WHERE n.g = links.g AND n.up = links.up AND n.id = links.id)
- UNION ALL SELECT 'positive page' FROM n WHERE len(list_filter(pages, lambda x: x < 1)) > 0
- UNION ALL SELECT 'page within parent' FROM n JOIN n o ON o.g = n.g AND o.id = n.up WHERE len(list_filter(n.pages, lambda x: NOT list_contains(o.pages, x))) > 0
- UNION ALL SELECT 'page in source' FROM (SELECT g, unnest(pages) AS p FROM n) x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.g = x.g AND p.p = x.p))
-SELECT rule, count(*)::BIGINT AS n FROM v GROUP BY rule"""
-
-
-@registered(_RULES)
-def tree_rules(spark, sf_dir):
-    """All thirteen rules of a tree with links and pages, each broken in some conversations."""
-    c = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree_id"), F.col("turn").cast("int").alias("t"), (F.col("conv_id") % 20).alias("d"))
-    d, turn, name = F.col("d"), F.col("t"), lambda k: F.concat(F.lit("t"), k.cast("string"))
-    own = F.when(turn % 2 == 1, name(turn - 1)).otherwise("root")
-    pages = F.when(turn % 2 == 0, F.array(turn + 1, turn + 2)).otherwise(F.array(turn + 1))
-    leaf = c.select("tree_id", "d", name(turn).alias("node_id"), own.alias("parent_id"), turn.alias("position"), "t", pages.alias("pages"))
-    kids = leaf.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.collect_set("node_id").alias("kids"))
-    root = leaf.groupBy("tree_id", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
-    root = root.select("tree_id", "d", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(-1).alias("position"), F.lit(None).cast("int").alias("t"), "pages")
-    n = leaf.unionByName(root).where("d <> 7").join(kids, ["tree_id", "node_id"], "left")
-    at = lambda k, i: (d == k) & F.coalesce(turn == i, F.lit(False))
-    top = F.col("node_id") == "root"
-    none = F.array().cast("array<string>")
-    shown = F.filter(F.coalesce("kids", none), lambda x: ~((F.col("d") == 11) & (x == "t1")))
-    n = n.select(
-        "tree_id", "node_id", F.when(at(1, 1), "gone").when(~at(2, 0), F.when(at(3, 0), "t1").otherwise(F.col("parent_id"))).alias("parent_id"), F.when(at(4, 2), 0).otherwise(F.col("position")).alias("position"), "d",
-        F.concat(F.when((d == 9) & top, F.array(F.lit("t0"))).otherwise(none), F.when((d == 10) & top, F.array(F.lit("odd"))).otherwise(none), shown).alias("children_ids"),
-        F.when(at(5, 1), F.array(F.lit(0))).when(at(6, 1), F.array(F.lit(99))).otherwise(F.col("pages")).alias("pages"),
-    )
-    n = n.unionByName(n.where("d = 8 and node_id = 't1'"))
-    held = c.select("tree_id", F.explode(F.array(turn + 1, turn + 2)).alias("page")).distinct()
-    declared = c.groupBy("tree_id", "d").agg(F.lit(1)).select("tree_id", F.when(d == 12, "other").otherwise("root").alias("root_id"))
-    return trees.violations(n, held, declared).groupBy("rule").agg(F.count("*").alias("n"))
-
-
 @registered()
 def serialise_budget(spark, sf_dir):
     c = t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

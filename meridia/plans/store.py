@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import time
-from ..operators import integrity, projection
+from ..operators import integrity, projection, text_index
 from ..operators.ancestry import shared_folder
 from ..operators.library import KnowledgeLibrary
 from ..operators.search import SemanticQuery
@@ -296,3 +296,21 @@ def store_gates(spark, sf_dir):
         integrity.repeated_keys(members, ["artifact_id", "member_id"], "members"),
     ]
     return reduce(DataFrame.unionByName, found).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+BM25 = """
+WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS w FROM documents),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok), q AS (SELECT unnest(['stupid','trash','license']) AS term),
+tf AS (SELECT doc_id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS f FROM tok, q),
+df AS (SELECT term, count(*) FILTER (WHERE f > 0) AS df FROM tf GROUP BY term)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f / (f + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term), st WHERE f > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@registered(BM25)
+def bm25_indexed(spark, sf_dir):
+    """The same from a stored index, into which the documents come in two parts."""
+    index = text_index.TextIndex.open(spark, scratch(spark, "index"))
+    docs = t(spark, sf_dir, "documents")
+    for part in (F.col("lang") == "en", F.col("lang") != "en"):
+        index.add(docs.where(part))
+    return index.search("stupid trash license", 20).withColumnRenamed("key", "doc_id")
