@@ -2,7 +2,7 @@
 
 The tokenizer's words never cross white space and each is encoded by itself, so
 a column is lower-cased, cut into words and reduced to its distinct words in
-Arrow; only words that the small cache lacks go to the tokenizer, and the
+Arrow; only words that the cache lacks go to the tokenizer, and the
 ids of all texts are then gathered in numpy. Texts with characters outside the
 ones below, for which case and word classes are plain, go to it whole, and so do
 texts that hold an added token (``<|endoftext|>``), which it takes for one id.
@@ -42,8 +42,31 @@ def distinct(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return enc.indices.to_numpy(zero_copy_only=False), bounds - bounds[0], enc.dictionary.to_pylist()
 
 
+class Kept:
+    """What words were found to be, in two generations of at most ``limit`` entries (or those of one slice): when the young one is full it becomes the old one, and what is met again comes back."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: list[str]) -> list[str]:
+        """Which of some different words are not known; the others are young from now on."""
+        if len(self.young) + sum(w not in self.young for w in words) > self.limit:
+            self.old, self.young = self.young, {}
+        out = []
+        for w in words:
+            if w not in self.young:
+                known = self.old.get(w)
+                if known is None:
+                    out.append(w)
+                else:
+                    self.young[w] = known
+        return out
+
+
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 60_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,20 +76,17 @@ class WordTokenizer:
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # pieces that end a word
         self.last[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
-        self.limit = limit
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = Kept(limit)
 
     def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > self.limit:
-            self.words = {"": b""}
-            new = [w for w in words if w]
+        new = [w for w in self.words.missing(words) if w]
+        self.words.young[""] = b""
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             raw, at = ids.tobytes(), 0
             for w, end in zip(part, ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()):
-                self.words[w] = raw[at:end]
+                self.words.young[w] = raw[at:end]
                 at = end
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -77,7 +97,7 @@ class WordTokenizer:
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), _WORD, r"\1 "))
         codes, bounds, words = distinct(split)
         self._learn(words)
-        ids, bounds = gather(codes, bounds, [self.words[w] for w in words])
+        ids, bounds = gather(codes, bounds, [self.words.young[w] for w in words])
         found = iter(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         out = []
         for is_odd, text in zip(odd.to_pylist(), texts if pc.any(odd).as_py() else [None] * len(texts)):
