@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, slices
-from .tokens import distinct, gather
+from .tokens import Kept, distinct, gather
 
 MARK = "▁"
 CUTS = ".,;:!?*&%$#|()\n"
@@ -36,7 +36,7 @@ CODES = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
 class PieceEncoder:
-    def __init__(self, path: str, limit: int = 60_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -65,8 +65,8 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.limit = limit
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, bytes] = {}  # words, without the one mark before them
-        self.parts: dict[str, bytes] = {}
+        self.units = Kept(limit)  # words, without the one mark before them
+        self.parts = Kept(limit)
 
     def merge(self, text: str) -> list[str]:
         """Merges from single characters: best score first, then leftmost."""
@@ -135,22 +135,15 @@ class PieceEncoder:
     def unit(self, text: str) -> bytes:
         """Ids of a word, cut where no piece holds the characters on both sides."""
         out, parts = self.cuts.findall(text), self.parts
-        for p in out:
-            if p not in parts:
-                parts[p] = b"".join([self.code[x] if x in self.code else b"".join([self.byte[b] for b in x.encode()]) for x in self.pieces(p)])
-        return b"".join([parts[p] for p in out])
+        for p in parts.missing(list(dict.fromkeys(out))):
+            parts.young[p] = b"".join([self.code[x] if x in self.code else b"".join([self.byte[b] for b in x.encode()]) for x in self.pieces(p)])
+        return b"".join([parts.young[p] for p in out])
 
     def learn(self, units: list[str]) -> list[bytes]:
-        """Ids of words, each without the one mark before it."""
-        cache = self.units
-        if len(cache) > self.limit:
-            cache.clear()
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        for u in units:
-            if u not in cache:
-                cache[u] = self.unit(u if u[:1] == MARK else MARK + u)
-        return [cache[u] for u in units]
+        """Ids of different words, each without the one mark before it."""
+        for u in self.units.missing(units):
+            self.units.young[u] = self.unit(u if u[:1] == MARK else MARK + u)
+        return [self.units.young[u] for u in units]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids with begin and end of each text; null is the empty text."""
