@@ -58,10 +58,10 @@ def feed_documents(spark, sf_dir):
 
 @registered("""
 SELECT o_custkey AS page_number, o_orderkey AS payload, CASE WHEN o_orderkey % 5 = 1 THEN NULL WHEN o_orderkey % 5 = 2 THEN NULL ELSE 'wire:' || sha256(o_orderkey::VARCHAR) END AS identity,
- CASE WHEN o_orderkey % 5 = 1 THEN 'no link' WHEN o_orderkey % 5 = 2 THEN 'no title' END AS error, '2024-03-02' AS page_date, CASE WHEN o_orderkey % 5 = 3 THEN '' ELSE '10:15 ET' END AS stamp FROM orders WHERE o_custkey % 10 = 3""")
+ CASE WHEN o_orderkey % 5 = 1 THEN 'no link' WHEN o_orderkey % 5 = 2 THEN 'no title' END AS error, '2024-03-02' AS page_date, CASE WHEN o_orderkey % 5 = 3 THEN '' ELSE '10:15 ET' END AS stamp FROM orders""")
 def listing_rows(spark, sf_dir):
     """Listing pages with a row for each order of a customer: rows without link or title fail by themselves, and a small text outside the heading is no time."""
-    o = t(spark, sf_dir, "orders").where("o_custkey % 10 = 3")
+    o = t(spark, sf_dir, "orders")
     key, rem = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 5
     link = F.when(rem == 1, "<a>").otherwise(F.concat(F.lit('<a class="newsreleaseconsolidatelink x" href="/news/some-title-'), key, F.lit('.html">')))
     small = F.lit("<small>10:15  ET</small>")

@@ -221,14 +221,14 @@ def artifact_violations(spark, sf_dir):
     return integrity.artifact_violations(sources, artifacts, members, projections, lineage, assets).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@registered("SELECT artifact_kind, artifact_id, payload FROM (SELECT 'paper_summary' AS artifact_kind, 'sum-' || source AS artifact_id, 'about ' || count(*) AS payload FROM documents WHERE regexp_matches(text, '\\S') GROUP BY source) UNION ALL SELECT 'member', 'set-' || source, sha256(text) FROM documents WHERE doc_id % 100 = 1 AND regexp_matches(text, '\\S')")
+@registered("SELECT artifact_kind, artifact_id, payload FROM (SELECT 'paper_summary' AS artifact_kind, 'sum-' || source AS artifact_id, 'about ' || count(*) AS payload FROM documents WHERE regexp_matches(text, '\\S') GROUP BY source) UNION ALL SELECT 'member', 'set-' || source, sha256(text) FROM documents WHERE regexp_matches(text, '\\S')")
 def locators(spark, sf_dir):
     """Locators of summaries and of chunks, resolved to what they name."""
     lib, p = _library(spark, "locators"), _paper(spark, sf_dir)
     lib.put_artifacts(p["artifacts"], p["members"], p["lineage"], None, p["sources"])
     base = lib.table("artifacts").select("source_revision_id", "artifact_kind", "artifact_id")
     whole = base.where("artifact_kind = 'paper_summary'").withColumn("member_id", F.lit(None).cast("string"))
-    part = base.join(lib.table("members").where("member_id % 100 = 1").select("artifact_id", "member_id"), "artifact_id").select(*whole.columns)
+    part = base.join(lib.table("members").select("artifact_id", "member_id"), "artifact_id").select(*whole.columns)
     found = lib.resolve(whole.unionByName(part))
     summary, text = (F.get_json_object("payload_json", f"$.{x}") for x in ("summary", "text"))
     named = F.col("member_id").isNotNull()

@@ -188,11 +188,13 @@ def tree_evidence(spark, sf_dir):
     return trees.evidence(leaves, texts).select("tree_id", "node_id", "title", F.sha2("content", 256).alias("content_hash"), F.col("pages")[0].alias("page"))
 
 
-@registered("SELECT 'geo' AS tree_id, ['root', 'r' || n_regionkey, 'n' || n_nationkey] AS path FROM nation WHERE n_nationkey = 7")
+@registered("""
+SELECT 'geo' AS tree_id, ['root', 'r' || n_regionkey, 'n' || n_nationkey] AS path FROM nation UNION ALL SELECT 'geo', ['root', 'r' || r_regionkey] FROM region UNION ALL SELECT 'geo', ['root']""")
 def node_path(spark, sf_dir):
+    """The path to every node."""
     from .queries import _geo
 
-    return trees.find_path(trees.walk(spark, _geo(spark, sf_dir)), F.lit("n7"))
+    return trees.find_path(trees.walk(spark, _geo(spark, sf_dir)), F.col("node_id"))
 
 
 @registered("""
