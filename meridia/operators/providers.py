@@ -184,24 +184,53 @@ def summarise(
     return level.select(key, "summary").join(cited, key, "left")
 
 
-def lexical_selector(structure: str, question: str, limit: int = 3) -> list[int]:
-    """Numbers of the nodes of a serialised structure that share most words with the question."""
+class RetrievalError(RuntimeError):
+    """A selection that exceeds its bounds."""
+
+
+def lexical_selector(structure: str, question: str, seeds: list[int] = (), limit: int = 3) -> list[int]:
+    """Numbers of the nodes of a serialised structure that share most words with the question; of equals, seeds first."""
     asked = set(re.findall(r"\w+", question.lower()))
-    scored = [(-len(asked & set(re.findall(r"\w+", f"{n.get('title', '')} {n.get('summary', '')}".lower()))), n["n"]) for n in json.loads(structure)]
-    return [n for s, n in sorted(scored)[:limit] if s < 0]
+    scored = [(-len(asked & set(re.findall(r"\w+", f"{n.get('title', '')} {n.get('summary', '')}".lower()))), n["n"] not in seeds, n["n"]) for n in json.loads(structure)]
+    return [n for s, _, n in sorted(scored)[:limit] if s < 0]
 
 
-def retrieve(nodes: DataFrame, question: str, selector: Callable[[str, str], list[int]] = lexical_selector, token_budget: int = 2000, key: str = "tree_id", order: str = "n") -> DataFrame:
-    """Nodes that the selector picks from each tree's bounded structure, in its order; unknown and repeated numbers are dropped."""
-    shown = budgeted(nodes, token_budget, key, order, "title", "summary")
+def retrieve(
+    nodes: DataFrame, question: str, selector: Callable[[str, str, list[int]], list[int]] = lexical_selector, token_budget: int = 2000, key: str = "tree_id", order: str = "n",
+    seeds: DataFrame | None = None, max_evidence: int = 16,
+) -> DataFrame:
+    """Nodes that the selector picks from each tree's bounded structure, in its order (``nth``), each once.
+
+    ``seeds`` (key, order) are hints for the selector and must be nodes. A blank
+    question, an unknown seed and an unknown selected node are ValueErrors; more
+    than ``max_evidence`` nodes of a tree are a RetrievalError.
+    """
+    if not question.strip():
+        raise ValueError("a question needs text")
+    if max_evidence < 1:
+        raise ValueError("max_evidence must be at least 1")
+    shown = budgeted(nodes, token_budget, key, order, "title", "summary").select(key, "serialised")
+    kind = dict(nodes.dtypes)
+    if seeds is not None:
+        if lost := seeds.join(nodes, [key, order], "left_anti").limit(1).collect():
+            raise ValueError(f"unknown seed {lost[0].asDict()}")
+        shown = shown.join(seeds.groupBy(key).agg(F.array_sort(F.collect_set(order)).alias("seeds")), key, "left")
+    else:
+        shown = shown.withColumn("seeds", F.lit(None).cast(f"array<{kind[order]}>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, n, i) for k, s in zip(pdf[key], pdf["serialised"]) for i, n in enumerate(dict.fromkeys(selector(s.replace(f'"{order}":', '"n":'), question)))]
+            rows = []
+            for k, text, hints in zip(pdf[key], pdf["serialised"], pdf["seeds"]):
+                picked = selector(text.replace(f'"{order}":', '"n":'), question.strip(), [] if hints is None else list(hints))
+                rows += [(k, n, i) for i, n in enumerate(dict.fromkeys(picked))]
             yield pd.DataFrame(rows, columns=[key, order, "nth"])
 
-    kind = dict(nodes.dtypes)
-    picked = shown.select(key, "serialised").mapInPandas(run, f"{key} {kind[key]}, {order} {kind[order]}, nth int")
+    picked = staged(shown.mapInPandas(run, f"{key} {kind[key]}, {order} {kind[order]}, nth int"), "picked")
+    if lost := picked.join(nodes, [key, order], "left_anti").limit(1).collect():
+        raise ValueError(f"selected an unknown node {lost[0].asDict()}")
+    if many := picked.groupBy(key).count().where(F.col("count") > max_evidence).limit(1).collect():
+        raise RetrievalError(f"selected {many[0]['count']} nodes of {many[0][key]}, at most {max_evidence} are allowed")
     return nodes.join(picked, [key, order])
 
 

@@ -64,7 +64,15 @@ def test_retrieval(spark):
     nodes = spark.createDataFrame([("t", 0, "Costs", "money"), ("t", 1, "Methods", "how it was done")], "tree_id string, n int, title string, summary string")
     assert [r["title"] for r in providers.retrieve(nodes, "which methods were used").collect()] == ["Methods"]
     assert providers.retrieve(nodes, "zzz").count() == 0
-    assert providers.retrieve(nodes, "q", lambda s, q: [1, 1, 7]).select(F.count("*")).first()[0] == 1
+    assert [(r["n"], r["nth"]) for r in providers.retrieve(nodes, "q", lambda s, q, h: [1, 1, 0]).orderBy("nth").collect()] == [(1, 0), (0, 1)]
+    seeds = spark.createDataFrame([("t", 1)], "tree_id string, n int")
+    assert providers.retrieve(nodes, "q", lambda s, q, h: h, seeds=seeds).first()["title"] == "Methods"
+    assert providers.lexical_selector('[{"n":0,"title":"a"},{"n":1,"title":"a"}]', "a", [1], 1) == [1]
+    for call in (lambda: providers.retrieve(nodes, " \n"), lambda: providers.retrieve(nodes, "q", lambda s, q, h: [7]), lambda: providers.retrieve(nodes, "q", seeds=seeds.withColumn("n", F.lit(9)))):
+        with pytest.raises(ValueError):
+            call()
+    with pytest.raises(providers.RetrievalError):
+        providers.retrieve(nodes, "q", lambda s, q, h: [0, 1], max_evidence=1)
 
 
 def test_structured_answers():
