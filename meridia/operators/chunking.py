@@ -23,8 +23,9 @@ _SHORT = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 #: after a mark and closing quotes, unless the word is an abbreviation or an initial
 _TERMINAL = rf"(?<=[.!?…。！？][{_CLOSERS}]{{0,3}})(?<!(?<![^\s(\[])(?:{_SHORT}|\p{{Lu}})\.)"
 _BLANK_LINE = r"(?<=\S)(?:[^\S\n]*+\n){2}\s*+"
-SENTENCE = rf"\S(?s:.*?)(?:{_TERMINAL}\s++(?!\p{{Ll}}|\z)|{_BLANK_LINE}|(?<=\S)\s*+\z)"
-CLAUSE = r"\S(?s:.*?)(?:(?<=[,;:，；：])\s++|(?<=\S)\s*+\z)"
+#: words with the blanks between them, up to blanks at which a sentence (a clause) ends; borders are looked for at blanks alone
+SENTENCE = rf"\S++(?:(?!{_TERMINAL}\s++(?!\p{{Ll}}|\z)|{_BLANK_LINE})\s++\S++)*+\s*+"
+CLAUSE = r"\S++(?:(?<![,;:，；：])\s++\S++)*+\s*+"
 WORD = r"\S++\s*+"
 
 
