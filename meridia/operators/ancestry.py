@@ -41,6 +41,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that is as large as the table: never broadcast, however well its shuffled files are compressed."""
+    return df.hint("merge")
+
+
 def _open(state: DataFrame) -> bool:
     return state.where(~F.col("ended")).limit(1).count() > 0
 
@@ -58,7 +63,7 @@ def climb(nodes: DataFrame, group: str, node: str, up: str, stop: Column) -> Dat
     jumped = 1
     while jumped <= 2 * most and _open(state):
         above = state.select(group, F.col(node).alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
-        moved = state.where(~F.col("ended")).join(above, [group, "top"]).select(group, node, F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_ended").alias("ended"))
+        moved = state.where(~F.col("ended")).join(shuffled(above), [group, "top"]).select(group, node, F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_ended").alias("ended"))
         state = cut(state.where("ended").unionByName(moved))
         jumped *= 2
     return state.where("ended").select(group, node, "top", "steps")
@@ -69,10 +74,10 @@ def gathered(nodes: DataFrame, group: str, node: str, up: str, values: list[str]
     depth = climb(nodes, group, node, up, F.col(up).isNull())
     one = nodes.groupBy(group, node).agg(F.min(F.struct(F.col(up).alias("_up"), *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])).alias("x")).select(group, node, "x.*")
     lists = [f"_l{i}" for i in range(len(values))]
-    first = one.join(depth.select(group, node), [group, node]).select(group, node, F.col("_up").alias("top"), F.col("_up").isNull().alias("ended"), *[F.array(f"_v{i}").alias(x) for i, x in enumerate(lists)])
+    first = one.join(shuffled(depth.select(group, node)), [group, node]).select(group, node, F.col("_up").alias("top"), F.col("_up").isNull().alias("ended"), *[F.array(f"_v{i}").alias(x) for i, x in enumerate(lists)])
     state = cut(first)
     while _open(state):
         above = state.select(group, F.col(node).alias("top"), F.col("top").alias("_top"), F.col("ended").alias("_ended"), *[F.col(x).alias(f"_{x}") for x in lists])
-        moved = state.where(~F.col("ended")).join(above, [group, "top"]).select(group, node, F.col("_top").alias("top"), F.col("_ended").alias("ended"), *[F.concat(f"_{x}", x).alias(x) for x in lists])
+        moved = state.where(~F.col("ended")).join(shuffled(above), [group, "top"]).select(group, node, F.col("_top").alias("top"), F.col("_ended").alias("ended"), *[F.concat(f"_{x}", x).alias(x) for x in lists])
         state = cut(state.where("ended").unionByName(moved))
     return state.select(group, node, *[F.col(x).alias(v) for x, v in zip(lists, values)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ancestry import climb, gathered
+from .ancestry import climb, gathered, shuffled
 
 NODE = ("tree_id", "node_id", "parent_id", "position")
 
@@ -21,7 +21,7 @@ def walk(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     above = gathered(base.select("tree_id", "node_id", "parent_id", F.col("node_id").alias("path"), F.col("position").alias("order")), "tree_id", "node_id", "parent_id", ["path", "order"])
     up = above.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"), F.col("order").alias("up_order"))
     roots = base.where("parent_id is null").select(*NODE, F.lit(0).alias("depth"), F.array("node_id").alias("path"), F.array("position").alias("order"))
-    rest = base.join(up, ["tree_id", "parent_id"])
+    rest = base.join(shuffled(up), ["tree_id", "parent_id"])
     rest = rest.select(*NODE, F.size("up_path").alias("depth"), F.concat("up_path", F.array("node_id")).alias("path"), F.concat("up_order", F.array("position")).alias("order"))
     return roots.unionByName(rest)
 
@@ -65,7 +65,8 @@ def violations(nodes: DataFrame, pages: DataFrame | None = None, declared: DataF
 
     pages: (tree_id, page) of the sources, to check citations against;
     declared: (tree_id, root_id) of the trees that there are, each of which must
-    have nodes, and that node as its root. A circle is not reachable.
+    have nodes, and that node as its root. A circle is not reachable. Nothing is
+    broadcast: both sides of each join grow with the trees.
     """
     n = nodes.select(*NODE, *[c for c in ("children_ids", "pages") if c in nodes.columns])
 
@@ -76,9 +77,9 @@ def violations(nodes: DataFrame, pages: DataFrame | None = None, declared: DataF
     repeated = n.groupBy("tree_id", "node_id").agg(F.count("*").alias("k")).where("k > 1")
     places = n.groupBy("tree_id", "parent_id", "position").agg(F.count("*").alias("k"), F.min("node_id").alias("node_id")).where("k > 1")
     ids = n.select("tree_id", F.col("node_id").alias("parent_id"))
-    orphans = n.where("parent_id is not null").join(ids, ["tree_id", "parent_id"], "left_anti")
+    orphans = n.where("parent_id is not null").join(shuffled(ids), ["tree_id", "parent_id"], "left_anti")
     reached = climb(n, "tree_id", "node_id", "parent_id", F.col("parent_id").isNull()).select("tree_id", "node_id")
-    lost = n.join(reached, ["tree_id", "node_id"], "left_anti")
+    lost = n.join(shuffled(reached), ["tree_id", "node_id"], "left_anti")
     parts = [
         broken(roots.withColumn("node_id", F.lit(None).cast("string")), "one root"),
         broken(repeated, "unique id"),
@@ -89,23 +90,23 @@ def violations(nodes: DataFrame, pages: DataFrame | None = None, declared: DataF
     if declared is not None:
         own = n.select("tree_id").distinct()
         tops = n.where("parent_id is null").select("tree_id", F.col("node_id").alias("root_id"))
-        parts.append(broken(declared.join(own, "tree_id", "left_anti"), "no nodes", "root_id"))
-        parts.append(broken(declared.join(own, "tree_id", "left_semi").join(tops, ["tree_id", "root_id"], "left_anti"), "declared root", "root_id"))
+        parts.append(broken(declared.join(shuffled(own), "tree_id", "left_anti"), "no nodes", "root_id"))
+        parts.append(broken(declared.join(shuffled(own), "tree_id", "left_semi").join(shuffled(tops), ["tree_id", "root_id"], "left_anti"), "declared root", "root_id"))
     if "children_ids" in n.columns:
         links = n.select("tree_id", F.col("node_id").alias("parent_id"), F.explode("children_ids").alias("node_id"))
         up = n.where("parent_id is not null").select("tree_id", "parent_id", "node_id")
         parts += [
             broken(links.groupBy("tree_id", "parent_id", "node_id").agg(F.count("*").alias("k")).where("k > 1"), "unique child link"),
-            broken(links.join(up, ["tree_id", "parent_id", "node_id"], "left_anti"), "child names parent"),
-            broken(up.join(links, ["tree_id", "parent_id", "node_id"], "left_anti"), "parent names child"),
+            broken(links.join(shuffled(up), ["tree_id", "parent_id", "node_id"], "left_anti"), "child names parent"),
+            broken(up.join(shuffled(links), ["tree_id", "parent_id", "node_id"], "left_anti"), "parent names child"),
         ]
     if "pages" in n.columns:
         parts.append(broken(n.where(F.exists("pages", lambda p: p < 1)), "positive page"))
         above = n.select("tree_id", F.col("node_id").alias("parent_id"), F.col("pages").alias("above"))
-        parts.append(broken(n.join(above, ["tree_id", "parent_id"]).where(F.size(F.array_except("pages", "above")) > 0), "page within parent"))
+        parts.append(broken(n.join(shuffled(above), ["tree_id", "parent_id"]).where(F.size(F.array_except("pages", "above")) > 0), "page within parent"))
         if pages is not None:
             cited = n.select("tree_id", "node_id", F.explode("pages").alias("page"))
-            parts.append(broken(cited.join(pages, ["tree_id", "page"], "left_anti"), "page in source"))
+            parts.append(broken(cited.join(shuffled(pages), ["tree_id", "page"], "left_anti"), "page in source"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -118,8 +119,8 @@ def source_violations(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     nodes: tree_id, node_id, parent_id, pages; pages: tree_id, page.
     """
     cited = nodes.select("tree_id", "parent_id", F.explode("pages").alias("page"))
-    outside = cited.select("tree_id", "page").distinct().join(pages, ["tree_id", "page"], "left_anti")
-    missing = pages.distinct().join(cited.where("parent_id is null").select("tree_id", "page").distinct(), ["tree_id", "page"], "left_anti")
+    outside = cited.select("tree_id", "page").distinct().join(shuffled(pages), ["tree_id", "page"], "left_anti")
+    missing = pages.distinct().join(shuffled(cited.where("parent_id is null").select("tree_id", "page").distinct()), ["tree_id", "page"], "left_anti")
     return outside.select("tree_id", F.lit("page in source").alias("rule"), "page").unionByName(missing.select("tree_id", F.lit("root covers source").alias("rule"), "page"))
 
 

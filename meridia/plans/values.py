@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, time
 from ..operators import documents, providers, trees, usage
+from ..operators.ancestry import shuffled
 from ..plans.schemas import SPAN
 from .registry import registered, t
 
@@ -281,7 +282,7 @@ def tree_rules(spark, sf_dir):
     kids = leaf.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.collect_set("node_id").alias("kids"))
     root = leaf.groupBy("tree_id", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
     root = root.select("tree_id", "d", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(-1).alias("position"), F.lit(None).cast("int").alias("t"), "pages")
-    n = leaf.unionByName(root).where("d <> 7").join(kids, ["tree_id", "node_id"], "left")
+    n = leaf.unionByName(root).where("d <> 7").join(shuffled(kids), ["tree_id", "node_id"], "left")
     at = lambda k, i: (d == k) & F.coalesce(turn == i, F.lit(False))
     top = F.col("node_id") == "root"
     none = F.array().cast("array<string>")
