@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .batches import bounded
+
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
@@ -83,6 +85,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def normalize_unicode(c: Column) -> Column:
     """NFKC, plain quotes and dashes, no control characters but tab, line feed and carriage return."""
+    bounded()
     ascii_only = c.rlike(r"^[\x00-\x7f]*\z")
     folded = F.when(ascii_only, c).otherwise(F.translate(_nfkc(F.when(~ascii_only, c)), PLAIN_FROM, PLAIN_TO))
     return F.regexp_replace(folded, CONTROLS, "")
