@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
+from ..functions.batches import bounded, released
 from .ancestry import staged
 from .documents import finding_violations
 from .integrity import require_none
@@ -37,11 +38,14 @@ def hashed_embedding(text: str | None, dimensions: int = 64) -> list[float]:
 
 
 def embed(texts: Column, provider: Callable[[str], list[float]] = hashed_embedding) -> Column:
-    """A column of vectors, in Arrow batches."""
+    """A column of vectors, in Arrow batches that are bounded in bytes, since texts may be long."""
+    bounded()
 
     @F.pandas_udf(ArrayType(FloatType()))
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else provider(t))
+        out = s.map(lambda t: None if t is None else provider(t))
+        released()
+        return out
 
     return run(texts)
 
