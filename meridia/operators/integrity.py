@@ -38,22 +38,28 @@ def _rule(df: DataFrame, rule: str, key: str, detail) -> DataFrame:
 
 
 def item_violations(items: DataFrame, nodes: DataFrame, records: DataFrame) -> DataFrame:
-    """Items against their nodes and search records. Each side is counted before it is joined, so nothing multiplies."""
+    """Items against their nodes and search records. Each side is counted before it is joined, so nothing multiplies; a side is joined once for all rules that need the join.
+
+    The hash that a record has of its item goes through the shuffle as 128 bits of its own SHA-256: 16 bytes, not 64.
+    """
+    short = lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 32))
     n = nodes.groupBy("item_id").agg(F.count("*").alias("n"))
     r = records.groupBy("item_id").agg(F.count("*").alias("r"), F.countDistinct(F.size("embedding")).alias("dims"))
-    counted = items.join(n, "item_id", "left").join(r, "item_id", "left").fillna(0, ["n", "r"])
+    counted = items.select("item_id", "item_shape", "node_count", "target_count").join(n, "item_id", "left").join(r, "item_id", "left").fillna(0, ["n", "r"])
     flat = F.col("item_shape") == "flat"
     wrong_nodes = (F.col("n") != F.col("node_count")) | (flat & (F.col("n") > 0)) | (~flat & (F.col("n") == 0))
+    broken = lambda wrong, rule, detail: F.when(wrong, F.struct(F.lit(rule).alias("rule"), F.col(detail).cast("string").alias("detail")))
+    counts = F.array_compact(F.array(broken(wrong_nodes, "node count", "n"), broken(F.col("r") != F.col("target_count"), "target count", "r"), broken(F.col("dims") > 1, "one dimension", "dims")))
+    held = items.select("item_id", short("canonical_hash").alias("canonical_hash"), F.lit(True).alias("known"))
+    of = records.where("item_id is not null").select("item_id", "target_id", short("item_canonical_hash").alias("item_canonical_hash")).join(held, "item_id", "left")
+    older = F.when(F.col("known").isNull(), "record without item").when(F.col("item_canonical_hash") != F.col("canonical_hash"), "record of an older item")
     parts = [
-        _rule(orphans(records, items, ["item_id"]), "record without item", "item_id", F.col("target_id")),
+        of.select(older.alias("rule"), F.col("item_id").cast("string").alias("key"), F.col("target_id").cast("string").alias("detail")).where("rule is not null"),
+        counted.select("item_id", F.explode(counts).alias("x")).select("x.rule", F.col("item_id").cast("string").alias("key"), "x.detail"),
         _rule(orphans(nodes, items, ["item_id"]), "node without item", "item_id", F.col("node_id")),
-        _rule(counted.where(wrong_nodes), "node count", "item_id", F.col("n")),
-        _rule(counted.where("r <> target_count"), "target count", "item_id", F.col("r")),
-        _rule(counted.where("dims > 1"), "one dimension", "item_id", F.col("dims")),
         _rule(items.where(F.sha2("payload_json", 256) != F.col("canonical_hash")), "payload hash", "item_id", F.col("canonical_hash")),
         _rule(nodes.where(F.sha2("payload_json", 256) != F.col("content_hash")), "node hash", "item_id", F.col("node_id")),
         _rule(records.where(F.sha2("matched_text", 256) != F.col("projection_hash")), "projected text", "item_id", F.col("target_id")),
-        _rule(records.join(items.select("item_id", "canonical_hash"), "item_id").where("item_canonical_hash <> canonical_hash"), "record of an older item", "item_id", F.col("target_id")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
