@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, bounded, slices
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _PLAIN = re.compile(r"[^\W\d_]+"), re.compile("[a-z]+")
 STEMS = (6, 5, 4)
-CACHE = 50_000
+CACHE = 200_000
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return (_PLAIN if low.isascii() else _WORD).findall(low)
 
 
 def stems(word: str) -> list[str]:
@@ -60,6 +61,21 @@ def log_ratio(toxic: int, ordinary: int, n_toxic: int, n_ordinary: int, share: f
     return log(p[0] / p[1]) if kept else None
 
 
+class Kept(dict):
+    """What a function gives for words, kept in two generations of at most CACHE words each."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(word)
+        self[word] = got = self.make(word) if got is None else got
+        return got
+
+
 class Model:
     """Log ratios of the expressions that have evidence; all others have none."""
 
@@ -67,20 +83,20 @@ class Model:
         self.ratios = ratios
         self.heads = {g.split(" ")[0] for g in ratios if " " in g}
         self.weight, self.constant = 1.0, -3.0
-        self.cache: dict[str, float] = {}
+        self.cache = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": None}
 
     def word(self, w: str) -> float:
-        r = self.cache.get(w)
-        if r is None:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            r = self.cache[w] = next((self.ratios[g] for g in (w, *stems(w)) if g in self.ratios), 0.0)
-        return r
+        return next((self.ratios[g] for g in (w, *stems(w)) if g in self.ratios), 0.0)
 
     def ratio(self, text: str | None) -> float:
         """Log-likelihood ratio per word; 0 without words."""
+        if self.cache is None:
+            self.cache = Kept(self.word)
         w = words(text)
-        r = list(map(self.word, w))
+        r = list(map(self.cache.__getitem__, w))
         if self.heads:
             for i in [i for i, x in enumerate(w[:-1], 1) if x in self.heads]:
                 r[i] = self.ratios.get(f"{w[i - 1]} {w[i]}", r[i])
@@ -155,22 +171,18 @@ def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, sample_rows
         return {f"{v} {x}" for v, x in zip(w, w[1:]) if v in known and x in known}
 
     counts |= {r["term"]: (r["a"], r["b"]) for r in counted(double).collect()}
-    held = spark.sparkContext.broadcast((set(counts), {g.split(" ")[0] for g in counts if " " in g}))
+    held = spark.sparkContext.broadcast(({g for g in counts if " " not in g}, {tuple(g.split(" ")) for g in counts if " " in g}))
 
     def shared(batches):
-        found, (known, heads), cache = Counter(), held.value, {}
+        found, twos, (known, pairs) = Counter(), Counter(), held.value
+        own = Kept(lambda x: tuple(g for g in (x, *stems(x)) if g in known))
         for b in slices(batches, 0):
             for t in b.column(0).to_pylist():
-                w, got = words(t), set()
-                for x in set(w):
-                    if x not in cache:
-                        if len(cache) > CACHE:
-                            cache.clear()
-                        cache[x] = [g for g in (x, *stems(x)) if g in known]
-                    got.update(cache[x])
-                got.update(g for v, x in zip(w, w[1:]) if v in heads and (g := f"{v} {x}") in known)
-                found.update(got)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+                w = words(t)
+                found.update(set().union(*map(own.__getitem__, set(w))))
+                twos.update(pairs.intersection(zip(w, w[1:])))
+        terms = [*found, *map(" ".join, twos)]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([*found.values(), *twos.values()], pa.int64())], names=["term", "n"])
 
     total = docs.select("text").mapInArrow(shared, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     total = {r["term"]: r["n"] for r in total.collect()}  # at most as many rows as ``counts``

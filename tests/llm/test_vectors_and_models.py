@@ -266,3 +266,18 @@ def test_ordinal_grades(spark):
     assert quality.train(spark, docs, labels.where("grade = 1")) is None
     assert quality.score(docs, None).where("selected").count() == 903
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_keeps_words_in_two_generations(monkeypatch):
+    """op7: words beyond the limit do not empty what is kept; ASCII texts have the same words by the shorter pattern."""
+    monkeypatch.setattr(toxicity, "CACHE", 100)
+    made = []
+    kept = toxicity.Kept(lambda w: made.append(w) or len(w))
+    for turn in range(20):
+        names = [f"w{i}" for i in range(80)] + [f"rare{turn}-{i}" for i in range(10)]
+        assert [kept[w] for w in names] == list(map(len, names))
+    assert len(made) == len(set(made)) == 280 and len(kept) <= 100
+    for text in ("It's 2 O'Clock, a_b c-d\tE1f", "", "Ünï cödé a1b_c"):
+        assert toxicity.words(text) == toxicity._WORD.findall(text.lower())
+    model = toxicity.Model({"bad": 1.0, "good bad": -2.0, "awful*": 0.5})
+    assert model.ratio("bad good bad awfully") == (1.0 + 0.0 - 2.0 + 0.5) / 4
