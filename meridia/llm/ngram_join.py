@@ -14,8 +14,10 @@ share do not make long lists.
 
 Verification. A sketch of the parities of a set's n-grams in 1024 fragments
 bounds from below in how many n-grams two sets differ, and rules out most
-chance candidates. For the others partial overlaps are counted fragment by
-fragment and summed per pair.
+chance candidates. Two sets of more n-grams than that may differ in more than
+1024 fragments can tell: they have a second sketch, with a bit or two for each
+n-gram, which pairs that the first one leaves meet. For the others partial
+overlaps are counted fragment by fragment and summed per pair.
 
 Lists of up to ``direct`` documents give all their pairs. A longer one first
 gives a chain and a star, which connect groups of copies with a number of pairs
@@ -124,12 +126,27 @@ def level_of(size: int, num: int, den: int) -> int:
     return level if level >= 5 else FINEST
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """1024 bits, as longs: whether a fragment holds an odd number of n-grams. Each differing n-gram flips one."""
-    odd = (np.bincount((s >> np.uint64(20) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)
+SKETCH = 1024
+
+
+def parities(s: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """So many bits (a power of two), as longs: whether a fragment holds an odd number of n-grams. Each differing n-gram flips one."""
+    odd = (np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def wide(s: np.ndarray) -> np.ndarray | None:
+    """The second sketch of a set that is larger than the first: at least a bit for each n-gram."""
+    return parities(s, 1 << (len(s) - 1).bit_length()) if len(s) > SKETCH else None
+
+
+def differing(x: str, y: str) -> F.Column:
+    """Bits in which two sketches differ; the halves of a longer one are added until it is as short as the other."""
+    n = f"least(size({x}), size({y}))"
+    short = lambda c: f"aggregate(sequence(0, cast(size({c}) / {n} as int) - 1), 0L, (s, j) -> s ^ {c}[j * {n} + i])"
+    return F.expr(f"aggregate(sequence(0, {n} - 1), 0, (d, i) -> d + bit_count({short(x)} ^ {short(y)}))")
+
+
 def _pairs(sig: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: int, direct: int, head: int | None = None):
     """(pairs a, b; long lists sig, doc, size) among rows that share a signature.
 
@@ -239,10 +256,10 @@ def _components(ws: Workspace, src: DataFrame, n: int, percent: int, direct: int
                 ids, sets = batch.column(0), shingles(batch.column(1), n)
                 keys = [[int(mixed(s).sum().view(np.int64)) if len(s) else None for s in sets], [int(mixed(s ^ _MUL).sum().view(np.int64)) if len(s) else None for s in sets]]
                 sigs = [signatures(s, num, den, held.value) for s in sets]
-                cols = [ids, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.array(sigs, longs), pa.array([parities(s) for s in sets], longs)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "key_1", "key_2", "sigs", "odd"])
+                cols = [ids, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(k, pa.int64()) for k in keys], pa.array(sigs, longs), *[pa.array([f(s) for s in sets], longs) for f in (parities, wide)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "key_1", "key_2", "sigs", "odd", "wide"])
 
-        return rows.mapInArrow(run, "doc_id long, n_shingles long, key_1 long, key_2 long, sigs array<long>, odd array<long>")
+        return rows.mapInArrow(run, "doc_id long, n_shingles long, key_1 long, key_2 long, sigs array<long>, odd array<long>, wide array<long>")
 
     def chosen(ids: DataFrame) -> DataFrame:
         """The texts of these ids."""
@@ -303,13 +320,17 @@ def _components(ws: Workspace, src: DataFrame, n: int, percent: int, direct: int
     classes = rows.where("key_1 is not null and doc_id is not null").groupBy("key_1", "key_2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = ws.stage(classes, "classes")
     names = classes.select(F.col("rep").alias("doc_id"))
-    sketches = ws.stage(rows.join(names, "doc_id", "left_semi").select("doc_id", "n_shingles", "odd"), "sketches")
+    sketches = ws.stage(rows.join(names, "doc_id", "left_semi").select("doc_id", "n_shingles", "odd", "wide"), "sketches")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Pairs with their sizes that their sketches do not rule out."""
-        both = pairs.join(sketches.toDF("a", "size_a", "odd_a"), "a").join(sketches.toDF("b", "size_b", "odd_b"), "b")
+        first, second = sketches.select("doc_id", "n_shingles", "odd"), sketches.where("wide is not null").select("doc_id", "wide")
+        few = lambda differ: differ * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)
+        both = pairs.join(first.toDF("a", "size_a", "odd_a"), "a").join(first.toDF("b", "size_b", "odd_b"), "b")
         differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-        return both.where(differ * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b", "size_a", "size_b")
+        left = both.where(few(differ)).select("a", "b", "size_a", "size_b")
+        left = left.join(second.toDF("a", "wide_a"), "a", "left").join(second.toDF("b", "wide_b"), "b", "left")
+        return left.where(F.col("wide_a").isNull() | F.col("wide_b").isNull() | few(differing("wide_a", "wide_b"))).select("a", "b", "size_a", "size_b")
 
     links_by = lambda common: common * (den + num) >= (F.col("size_a") + F.col("size_b")) * num
 

@@ -368,3 +368,42 @@ def test_long_lists_are_read_in_parts():
         assert all((min(x, y), max(x, y)) in whole[0] for k in near for x, y in zip(ds, ds[k:]))
         assert len(ds) <= 4 or all((min(ds[0], x), max(ds[0], x)) in whole[0] for x in ds[1:])
     assert whole[1] == sorted((s, d, z) for s, z, d in rows if len(by[s]) > 4)
+
+
+def test_sketches_grow_with_the_sets(spark, monkeypatch):
+    """Long texts that share passages, but are no near copies, are told apart by their sketches: only copies are read again."""
+    rng = np.random.default_rng(19)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = word(2400)
+    texts = [" ".join(word(3600) + passage) for _ in range(6)]
+    texts += [f"{texts[0]} {' '.join(word(400))}", " ".join(passage[:1000]), " ".join(passage[:1100])]  # over and under a power of two
+    near = " ".join(passage[:990] + word(200))
+    texts.append(near)
+    read, stage = collections.Counter(), ngram_join.Workspace.stage
+
+    def counted(self, df, name):
+        out = stage(self, df, name)
+        if name in ("pairs", "involved"):
+            read[name] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Workspace, "stage", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark, docs(spark, texts), 4, 85, direct=20).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components([plain_shingles(t, 4) for t in texts], 85)
+    assert read["pairs"] > 10 and read["involved"] <= 5
+
+
+def test_sketches_bound_the_difference(spark):
+    rng = np.random.default_rng(20)
+    rows, want = [], []
+    for n, m, common in ((1500, 1500, 1400), (1030, 1100, 1029), (4000, 4200, 3900), (4090, 4100, 4000), (1100, 9000, 1000), (3000, 3000, 0)):
+        x = rng.integers(0, 2**63, n + m - common).astype(np.uint64)
+        a, b = x[:n], x[n - common :]
+        rows.append((ngram_join.wide(a).tolist(), ngram_join.wide(b).tolist()))
+        bits = 64 * min(map(len, rows[-1]))
+        short = [np.unpackbits(ngram_join.parities(s, bits).view(np.uint8)) for s in (a, b)]
+        want.append((int((short[0] != short[1]).sum()), n + m - 2 * common))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>").coalesce(1)
+    got = [r[0] for r in df.select(ngram_join.differing("x", "y")).collect()]
+    assert got == [w[0] for w in want] and all(g <= w[1] for g, w in zip(got, want))
+    assert ngram_join.wide(np.zeros(1024, np.uint64)) is None and got[-1] * 185 > 6000 * 15
