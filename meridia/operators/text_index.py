@@ -29,6 +29,14 @@ from .ranking import TOKEN, tokens
 LISTED = 2000
 
 
+def term_counts(w: Column) -> Column:
+    """[(term, tf)] of a document's words, in the row itself: the runs of the sorted words."""
+    starts = lambda s: F.filter(F.slice(F.sequence(F.lit(0), F.size(s)), 1, F.size(s)), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+    runs = lambda s, p: F.transform(p, lambda at, j: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s)) - at).alias("tf")))
+    # both arrays are elements of an outer array: a lambda's own variables are evaluated once
+    return F.flatten(F.flatten(F.transform(F.array(F.sort_array(w)), lambda s: F.transform(F.array(starts(s)), lambda p: runs(s, p)))))
+
+
 class TextIndex:
     def __init__(self, spark: SparkSession, root: str, key_type: str = "bigint", block: int = 512, buckets: int = 64):
         self.spark, self.block = spark, block
@@ -58,7 +66,7 @@ class TextIndex:
         known = t.table("documents", at, t.touched(new, "key")).join(new.select("key"), "key", "left_semi").select(F.lit("known key").alias("rule"), F.col("key").cast("string").alias("key"), F.lit(None).cast("string").alias("detail"))
         integrity.require_none(integrity.repeated_keys(new, ["key"], "documents").unionByName(known))
         n, total = new.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        each = words.select("key", "dl", F.explode("w").alias("term")).groupBy("term", "key", "dl").agg(F.count("*").cast("int").alias("tf"))
+        each = words.select("key", "dl", F.explode(term_counts(F.col("w"))).alias("t")).select("t.term", "key", "dl", "t.tf")
         number = F.pmod(F.xxhash64("key"), F.lit(max(1, math.ceil(n / self.block)))) + F.lit(at["next"] << 32)
         lists = each.groupBy("term", number.alias("block")).agg(
             F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").cast("int").alias("min_dl"),

@@ -1,12 +1,14 @@
 """The stored index against the scan."""
 
+import collections
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators import integrity, ranking
-from meridia.operators.text_index import TextIndex
+from meridia.operators.layers import LayeredTables
+from meridia.operators.text_index import TextIndex, term_counts
 
 
 def corpus(n, seed):
@@ -58,3 +60,27 @@ def test_keys_are_new(spark, index):
             found.add(bad)
     with pytest.raises(ValueError):
         found.search(" ")
+
+
+def test_words_are_counted_in_their_row(spark, capsys):
+    """A document's counts need no shuffle; repeated, single and no words."""
+    texts = [(0, ["b", "a", "b"]), (1, []), (2, ["x"]), (3, ["q"] * 500), (4, [f"w{i % 37}" for i in range(1000)])]
+    df = spark.createDataFrame(texts, "key long, w array<string>").select("key", F.explode(term_counts(F.col("w"))).alias("t")).select("key", "t.*")
+    got = {(r["key"], r["term"]): r["tf"] for r in df.collect()}
+    assert got == {(k, term): n for k, w in texts for term, n in collections.Counter(w).items()} and df.count() == len(got)
+    assert df.schema["tf"].dataType.simpleString() == "int"
+    df.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_one_shuffle_by_term_and_block(spark, tmp_path, monkeypatch):
+    """Postings are dealt out by term and block alone before they are written, not by term and document as well."""
+    plans, write = {}, LayeredTables.write
+
+    def seen(self, df, key, path):
+        plans[key] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, key, path)
+
+    monkeypatch.setattr(LayeredTables, "write", seen)
+    TextIndex.open(spark, f"file://{tmp_path}/index").add(spark.createDataFrame(corpus(50, 2), "doc_id long, text string"))
+    assert plans["term"].count("Exchange") == 1
