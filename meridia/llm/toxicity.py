@@ -50,6 +50,16 @@ def stems(word: str) -> list[str]:
     return [word[:n] + "*" for n in STEMS if len(word) > n]
 
 
+def by_length(known: set[str]) -> dict[int, set[str]]:
+    """The stems among some terms, without their mark, by length."""
+    return {n: {g[:-1] for g in known if g.endswith("*") and len(g) == n + 1} for n in STEMS}
+
+
+def known_terms(own: set[str], known: set[str], cut: dict[int, set[str]]) -> list[str]:
+    """The known words and stems of a text's distinct words, each once; ``cut`` as by ``by_length``."""
+    return [*known.intersection(own), *(g + "*" for n, held in cut.items() for g in held.intersection([x[:n] for x in own if len(x) > n]))]
+
+
 def log_ratio(toxic: int, ordinary: int, n_toxic: int, n_ordinary: int, share: float, z: float) -> float | None:
     """ln P_toxic - ln P_ordinary of an expression; None where both counts are discounted whole."""
     kept, p = 0.0, []
@@ -175,11 +185,11 @@ def train(spark: SparkSession, docs: DataFrame, labelled: DataFrame, sample_rows
 
     def shared(batches):
         found, twos, (known, pairs) = Counter(), Counter(), held.value
-        own = Kept(lambda x: tuple(g for g in (x, *stems(x)) if g in known))
+        cut = by_length(known)
         for b in slices(batches, 0):
             for t in b.column(0).to_pylist():
                 w = words(t)
-                found.update(set().union(*map(own.__getitem__, set(w))))
+                found.update(known_terms(set(w), known, cut))
                 twos.update(pairs.intersection(zip(w, w[1:])))
         terms = [*found, *map(" ".join, twos)]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([*found.values(), *twos.values()], pa.int64())], names=["term", "n"])

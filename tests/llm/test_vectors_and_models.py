@@ -281,3 +281,11 @@ def test_toxicity_keeps_words_in_two_generations(monkeypatch):
         assert toxicity.words(text) == toxicity._WORD.findall(text.lower())
     model = toxicity.Model({"bad": 1.0, "good bad": -2.0, "awful*": 0.5})
     assert model.ratio("bad good bad awfully") == (1.0 + 0.0 - 2.0 + 0.5) / 4
+
+
+def test_known_terms_of_a_text():
+    """Words and stems of a text that have evidence, each once, as a plain look at every word's terms gives them."""
+    own = {"a", "abcd", "abcde", "abcdef", "abcdefg", "abcdefgh", "éééééé", "ééééééé"}
+    for known in (set(), {"abcd", "abcd*", "abcde*", "abcdef*", "éééééé*", "zzzz*", "a", "b"}, own):
+        got = toxicity.known_terms(own, known, toxicity.by_length(known))
+        assert sorted(got) == sorted({g for x in own for g in (x, *toxicity.stems(x)) if g in known})
